@@ -1,11 +1,14 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from squadron.llm import decontamination, exact_dedup, license_scan, line_dedup, mixing
+from squadron.llm import decontamination, exact_dedup, language_id, license_scan, line_dedup, mixing, token_output, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_token_output": token_output.op4_token_output,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_language_id": language_id.op8_language_id,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
