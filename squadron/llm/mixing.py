@@ -103,13 +103,17 @@ def mixed(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, **o
 
     A part's text has its words joined by one space; n_chars, where there is such a column, follows the text.
     """
-    plan = mix_plan(docs, scratch, block_words=block_words, **options).where("taken > 0").select("doc_id", "dup", "epochs", "picked")
-    plan = scratch.save(plan, "plan").withColumnsRenamed({"doc_id": "_id", "dup": "_dup"})
-    rows = docs.withColumn("_dup", F.row_number().over(W.partitionBy("doc_id").orderBy("source", words_in(F.col("text")))))
-    rows = rows.join(plan, rows.doc_id.eqNullSafe(plan._id) & (rows._dup == plan["_dup"])).drop(plan["_dup"])
+    plan = mix_plan(docs, scratch, block_words=block_words, **options).where("taken > 0").selectExpr("doc_id", "dup as _mix_dup", "epochs as _mix_epochs", "picked as _mix_picked")
+    plan = scratch.save(plan, "plan")
+    if plan.where("_mix_dup > 1 or doc_id is null").isEmpty():
+        rows = docs.join(plan.drop("_mix_dup"), "doc_id")
+    else:
+        plan = plan.withColumnRenamed("doc_id", "_mix_id")
+        rows = docs.withColumn("_mix_n", F.row_number().over(W.partitionBy("doc_id").orderBy("source", words_in(F.col("text")))))
+        rows = rows.join(plan, rows.doc_id.eqNullSafe(plan._mix_id) & (rows._mix_n == plan._mix_dup))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("picked", lambda p: F.slice(words, p["block"] * block_words + 1, p["words"].cast("int")))), " ")
-    parts = F.concat(F.array_repeat(F.col("text"), F.col("epochs").cast("int")), F.when(F.col("picked").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
+    part = F.array_join(F.flatten(F.transform("_mix_picked", lambda p: F.slice(words, p["block"] * block_words + 1, p["words"].cast("int")))), " ")
+    parts = F.concat(F.array_repeat(F.col("text"), F.col("_mix_epochs").cast("int")), F.when(F.col("_mix_picked").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("text", F.explode(parts))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
