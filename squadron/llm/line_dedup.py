@@ -35,7 +35,8 @@ def suffix_classes(docs: DataFrame, scratch: Scratch, min_lines: int):
     Returns the places with a run of ``min_lines`` lines that starts earlier too (doc_id, text_hash, line, first), and
     the longest doubled prefix that each document shares with an earlier place (doc_id, text_hash, shared).
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("line", "words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode_outer("lines").alias("line", "words")).where("words is not null")
     s = scratch.save(rows.select("doc_id", "text_hash", "line", F.unhex(F.md5(F.encode("words", "utf-8"))).alias("key")), "lines")
     keys, size, later, shared = ["key"], 1, None, []
     by = W.partitionBy("doc_id", "text_hash").orderBy("line")
