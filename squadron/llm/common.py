@@ -62,6 +62,12 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` bound to a lambda variable, as an expression in an inner lambda is evaluated anew for
+    every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from squadron.llm.common import MAX_BROADCAST_IDS, Scratch, documents, keep_ids
+from squadron.llm.common import MAX_BROADCAST_IDS, Scratch, documents, keep_ids, once
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: All that is neither a letter nor a digit in ASCII parts words; what is not ASCII belongs to words.
@@ -34,8 +34,8 @@ def strings(words, size: int):
 
 
 def item_sets(benchmark: DataFrame, size: int) -> DataFrame:
-    w = benchmark.where("item_id is not null").select("item_id", split_words(F.col("text")).alias("w"))
-    s = w.select("item_id", F.explode(F.arrays_zip(hashes(F.col("w"), size).alias("h"), strings(F.col("w"), size).alias("s"))).alias("x"))
+    both = once(split_words(F.col("text")), lambda w: F.arrays_zip(hashes(w, size).alias("h"), strings(w, size).alias("s")))
+    s = benchmark.where("item_id is not null").select("item_id", F.explode(both).alias("x"))
     s = s.select("item_id", "x.h", "x.s").distinct()
     return s.withColumn("item_shingles", F.count("*").over(W.partitionBy("item_id")))
 
@@ -64,13 +64,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, size:
     wit = scratch.save(witnesses(items, containment), "witnesses")
     bounded = items.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     small = F.broadcast if bounded else (lambda x: x)
-    d = docs.where("doc_id is not null").select("doc_id", split_words(F.col("text")).alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), F.explode(hashes(F.col("w"), size)).alias("h"))
+    d = docs.where("doc_id is not null").select("doc_id", once(split_words(F.col("text")), lambda w: hashes(w, size)).alias("hs"))
+    # The number is taken before the list is exploded: no row of the explosion carries the text or its words. An outer
+    # explosion, as the filter that Catalyst puts under an inner one makes the list a second time.
+    d = d.select("doc_id", F.size("hs").alias("n"), "hs").select("doc_id", "n", F.explode_outer("hs").alias("h"))
     need = F.ceil(F.col("item_shingles") * containment - 1e-9)
-    met = d.join(small(wit), "h").where(F.greatest(F.lit(1), F.col("n") - size + 1) >= need).select("doc_id", "item_id").distinct()
+    met = d.join(small(wit), "h").where(F.col("n") >= need).select("doc_id", "item_id").distinct()
     met = scratch.save(met, "candidates")
     ids = scratch.save(met.select("doc_id").distinct(), "candidate-ids")
-    texts = keep_ids(docs, ids, "doc_id").select("doc_id", F.explode(F.array_distinct(strings(split_words(F.col("text")), size))).alias("s"))
+    texts = keep_ids(docs, ids, "doc_id").select("doc_id", F.explode(F.array_distinct(once(split_words(F.col("text")), lambda w: strings(w, size)))).alias("s"))
     pairs = texts.join(small(items.select("item_id", "s", "item_shingles")), "s").groupBy("doc_id", "item_id", "item_shingles").agg(F.countDistinct("s").alias("shared"))
     pairs = pairs.where(F.col("shared") >= need).join(met, ["doc_id", "item_id"], "left_semi")
     return pairs.select("doc_id", "item_id", "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from squadron.llm.common import WORD, Scratch, documents, words_in
+from squadron.llm.common import WORD, Scratch, documents, once, words_in
 
 WEIGHTS = (3, 1, 2)
 SHARE, TOP = 1.5, 2
@@ -112,7 +112,8 @@ def mixed(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, **o
         rows = docs.withColumn("_mix_n", F.row_number().over(W.partitionBy("doc_id").orderBy("source", words_in(F.col("text")))))
         rows = rows.join(plan, rows.doc_id.eqNullSafe(plan._mix_id) & (rows._mix_n == plan._mix_dup))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("_mix_picked", lambda p: F.slice(words, p["block"] * block_words + 1, p["words"].cast("int")))), " ")
+    cut = lambda w: F.flatten(F.transform("_mix_picked", lambda p: F.slice(w, p["block"] * block_words + 1, p["words"].cast("int"))))
+    part = F.array_join(once(words, cut), " ")
     parts = F.concat(F.array_repeat(F.col("text"), F.col("_mix_epochs").cast("int")), F.when(F.col("_mix_picked").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("text", F.explode(parts))
     if "n_chars" in docs.columns:
