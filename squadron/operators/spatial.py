@@ -121,7 +121,8 @@ def boundary_edges(cells: DataFrame) -> DataFrame:
 def dilated(cells: DataFrame, steps: int) -> DataFrame:
     """Cells within ``steps`` of the set in both directions: a buffer in whole cells."""
     d = F.sequence(F.lit(-steps), F.lit(steps))
-    return cells.select((F.col("ix") + F.explode(d)).alias("ix"), "iy").select("ix", (F.col("iy") + F.explode(d)).alias("iy")).distinct()
+    a = cells.select("ix", "iy", F.explode(d).alias("dx")).select((F.col("ix") + F.col("dx")).alias("ix"), "iy").distinct()
+    return a.select("ix", "iy", F.explode(d).alias("dy")).select("ix", (F.col("iy") + F.col("dy")).alias("iy")).distinct()
 
 
 def letter_ids(ids: DataFrame, key: str = "cluster_id") -> DataFrame:

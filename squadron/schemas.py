@@ -12,21 +12,18 @@ POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.D
 RING = T.ArrayType(POINT)
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-TARGETS = _table("run_id bigint, node_id bigint, x double, y double")
-DISTURBANCE = _table("run_id bigint, node_id bigint, disturbance_value double")
-ZONES = _table("run_id bigint, zone_set string, poly_idx int, ring array<struct<x: double, y: double>>")
-FLEET = _table("run_id bigint, depot_x double, depot_y double, w_ms double, w_t double, n_tenders tinyint, t_cap smallint")
-CLUSTER_NODES = _table("run_id bigint, event_idx int, cluster_id bigint, node_id bigint, x double, y double")
-CLUSTERS = _table("run_id bigint, event_idx int, cluster_id bigint, cx double, cy double")
-MS_SEQUENCE = _table("run_id bigint, event_idx int, seq int, cluster_id bigint, lon double, lat double")
-MS_WAYPOINTS = _table("run_id bigint, event_idx int, wp_idx int, x double, y double, from_id bigint, to_id bigint")
-MS_LEGS = _table("run_id bigint, event_idx int, leg_idx int, dist_m double, path array<struct<x: double, y: double>>")
-SORTIES = _table("run_id bigint, event_idx int, cluster_seq int, cluster_id bigint, sortie_id int, stop_idx int, node_id bigint")
-SORTIE_LEGS = _table("run_id bigint, event_idx int, cluster_seq int, cluster_id bigint, sortie_id int, leg_idx int, dist_m double, path array<struct<x: double, y: double>>")
+# As DDL, which readers and Arrow functions take; parsing it needs a session, and modules are imported without one.
+TARGETS = "run_id bigint, node_id bigint, x double, y double"
+DISTURBANCE = "run_id bigint, node_id bigint, disturbance_value double"
+ZONES = "run_id bigint, zone_set string, poly_idx int, ring array<struct<x: double, y: double>>"
+FLEET = "run_id bigint, depot_x double, depot_y double, w_ms double, w_t double, n_tenders tinyint, t_cap smallint"
+CLUSTER_NODES = "run_id bigint, event_idx int, cluster_id bigint, node_id bigint, x double, y double"
+CLUSTERS = "run_id bigint, event_idx int, cluster_id bigint, cx double, cy double"
+MS_SEQUENCE = "run_id bigint, event_idx int, seq int, cluster_id bigint, lon double, lat double"
+MS_WAYPOINTS = "run_id bigint, event_idx int, wp_idx int, x double, y double, from_id bigint, to_id bigint"
+MS_LEGS = "run_id bigint, event_idx int, leg_idx int, dist_m double, path array<struct<x: double, y: double>>"
+SORTIES = "run_id bigint, event_idx int, cluster_seq int, cluster_id bigint, sortie_id int, stop_idx int, node_id bigint"
+SORTIE_LEGS = "run_id bigint, event_idx int, cluster_seq int, cluster_id bigint, sortie_id int, leg_idx int, dist_m double, path array<struct<x: double, y: double>>"
 
 
 def half(weight: float) -> float:

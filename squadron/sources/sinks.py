@@ -9,18 +9,18 @@ from pyspark.sql.window import Window as W
 
 def export_points(nodes: DataFrame) -> DataFrame:
     """(run_id, id, cluster_id, x, y): nodes numbered in the order of clusters and ids."""
-    return nodes.select("run_id", F.row_number().over(W.partitionBy("run_id").orderBy("cluster_id", "node_id")).alias("id"), "cluster_id", "x", "y")
+    return nodes.select("run_id", F.row_number().over(W.partitionBy("run_id").orderBy("cluster_id", "node_id")).cast("bigint").alias("id"), "cluster_id", "x", "y")
 
 
 def export_clusters(sequence: DataFrame, depot: bool = False) -> DataFrame:
     """(run_id, order_id, cluster_id, lon, lat); numbers start at 0 with the depot, else at 1."""
     d = sequence if depot else sequence.where("cluster_id <> 0")
     n = F.row_number().over(W.partitionBy("run_id").orderBy("seq")) - F.lit(1 if depot else 0)
-    return d.select("run_id", n.alias("order_id"), "cluster_id", "lon", "lat")
+    return d.select("run_id", n.cast("bigint").alias("order_id"), "cluster_id", "lon", "lat")
 
 
 def export_exclusions(zones: DataFrame) -> DataFrame:
-    return zones.select(F.row_number().over(W.partitionBy("zone_set").orderBy("poly_idx")).alias("id"), "zone_set", "ring")
+    return zones.select(F.row_number().over(W.partitionBy("zone_set").orderBy("poly_idx")).cast("bigint").alias("id"), "zone_set", "ring")
 
 
 def export_routes(legs: DataFrame, keys: tuple[str, ...] = ("run_id",), order: tuple[str, ...] = ("leg_idx",)) -> DataFrame:
@@ -32,7 +32,7 @@ def export_routes(legs: DataFrame, keys: tuple[str, ...] = ("run_id",), order: t
 def export_tender_routes(sortie_legs: DataFrame, keys: tuple[str, ...] = ("run_id", "cluster_id", "sortie_id")) -> DataFrame:
     """A row for each sortie: the points of its legs one after the other, joints twice."""
     g = sortie_legs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("leg_idx", "path"))).alias("l"))
-    return g.select(*keys, F.row_number().over(W.partitionBy(keys[0]).orderBy(*keys)).alias("id"), F.flatten(F.transform("l", lambda x: x["path"])).alias("line"))
+    return g.select(*keys, F.row_number().over(W.partitionBy(keys[0]).orderBy(*keys)).cast("bigint").alias("id"), F.flatten(F.transform("l", lambda x: x["path"])).alias("line"))
 
 
 def write_table(df: DataFrame, path: str, if_absent: bool = False) -> None:
