@@ -44,29 +44,38 @@ def packed(batches):
             for k in range(0, j - i, ROWS):
                 o = off[k : k + ROWS + 1]
                 bits = np.packbits(presence(raw[o[0] : o[-1]], o - o[0]), axis=1)
-                yield pa.record_batch([b.column("lang").slice(i + k, len(bits)), pa.array([x.tobytes() for x in bits])], ["lang", "bits"])
+                yield pa.record_batch([b.column("doc_id").slice(i + k, len(bits)), b.column("lang").slice(i + k, len(bits)), pa.array([x.tobytes() for x in bits])], ["doc_id", "lang", "bits"])
 
 
-def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    norm = lambda a: np.sqrt(np.maximum(a.sum(1), 1))
-    return (x @ y.T) / norm(x)[:, None] / norm(y)[None, :]
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
 
 
-def fit(x: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Classes and the weight of each bucket for each class.
+def kernel(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Normalised presence kernel of rows, as packed bits, with landmarks; few rows are unpacked at a time."""
+    out = []
+    for k in range(0, len(bits), ROWS):
+        x = unpacked(bits[k : k + ROWS])
+        out.append((x @ marks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] / np.sqrt(np.maximum(marks.sum(1), 1)))
+    return np.vstack(out)
+
+
+def fit(bits: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Classes and the weight of each bucket for each class, from rows of packed bits.
 
     The kernel is linear in presence, so landmarks, their whitening and the ridge weights fold into one matrix: scores
     of a batch are one product, divided by the root of each text's n-gram count.
     """
     classes = sorted(set(langs))
-    marks = x[np.random.default_rng(0).permutation(len(x))[:LANDMARKS]]
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    own = np.random.default_rng(0).permutation(len(bits))[:LANDMARKS]
+    marks = unpacked(bits[own])
+    values, vectors = np.linalg.eigh(kernel(bits[own], marks).astype(np.float64))
     good = values > 1e-6 * values.max()
     white = vectors[:, good] / np.sqrt(values[good])
-    phi = kernel(x, marks) @ white
+    phi = kernel(bits, marks) @ white
     y = np.where(np.array(langs)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
-    w = np.linalg.solve(phi.T @ phi + RIDGE * len(x) * np.eye(phi.shape[1]) / 100, phi.T @ y)
-    return classes, (marks.T / np.sqrt(np.maximum(marks.sum(1), 1))) @ (white @ w)
+    w = np.linalg.solve(phi.T @ phi + RIDGE * len(bits) * np.eye(phi.shape[1]) / 100, phi.T @ y)
+    return classes, (marks.T / np.sqrt(np.maximum(marks.sum(1), 1))) @ (white @ w).astype(np.float32)
 
 
 def training_ids(docs: DataFrame, scratch: Scratch, sample: int) -> DataFrame:
@@ -93,15 +102,15 @@ def language_id(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Data
     """
     spark = docs.sparkSession
     ids = scratch.save(training_ids(docs, scratch, sample), "sample-ids")
-    rows = keep_ids(docs.select("doc_id", "text", "lang"), ids, "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).orderBy("doc_id").limit(2 * sample).select("text", "lang")
-    got = rows.mapInArrow(packed, "lang string, bits binary").collect()
+    rows = keep_ids(docs.select("doc_id", "text", "lang"), ids, "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.text", "r.lang")
+    got = sorted(rows.mapInArrow(packed, "doc_id long, lang string, bits binary").collect())
     shape = "doc_id long, held_out boolean, lang_pred string, score double"
     inputs = docs.select("doc_id", held_out().alias("held_out"), "text")
     if not got:
         return inputs.select("doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    classes, weights = fit(x, [r.lang for r in got])
-    model = spark.sparkContext.broadcast((classes, weights.astype(np.float32)))
+    classes, weights = fit(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), [r.lang for r in got])
+    model = spark.sparkContext.broadcast((classes, weights))
 
     def score(batches):
         names, m = model.value
