@@ -46,7 +46,7 @@ def cluster_problem(targets: DataFrame, rings: DataFrame, depot: tuple[float, fl
 
 def relabelled(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Nodes (or raster cells) with cluster ids replaced by ``mapping`` (run_id, cluster_id, new_id); unmapped ids stay."""
-    d = nodes.join(F.broadcast(mapping), ["run_id", "cluster_id"], "left")
+    d = nodes.join(mapping, ["run_id", "cluster_id"], "left")
     return d.withColumn("cluster_id", F.coalesce("new_id", "cluster_id")).drop("new_id").select(*nodes.columns)
 
 

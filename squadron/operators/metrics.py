@@ -78,10 +78,10 @@ def critical_path(ms_legs: DataFrame, sortie_legs: DataFrame, fleet: DataFrame,
     A cluster without sorties counts 0 for its boats. A way that does not exist (infinite) raises.
     """
     w = fleet.select("run_id", "w_ms", "w_t")
-    s = _slowest(ms_legs, sortie_legs, keys).join(F.broadcast(w), "run_id")
+    s = _slowest(ms_legs, sortie_legs, keys).join(w, "run_id")
     slow = F.greatest(F.coalesce("longest_m", F.lit(0.0)) / 1000 * F.col("w_t"), F.col("within_m") / 1000 * F.col("w_ms")) / HOURS
     inner = s.groupBy(*keys).agg(F.sum(slow).alias("clusters_h"))
-    out = between_clusters(ms_legs, *keys).join(F.broadcast(w), "run_id").join(inner, list(keys), "left")
+    out = between_clusters(ms_legs, *keys).join(w, "run_id").join(inner, list(keys), "left")
     hours = F.coalesce("clusters_h", F.lit(0.0)) + F.col("between_m") / 1000 * F.col("w_ms") / HOURS
     return out.select(*keys, F.when(hours < F.lit(float("inf")), hours).otherwise(F.raise_error(F.lit("a leg has no feasible way"))).alias("hours"))
 
@@ -91,7 +91,7 @@ def total_distance(ms_legs: DataFrame, sortie_legs: DataFrame, fleet: DataFrame,
     w = fleet.select("run_id", "w_ms", "w_t")
     a = ms_legs.groupBy(*keys).agg(F.sum("dist_m").alias("ms_m"))
     b = sortie_legs.groupBy(*keys).agg(F.sum("dist_m").alias("t_m"))
-    d = a.join(b, list(keys), "left").join(F.broadcast(w), "run_id")
+    d = a.join(b, list(keys), "left").join(w, "run_id")
     return d.select(*keys, (F.col("ms_m") * F.col("w_ms") + F.coalesce("t_m", F.lit(0.0)) * F.col("w_t")).alias("total"))
 
 
@@ -99,6 +99,6 @@ def highlight_critical(ms_legs: DataFrame, sortie_legs: DataFrame, fleet: DataFr
     """Which part of each cluster is critical: 'tender' (also at a tie) with its sortie, or 'mothership'."""
     per = sortie_legs.groupBy(*keys, "cluster_seq", "sortie_id").agg(F.sum("dist_m").alias("d"))
     top = per.withColumn("r", F.row_number().over(W.partitionBy(*keys, "cluster_seq").orderBy(F.col("d").desc(), "sortie_id"))).where("r = 1")
-    d = within_clusters(ms_legs, *keys).join(top, [*keys, "cluster_seq"], "left").join(F.broadcast(fleet.select("run_id", "w_ms", "w_t")), "run_id")
+    d = within_clusters(ms_legs, *keys).join(top, [*keys, "cluster_seq"], "left").join(fleet.select("run_id", "w_ms", "w_t"), "run_id")
     boats = F.coalesce("d", F.lit(0.0)) * F.col("w_t") >= F.col("within_m") * F.col("w_ms")
     return d.select(*keys, "cluster_seq", F.when(boats, "tender").otherwise("mothership").alias("critical"), F.when(boats, F.col("sortie_id")).alias("sortie_id"))

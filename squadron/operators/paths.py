@@ -14,9 +14,19 @@ from squadron.operators.spatial import containing, excluded
 PATH = "dist_m double, path array<struct<x: double, y: double>>"
 
 
+#: Vertices of a zone set that may be sent to every task, 16 bytes each; a larger set has to be split by study area.
+MAX_VERTICES = 2_000_000
+
+
+def bounded(values: Column, vertices: Column) -> Column:
+    """``values``, or an error where they hold too many vertices to be sent to every task."""
+    return F.when(vertices <= MAX_VERTICES, values).otherwise(F.raise_error(F.lit("zones have too many vertices for one study area")))
+
+
 def zone_array(rings: DataFrame) -> DataFrame:
-    """One row with all rings in the order of poly_idx: zone sets are small against the pairs they are joined to."""
-    return rings.agg(F.transform(F.array_sort(F.collect_list(F.struct("poly_idx", "ring"))), lambda z: z["ring"]).alias("zones"))
+    """One row with all rings in the order of poly_idx, of a checked size: it is broadcast to the pairs it is joined to."""
+    z = F.transform(F.array_sort(F.collect_list(F.struct("poly_idx", "ring"))), lambda z: z["ring"])
+    return rings.agg(z.alias("zones"), F.coalesce(F.sum(F.size("ring")), F.lit(0)).alias("n")).select(bounded(F.col("zones"), F.col("n")).alias("zones"))
 
 
 def crossed(pairs: DataFrame, rings: DataFrame) -> DataFrame:
@@ -133,7 +143,7 @@ def moved_out(points: DataFrame, rings: DataFrame) -> DataFrame:
     v = h.select(F.explode(F.array_distinct("ring")).alias("v")).distinct()
     v = v.select(F.xxhash64("v.x", "v.y").alias("node_id"), "v.x", "v.y")
     free = excluded(v, h, how="left_anti").select(F.struct("x", "y").alias("v"))
-    lost = flagged.where("poly_idx > 0").crossJoin(F.broadcast(free.agg(F.sort_array(F.collect_list("v")).alias("vs"))))
+    lost = flagged.where("poly_idx > 0").crossJoin(F.broadcast(free.agg(F.sort_array(F.collect_list("v")).alias("vs")).select(bounded(F.col("vs"), F.size("vs")).alias("vs"))))
     near = F.array_min(F.transform("vs", lambda c: F.struct(F.round(geo.haversine(F.col("x"), F.col("y"), c["x"], c["y"]), 6).alias("d"), c["x"].alias("x"), c["y"].alias("y"))))
     return stay.union(lost.select("node_id", near.alias("n")).select("node_id", "n.x", "n.y"))
 

@@ -107,7 +107,7 @@ def cells_to_points(cells: DataFrame) -> DataFrame:
     ones = cells.where("v = 1")
     rows = ones.groupBy("iy").agg(F.count("*").alias("n"))
     rows = rows.withColumn("before", F.sum("n").over(W.orderBy("iy")) - F.col("n"))
-    return ones.join(F.broadcast(rows.select("iy", "before")), "iy").select((F.col("before") + F.row_number().over(W.partitionBy("iy").orderBy("ix"))).alias("id"), "ix", "iy")
+    return ones.join(rows.select("iy", "before"), "iy").select((F.col("before") + F.row_number().over(W.partitionBy("iy").orderBy("ix"))).alias("id"), "ix", "iy")
 
 
 def boundary_edges(cells: DataFrame) -> DataFrame:

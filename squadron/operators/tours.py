@@ -33,7 +33,7 @@ def nearest_neighbour(centroids: DataFrame, fleet: DataFrame) -> DataFrame:
     per run. Distances are rounded to micrometres before they are compared; ties go to the smaller id.
     """
     c = centroids.groupBy("run_id").agg(F.collect_list(F.struct(F.col("cluster_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))).alias("left"))
-    c = c.join(F.broadcast(fleet.select("run_id", F.struct(F.lit(0).cast("bigint").alias("id"), F.col("depot_x").alias("x"), F.col("depot_y").alias("y")).alias("depot"))), "run_id")
+    c = c.join(fleet.select("run_id", F.struct(F.lit(0).cast("bigint").alias("id"), F.col("depot_x").alias("x"), F.col("depot_y").alias("y")).alias("depot")), "run_id")
 
     def step(acc: Column, _: Column) -> Column:
         at = F.element_at(acc["tour"], -1)
