@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadron.llm.common import Scratch, documents, keep_ids, shuffle_partitions
+from squadron.llm.common import MAX_BROADCAST_IDS, Scratch, documents, keep_ids, shuffle_partitions
 from squadron.llm.textkit import Words, column, pieces, run_hashes
 
 WINDOW = 35
 #: Words between ASCII white space only.
 split = re.compile(r"[^\x20\x09-\x0D]+").findall
 #: Hashes that a bucket of the counting step has at most, about, and query words that a shard's task streams.
-BUCKET, STREAM = 500_000, 200_000
+BUCKET, STREAM = 500_000, 100_000
 #: Bytes of text in a unit, the bound of a reference shard.
 UNIT = 1 << 20
 
@@ -107,7 +107,7 @@ def deal(hashes: np.ndarray, bits: int):
 
 
 def meet(own: bool):
-    """Of a bucket, the hashes that stand in two units or twice in one, by unit and, if ``own``, by owner."""
+    """Of a bucket, the hashes that stand in two units or twice in one: a row for each unit, with owners if ``own``."""
 
     def each(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
@@ -124,17 +124,18 @@ def meet(own: bool):
         live = ((size > 1) | np.logical_or.reduceat(twice, first))[group]
         owner = unit[first][group] if own else np.zeros(len(h), np.int64)
         h, unit, owner = h[live], unit[live], owner[live]
-        order = np.lexsort((owner, unit))
+        order = np.argsort(unit, kind="stable")
         h, unit, owner = h[order], unit[order], owner[order]
-        cut = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.empty(0, np.int64)
+        cut = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(h) else np.empty(0, np.int64)
         end = np.append(cut[1:], len(h))[: len(cut)]
-        return pa.table({"unit": unit[cut], "owner": owner[cut], "n": (end - cut).astype(np.int64), "hashes": pa.array([h[a:z].tobytes() for a, z in zip(cut, end, strict=True)], pa.binary())})
+        parts = list(zip(cut, end, strict=True))
+        return pa.table({"unit": unit[cut], "hashes": pa.array([h[a:z].tobytes() for a, z in parts], pa.binary()), "owners": pa.array([owner[a:z].tobytes() if own else b"" for a, z in parts], pa.binary())})
 
     return each
 
 
 def repeated(dealt: DataFrame, own: bool) -> DataFrame:
-    return dealt.groupBy("bucket").applyInArrow(meet(own), "unit long, owner long, n long, hashes binary")
+    return dealt.groupBy("bucket").applyInArrow(meet(own), "unit long, hashes binary, owners binary")
 
 
 def bits_for(spark: SparkSession, total: int) -> int:
@@ -250,20 +251,18 @@ def deal_anchors(bits: int):
 
 
 def route(units: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Runs of words for the shards: (shard, salt, kind, unit, row, start, words); kind 0 is the shard's own reference.
+    """Runs of words for the shards: (shard, unit, row, start, n, words), each of consecutive windows of one owner.
 
-    A run covers consecutive windows of one owner. A unit's own windows are reference and query, so its reference goes
-    to each of the shard's salted tasks.
+    A unit's runs for its own shard are the shard's reference.
     """
     null = lambda t, c: F.lit(None).cast(t).alias(c)
-    a = units.select("unit", F.lit(0).alias("kind"), "texts", "places", null("bigint", "owner"), null("int", "salts"), null("binary", "hashes"))
-    b = found.select("unit", F.lit(1).alias("kind"), null("array<string>", "texts"), null("array<binary>", "places"), "owner", "salts", "hashes")
+    a = units.select("unit", F.lit(0).alias("kind"), "texts", "places", null("binary", "hashes"), null("binary", "owners"))
+    b = found.select("unit", F.lit(1).alias("kind"), null("array<string>", "texts"), null("array<binary>", "places"), "hashes", "owners")
+    kinds = (("shard", pa.int64()), ("unit", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int64()), ("words", pa.string()))
 
     def done(head, items):
         w, raw, off, at, h = live_windows(head["texts"], head["places"], window)
-        known = np.concatenate([x[2] for x in items])
-        owner = np.repeat([x[0] for x in items], [len(x[2]) for x in items])
-        salts = {x[0]: x[1] for x in items}
+        known, owner = (np.concatenate(x) for x in zip(*items, strict=True))
         order = np.argsort(known)
         known, owner = known[order], owner[order]
         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -276,15 +275,22 @@ def route(units: DataFrame, found: DataFrame, window: int) -> DataFrame:
         for s, e in zip(cut.tolist(), end.tolist(), strict=True):
             x, r, own = int(at[s]), int(row[s]), int(owner[s])
             text = raw[w.starts[x] : w.ends[int(at[e]) + window - 1]].tobytes().decode()
-            start, n = x - int(w.first[r]), salts[own]
-            if own == head["unit"]:
-                out += [(own, k, 0, own, r, start, text) for k in range(n)]
-            out.append((own, head["unit"] % n, 1, head["unit"], r, start, text))
-        kinds = (("shard", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("unit", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("words", pa.string()))
+            out.append((own, head["unit"], r, x - int(w.first[r]), e - s + window, text))
         return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], [k for k, _ in kinds])
 
-    item = lambda x: (x["owner"], x["salts"], np.frombuffer(x["hashes"], np.uint64))
-    return by_unit(a.union(b), item, done, "shard long, salt int, kind int, unit long, row int, start int, words string")
+    item = lambda x: (np.frombuffer(x["hashes"], np.uint64), np.frombuffer(x["owners"], np.int64))
+    return by_unit(a.union(b), item, done, "shard long, unit long, row int, start int, n long, words string")
+
+
+def salted(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs with the salted task of their shard, (shard, salt, kind, ...): kind 0 is the reference, in each of the tasks."""
+    load = scratch.save(runs.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("salts")), "loads")
+    few = load.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    d = runs.join(F.broadcast(load) if few else load, "shard")
+    rest = ("unit", "row", "start", "words")
+    asked = d.select("shard", F.pmod(F.xxhash64("unit", "row", "start"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), *rest)
+    known = d.where("unit = shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *rest)
+    return asked.union(known)
 
 
 class Automaton:
@@ -322,7 +328,7 @@ class Automaton:
         self.last = last
 
     def spans(self, words: list, window: int) -> list[tuple[int, int]]:
-        """Maximal spans covered by matches of ``window`` words or more: [begin, end)."""
+        """Spans covered by matches of ``window`` words or more, joined where they touch: [begin, end)."""
         nxt, link, length = self.next, self.link, self.length
         v, n, out = 0, 0, []
         for i, c in enumerate(words, 1):
@@ -411,9 +417,8 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     units = scratch.save(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     total = live.agg(F.sum(F.length("places"))).first()[0] or 0
     bits = bits_for(spark, total * (window - window // 2) // 8)
-    found = scratch.save(repeated(units.select("unit", "texts", "places").mapInArrow(deal_windows(window, bits), shape), own=True), "windows")
-    load = found.groupBy("owner").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("salts"))
-    runs = route(units, found.join(load, "owner"), window)
+    found = repeated(units.select("unit", "texts", "places").mapInArrow(deal_windows(window, bits), shape), own=True)
+    runs = salted(scratch.save(route(units, found, window), "runs"), scratch)
     order = runs.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "unit", "row", "start")
     spans = order.mapInArrow(match(window), "unit long, row int, begin int, end int")
     cut = scratch.save(cut_out(units, spans), "cut")
