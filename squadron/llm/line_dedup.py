@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from squadron.llm.common import Scratch, documents
+from squadron.llm.common import Scratch, documents, keep_ids
 
 #: The shortest repeated run of lines that is deleted.
 MIN_LINES = 2
@@ -68,7 +68,8 @@ def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) ->
     A line goes if it lies in a run of ``min_lines`` lines or more that also starts earlier, in the order of (doc_id,
     text hash, line); the first copy of every maximal run stays. A run may overlap its own copy. Blank lines and white
     space at the ends of lines are dropped and do not part a run. Null and empty texts have no lines. Rows that repeat
-    doc_id and text count as one, and each gets its result. Other columns are ignored.
+    doc_id and text count as one, and each gets its result. Rows without an id lose
+    nothing. Other columns are ignored.
     """
     later, shared = suffix_classes(docs, scratch, min_lines)
     base = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
@@ -82,8 +83,12 @@ def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) ->
         for x in shared[1:]:
             most = most.unionByName(x)
         gone = gone.join(most.groupBy("doc_id", "text_hash").agg(F.max("shared").alias("shared")), ["doc_id", "text_hash"])
-        gone = scratch.save(gone, "gone").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-        out = base.join(gone, base.doc_id.eqNullSafe(gone._id) & (base.text_hash == gone._hash), "left")
+        gone = scratch.save(gone, "gone")
+        ids = scratch.save(gone.select("doc_id").distinct(), "gone-ids")
+        # Only texts that lose lines are moved to the lists of their lines, by a shuffle at every size.
+        some = keep_ids(base, ids, "doc_id").join(gone.hint("merge"), ["doc_id", "text_hash"], "left")
+        rest = keep_ids(base, ids, "doc_id", "left_anti").withColumn("gone", none).withColumn("shared", F.lit(0))
+        out = some.unionByName(rest)
     out = out.withColumn("lines", lines_of(F.col("text"))).withColumn("gone", F.coalesce("gone", none))
     kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
     starts = F.filter("gone", lambda x, i: ~F.array_contains("gone", x - 1))
