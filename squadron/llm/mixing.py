@@ -50,8 +50,9 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     tries = p.where((F.col(votes) > 0) & (F.col(seats) > 0)).withColumn("_a", F.explode(F.sequence("_sure", "_most")))
     rank = F.row_number().over(a.orderBy((F.col(votes) / (2 * F.col("_a") + 1)).desc(), party, "_a"))
     won = tries.withColumn("_k", rank).where("_k <= _rest").groupBy(*group, party).agg(F.count("*").alias("_won"))
-    same = [p[c].eqNullSafe(won[c]) for c in [*group, party]]
-    out = p.join(won, same, "left").drop(*(won[c] for c in [*group, party]))
+    keys = [*group, party]
+    won = won.withColumnsRenamed({c: f"_{c}" for c in keys})
+    out = p.join(won, [p[c].eqNullSafe(won[f"_{c}"]) for c in keys], "left").drop(*(f"_{c}" for c in keys))
     return out.withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_n", "_v", "_q", "_sure", "_most", "_rest", "_won")
 
 
