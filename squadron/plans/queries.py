@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron.functions import geo
-from squadron.operators import clustering, metrics, paths, regions, spatial, tours
+from squadron.operators import clustering, metrics, paths, regions, search, spatial, tours
 from squadron.plans import layers, solve
 from squadron.schemas import Problem, Targets
 from squadron.sources import fixtures as fx
@@ -289,3 +289,45 @@ query("l24_search_trace")(lambda s, d: layers.best_so_far(small_plans(s, d).sele
 query("a3_random_points")(lambda s, d: src.random_points(s, 50, fx.boxes(s, d).where("row_idx % 3 = 0").select("ring"), fx.obstacles(s, d).select("ring"), (146.0, 147.0, -17.0, -16.0)))
 query("a7_threshold_targets", "SELECT ix, iy, 1.0::DOUBLE AS v FROM cells WHERE v >= -8 AND ix BETWEEN 5 AND 30 AND iy BETWEEN 5 AND 30")(lambda s, d: src.threshold_targets(fx.raster(s, d), -8, 5, 30, 5, 30))
 query("a1_thinned_targets", "SELECT node_id FROM sites, (SELECT greatest(1, count(*) // 28) AS n FROM sites) WHERE (node_id - 1) % n = 0")(lambda s, d: src.thinned(fx.sites(s, d)).select("node_id"))
+
+# --- further rows of the inventory ---
+query("c10_points_in_each_ring", "SELECT CAST(b.row_idx AS INTEGER) AS row_idx, count(*) AS n FROM boxes b JOIN targets ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")(
+    lambda s, d: spatial.by_cell(fx.boxes(s, d)).join(fx.targets(s, d).withColumn("_i", F.floor(F.col("x") / spatial.CELL).cast("int")).withColumn("_j", F.floor(F.col("y") / spatial.CELL).cast("int")), ["_i", "_j"]).where(geo.contains(F.col("ring"), F.col("x"), F.col("y"))).groupBy("row_idx").agg(F.count("*").alias("n"))
+)
+query("c14_visible_past_each_ring", _SLAB.replace("SELECT node_id FROM sites WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, x - 146.175::DOUBLE AS dx, y + 16.84::DOUBLE AS dy FROM obstacles) WHERE", "SELECT node_id, poly_idx FROM (SELECT *, x - 146.175::DOUBLE AS dx, y + 16.84::DOUBLE AS dy FROM obstacles, sites) WHERE NOT ("))(
+    lambda s, d: from_depot(s, d).crossJoin(fx.obstacles(s, d).select("poly_idx", "ring")).where(geo.is_visible(geo.point("ax", "ay"), geo.point("bx", "by"), F.col("ring"))).select("node_id", "poly_idx")
+)
+query("d7_exploded_rings", "SELECT CAST(row_idx AS INTEGER) AS poly_idx FROM boxes UNION ALL SELECT CAST(24 + row_number() OVER (ORDER BY row_idx) AS INTEGER) FROM boxes")(lambda s, d: regions.exploded(fx.boxes(s, d).select(F.col("row_idx").alias("poly_idx"), F.array("ring", "ring").alias("rings"))).select("poly_idx"))
+query("d8_closed_rings", "SELECT poly_idx, 5 AS n FROM obstacles")(lambda s, d: fx.obstacles(s, d).select("poly_idx", F.size(geo.close_ring(F.slice("ring", 1, 4))).alias("n")))
+query("d18_path_parts", "SELECT poly_idx, 3 AS n_from, 3 AS n_to FROM obstacles")(lambda s, d: fx.obstacles(s, d).select("poly_idx", F.size(geo.suffix_from(F.col("ring"), F.get("ring", F.lit(2)))).alias("n_from"), F.size(geo.prefix_to(F.col("ring"), F.get("ring", F.lit(2)))).alias("n_to")))
+query("e2_disturbance_table", "SELECT node_id, coalesce((SELECT arg_min(hs_mean, row_idx) FROM boxes WHERE x > x0 AND x < x1 AND y > y0 AND y < y1), 0.0::DOUBLE) AS disturbance_value FROM sites")(lambda s, d: spatial.disturbance_of(fx.sites(s, d), fx.boxes(s, d)))
+query("e6_relabelled_cells", "SELECT ix, iy, CASE WHEN v >= -5 THEN 100 + CAST(-v AS BIGINT) ELSE CAST(-v AS BIGINT) END AS cluster_id FROM cells")(
+    lambda s, d: clustering.relabelled(fx.raster(s, d).select(F.lit(0).cast("bigint").alias("run_id"), "ix", "iy", (-F.col("v")).cast("bigint").alias("cluster_id")), s.range(0, 6).select(F.lit(0).cast("bigint").alias("run_id"), F.col("id").alias("cluster_id"), (F.col("id") + 100).alias("new_id"))).drop("run_id")
+)
+query("e9_assignment")(lambda s, d: clustering.hungarian(fx.sites(s, d).where("node_id < 20").select(F.lit(0).cast("bigint").alias("run_id"), F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(fx.boxes(s, d).select(F.col("row_idx").cast("bigint").alias("b"), "x0", "y0"), F.lit(True)).select("run_id", "a", "b", F.hypot(F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")).alias("cost"))))
+query("g5_sortie_tours", "SELECT run_id, round(sum(dist_m), 3) AS dist_m FROM slegs GROUP BY 1")(lambda s, d: rounded(metrics.route_length(Inputs(s, d).sortie_legs, "run_id"), 3, "dist_m"))
+query("g9_cluster_sortie_lengths", "SELECT run_id, cluster_seq, round(max(d), 3) AS longest_m, round(sum(d), 3) AS sorties_m FROM per GROUP BY ALL")(
+    lambda s, d: rounded(metrics._slowest((x := Inputs(s, d)).legs, x.sortie_legs, ("run_id",)).select("run_id", "cluster_seq", "longest_m", "sorties_m"), 3, "longest_m", "sorties_m")
+)
+query("i3_two_opt_tour")(lambda s, d: search.two_opt_tour(Inputs(s, d).seq, fx.obstacles(s, d)))
+query("i5_two_opt_sorties")(lambda s, d: search.two_opt_sorties(Inputs(s, d).sorties.where("stop_idx <= 12").select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")))
+query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)).targets, tours.tender_ends(x.points), 3, 4))
+query("i16_rebuilt_ends", "SELECT run_id, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(
+    lambda s, d: rounded(tours.rebuilt_ends((x := Inputs(s, d)).sortie_legs, tours.tender_ends(x.points)).select("run_id", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m")
+)
+query("k4_improve_solution")(lambda s, d: solve.improve_solution(solve.initial_solution((p := Inputs(s, d).problem), restarts=4), p, chains=2, min_iters=40, max_iters=40).select("run_id", "order", F.round("hours", 6).alias("hours")))
+query("b8_problem_summary")(lambda s, d: sinks.problem_summary((p := Inputs(s, d).problem).targets.points, p.zones, p.fleet))
+query("l7_exclusion_layer", "SELECT 0 AS run_id, 'exclusions' AS layer, CAST(poly_idx AS VARCHAR) AS series, CAST(k AS INTEGER) AS ord, round(CASE WHEN k IN (1, 2) THEN x1 ELSE x0 END, 9) AS x, round(CASE WHEN k IN (2, 3) THEN y1 ELSE y0 END, 9) AS y, 0 AS style FROM obstacles, (SELECT unnest([0, 1, 2, 3, 4]) AS k)")(
+    lambda s, d: rounded(layers.exclusions(fx.obstacles(s, d).withColumn("run_id", F.lit(0))).where("layer = 'exclusions'"), 9, "x", "y")
+)
+query("l10_route_layer", "SELECT run_id, 'route' AS layer, 'mothership' AS series, CAST(2 * leg_idx - 1 + k AS INTEGER) AS ord, round(CASE WHEN k = 0 THEN ax ELSE bx END, 9) AS x, round(CASE WHEN k = 0 THEN ay ELSE by_ END, 9) AS y, 1 AS style FROM legs, (SELECT unnest([0, 1]) AS k)")(
+    lambda s, d: rounded(layers.routes(Inputs(s, d).legs.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))), 9, "x", "y")
+)
+query("l14_tender_layer", "SELECT run_id, 'tenders' AS layer, cluster_id || '-' || sortie_id AS series, CAST(2 * leg_idx - 1 + k AS INTEGER) AS ord, round(CASE WHEN k = 0 THEN ax ELSE bx END, 9) AS x, round(CASE WHEN k = 0 THEN ay ELSE by_ END, 9) AS y, CAST((cluster_id + sortie_id) % 12 + 2 AS INTEGER) AS style FROM slegs, (SELECT unnest([0, 1]) AS k)")(
+    lambda s, d: rounded(layers.tenders(Inputs(s, d).sortie_legs.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))), 9, "x", "y")
+)
+query("l20_compared_plans", "SELECT run_id, round(hours, 6) AS hours_a, round(hours, 6) AS hours_b, 0.0::DOUBLE AS gain FROM hours")(lambda s, d: layers.compared(m := makespan(s, d), m))
+query("l37_waypoint_layer", "SELECT run_id, 'waypoints' AS layer, 'waypoints' AS series, wp_idx AS ord, round(x, 9) AS x, round(y, 9) AS y, 1 AS style FROM wps")(lambda s, d: rounded(layers.waypoints(Inputs(s, d).points), 9, "x", "y"))
+query("l38_points_of_flat_list", "SELECT poly_idx, 4 AS n, round(x0, 9) AS x FROM obstacles")(
+    lambda s, d: fx.obstacles(s, d).select("poly_idx", geo.pairs_of(F.flatten(F.transform(F.slice("ring", 1, 4), lambda p: F.array(p["x"], p["y"])))).alias("p")).select("poly_idx", F.size("p").alias("n"), F.round(F.get("p", F.lit(0))["x"], 9).alias("x"))
+)

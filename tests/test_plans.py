@@ -187,3 +187,22 @@ def test_random_points(spark):
     z, o = fx.boxes(spark, SF).where("row_idx % 3 = 0").select("ring"), fx.obstacles(spark, SF).select("ring")
     p = src.random_points(spark, 30, z, o, (146.0, 147.0, -17.0, -16.0), seed=3)
     assert p.count() == 30 and spatial.excluded(p, o).count() == 0 and spatial.excluded(p, z).count() == 30
+
+
+def test_local_search_on_tables(spark):
+    from squadron.operators import search
+
+    x = Inputs(spark, SF)
+    stops = x.sorties.where("stop_idx <= 8").select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")
+    from squadron.operators.metrics import legs, route_length
+
+    keys = ("run_id", "cluster_id", "sortie_id")
+    before = route_length(legs(stops, keys, "stop_idx"), *keys).withColumnRenamed("dist_m", "before")
+    after = route_length(legs(search.two_opt_sorties(stops), keys, "stop_idx"), *keys)
+    both = before.join(after, list(keys))
+    assert both.where("dist_m > before + 1e-6").count() == 0 and both.where("dist_m < before - 1").count() > 0
+    made = search.tender_sorties(x.targets, tours.tender_ends(x.points), 3, 4)
+    assert made.groupBy("run_id", "cluster_id", "sortie_id").count().where("count > 4 or sortie_id > 3").count() == 0
+    assert made.count() == made.select("node_id").distinct().count() == 300
+    tour = search.two_opt_tour(x.seq, fx.obstacles(spark, SF)).collect()
+    assert sorted(r.cluster_id for r in tour if r.run_id == 0) == [0, 0, 1, 6, 11, 16, 21]
