@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; only a single longer text makes a larger piece.
-PIECE = 4 << 20
+PIECE = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACES = np.zeros(256, bool)
@@ -20,6 +20,13 @@ MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+#: What operators keep in a worker from task to task; a worker that goes on to other work drops it.
+KEPT: list[dict] = []
+
+
+def drop_kept() -> None:
+    for k in KEPT:
+        k.clear()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +71,12 @@ def column(values) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def pieces(values) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about PIECE bytes."""
+def pieces(values, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes."""
     raw, off = column(values)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, n)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron.llm.common import Scratch, documents, keep_ids
-from squadron.llm.textkit import MARKS, Words, pieces
+from squadron.llm.textkit import MARKS, Words, drop_kept, pieces
 
 #: Bound of the sample of labelled rows, for each label.
 SAMPLE = 4000
 #: Terms are those that tell the labels apart: at most so many, with so large a G statistic.
-TERMS, LEAST_G = 512, 14.0
+#: and whose share of the documents of one label is at least so many times that of the other: longer texts and other
+#: mixes of languages make many common words significant, but not by much.
+TERMS, LEAST_G, LEAST_RATIO = 512, 24.0, 3.0
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
 EVIDENCE = 5
 MEMO = 100_000
@@ -31,6 +33,7 @@ def held_out():
 
 def term_counts(values, terms: np.ndarray | None = None):
     """For each piece: (first row, rows, distinct (row, term), times); a term is a word hash, or its place in ``terms``."""
+    drop_kept()
     for i, j, raw, off in pieces(values):
         w = Words(raw, off, MARKS, lower=True)
         row, h = w.row(), w.hash
@@ -73,7 +76,9 @@ def choose_terms(texts: DataFrame, n0: int, n1: int, terms: int) -> np.ndarray:
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b, n = F.col("a"), F.col("b"), float(n0 + n1)
     g = sum((part(o, m * F.lit(s) / n) for o, m, s in ((a, a + b, n0), (b, a + b, n1), (n0 - a, n - a - b, n0), (n1 - b, n - a - b, n1))), F.lit(0.0)) * 2
-    got = counts.where("a + b >= 3").withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.col("g").desc(), "term").limit(terms).select("term").collect()
+    low, high = (a + 0.5) / (n0 + 1.0), (b + 0.5) / (n1 + 1.0)
+    ratio = F.greatest(low / high, high / low) >= LEAST_RATIO
+    got = counts.where("a + b >= 3").where(ratio).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.col("g").desc(), "term").limit(terms).select("term").collect()
     return np.sort(np.array([r.term for r in got], np.int64).view(np.uint64))
 
 
@@ -135,14 +140,18 @@ class Index:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
                 break
+            # At an equal bound only examples before the last one found could still come in.
+            if len(best) == k and bound[b] <= best[0][0] + 1e-12 and b * BLOCK > -best[0][1]:
+                continue
             s = np.zeros(BLOCK)
             for x, y in zip(t.tolist(), v.tolist(), strict=True):
                 if (hit := self.lists.get((x, b))) is not None:
                     s[hit[0]] += y * hit[1]
-            for d in np.flatnonzero(s).tolist():
+            s = np.round(s, 12)
+            for d in np.flatnonzero(s >= best[0][0] if len(best) == k else s > 0).tolist():
                 e = b * BLOCK + d
-                if e != without:
-                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (round(float(s[d]), 12), -e))
+                if e != without and s[d] > 0:
+                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (float(s[d]), -e))
         return [(c, -e) for c, e in sorted(best, reverse=True)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
