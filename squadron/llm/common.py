@@ -13,6 +13,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many ids (8 bytes each, about 64 MB hashed) may be broadcast; beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch: texts are long, and a batch stands in memory on both sides.
+BATCH_ROWS = "2000"
 
 
 class Scratch:
@@ -22,6 +24,7 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="squadron-")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -76,22 +79,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     nulls are ignored; an empty input gives an empty table.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = scratch.save(e, "edges-0")
-    before, step = None, 0
+    step = 0
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        step += 1
-        large = scratch.save(large, f"edges-{step}")
+        large = scratch.save(large, f"large-{step}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
-        small = small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
-        step += 1
-        e = scratch.save(small, f"edges-{step}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in range(step - 1):
-            scratch.drop(f"edges-{old}")
-        if now == before:
+        e = scratch.save(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), f"small-{step}")
+        if step:
+            scratch.drop(f"large-{step - 1}")
+            scratch.drop(f"small-{step - 1}")
+        # Stars: a node has one root, and no root has a root.
+        two = e.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("u")
+        if two.union(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        step += 1

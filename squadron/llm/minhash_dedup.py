@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron.llm.common import Scratch, components, documents, keep_ids
-from squadron.llm.textkit import Words, distinct, mix, pieces, shingles
+from squadron.llm.textkit import Words, distinct, drop_kept, mix, pieces, shingles
 
 #: Signatures have CHUNKS chunks of WIDTH values of 16 bits. One value of a chunk may differ, so by the pigeonhole rule
-#: all pairs that differ in 2 * CHUNKS - 1 values or fewer share a key. A pair of similarity 0.8 has 9 differing values
-#: of 45 on average and is missed with probability (1 - 0.8**5 - 5 * 0.2 * 0.8**4) ** 9, about 6e-6.
-CHUNKS, WIDTH = 9, 5
+#: all pairs that differ in 2 * CHUNKS - 1 values or fewer share a key. A pair of similarity 0.8 shares none with
+#: probability (1 - 0.8**7 - 7 * 0.2 * 0.8**6) ** 14, about 6e-6. Unlike texts share a key of six values with the sixth
+#: power of their similarity (0.03 to 0.04 here), so they hardly meet; a corpus of 10**10 texts wants wider chunks.
+CHUNKS, WIDTH = 14, 7
 VALUES = CHUNKS * WIDTH
 #: Pairs found that differ in more values than this (similarity 0.8: over 6 deviations) are not compared in full.
-FAR = 28
-#: Rounds in which a bucket's rows are compared with one leader only, before what is left is compared pair by pair.
-ROUNDS = 3
+FAR = 45
+#: Rounds in which a text is compared with so many leaders at most, before the components left are compared.
+ROUNDS, LEADERS = 2, 8
+#: Documents of a component whose sets a task holds at a time.
+HOST_BLOCK = 250
 SALT_ROWS = 2000
 
 _RANDOM = np.random.default_rng(20240229)
@@ -26,7 +29,11 @@ _FACTORS = _RANDOM.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32) | n
 _SHIFTS = _RANDOM.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32)
 
 
+SIGNED = "doc_id long, n_shingles long, sum_a long, sum_b long, sig binary"
+
+
 def sets_of(values, size: int):
+    drop_kept()
     for i, j, raw, off in pieces(values):
         h, first = shingles(Words(raw, off, lower=True), size)
         yield i, j - i, *distinct(h, first)
@@ -125,6 +132,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch
     return rows.mapInArrow(each, "a long, b long")
 
 
+def component_links(rows: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components that share a bucket, from open rows (key, doc_id, root).
+
+    Neither documents nor components are paired. In each bucket the largest component is the host and the others are its
+    guests. The documents of a host and of all its guests are dealt into blocks; each guest document visits every block
+    and is compared with all full sets of other components there at once. So rows grow with documents times blocks.
+    """
+    member = rows.select("root", "doc_id").distinct()
+    sized = scratch.save(member.groupBy("root").agg(F.count("*").alias("size")), "open-sizes")
+    own = rows.select("key", "root").distinct().join(sized, "root")
+    rank = F.max(F.struct("size", (-F.col("root")).alias("neg"))).alias("h")
+    hosts = own.groupBy("key").agg(rank).select("key", (-F.col("h.neg")).alias("host"))
+    meet = scratch.save(own.join(hosts, "key").where("root <> host").select("host", "root", "size").distinct(), "open-guests")
+    total = meet.groupBy("host").agg(F.sum("size").alias("guests")).join(sized.withColumnsRenamed({"root": "host", "size": "own"}), "host")
+    total = total.select("host", F.ceil((F.col("guests") + F.col("own")) / HOST_BLOCK).cast("int").alias("blocks"))
+    all_ = meet.select("host", "root", F.lit(True).alias("visits")).union(meet.select("host", F.col("host").alias("root"), F.lit(False)).distinct())
+    all_ = all_.join(total, "host").join(member, "root")
+    stay = all_.select("host", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "root", "doc_id")
+    come = all_.where("visits").select("host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "root", "doc_id")
+    ids = scratch.save(member.select("doc_id").distinct(), "open-ids")
+    few = keep_ids(texts, ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    dealt = stay.union(come).join(few, "doc_id").repartition("host", "block").sortWithinPartitions("host", "block", "kind", "doc_id")
+
+    def each(batches):
+        at, docs, sets, index = None, [], [], None
+        for b in batches:
+            host, block, kind, root, doc = (b.column(c).to_pylist() for c in ("host", "block", "kind", "root", "doc_id"))
+            left, right = [], []
+            for i, m, h, first in sets_of(b.column("text"), size):
+                for r in range(m):
+                    k, s = i + r, h[first[r] : first[r + 1]]
+                    if at != (host[k], block[k]):
+                        at, docs, sets, index = (host[k], block[k]), [], [], None
+                    if kind[k] == 0:
+                        docs.append((root[k], doc[k]))
+                        sets.append(s)
+                        continue
+                    if not docs:  # no document was dealt to this block
+                        continue
+                    if index is None:
+                        flat, n = np.concatenate(sets), np.array([len(t) for t in sets])
+                        roots = np.array([d[0] for d in docs])
+                        order = np.argsort(flat, kind="stable")
+                        index = flat[order], np.repeat(np.arange(len(n)), n)[order], n
+                    flat, owner, n = index
+                    a, z = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                    hit = a < z
+                    span = (z - a)[hit]
+                    place = np.repeat(a[hit] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+                    common = np.bincount(owner[place], minlength=len(n))
+                    near = np.flatnonzero((100 * common >= percent * (n + len(s) - common)) & (roots != root[k]))
+                    # One link to each component is enough: its documents are joined already.
+                    for q in near[np.unique(roots[near], return_index=True)[1]].tolist():
+                        left.append(docs[q][1])
+                        right.append(doc[k])
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(each, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -133,21 +200,21 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     Texts without words, null ones too, have no set, no link, and stay. Rows that repeat a doc_id count as links of that
     id's other rows and each give a row; rows with a null doc_id are returned unlinked and kept. Other columns are ignored.
 
-    Documents of equal sets are one class from the start. In each bucket all classes are compared with a leader; links
-    found join classes to components, and a bucket stays only while it has several. After some rounds with other leaders
-    the pairs left, of different components only, are compared one by one: no link between components is lost, and a
-    group of copies never meets in all its pairs.
+    Documents of equal sets are one class from the start. Each class is compared with a leader of its buckets, then with
+    some more; links found join classes to components, and a bucket stays only while it has several. At the end the
+    components left in a bucket are compared in full: no link between components is lost, and a group of copies never
+    meets in all its pairs.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    sig = scratch.save(texts.mapInArrow(signatures(size), "doc_id long, n_shingles long, sum_a long, sum_b long, sig binary"), "signatures")
+    sig = scratch.save(texts.mapInArrow(signatures(size), SIGNED), "signatures")
     some = sig.where("n_shingles > 0")
     same = ["n_shingles", "sum_a", "sum_b"]
     reps = scratch.save(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = reps.select(F.col("rep").alias("doc_id"), "sig").mapInArrow(bucket_keys, "key long, doc_id long")
-    sizes = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key", "low")
-    rows = scratch.save(keys.join(sizes, "key").select("key", "doc_id", "low"), "buckets")
+    sizes = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("cnt")).where("low <> high").select("key", "cnt")
     signed = reps.select(F.col("rep").alias("doc_id"), "sig", "n_shingles")
+    rows = scratch.save(keys.join(sizes, "key").select("key", "doc_id", "cnt"), "buckets")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs that the length filter, the signatures and then the full sets confirm."""
@@ -161,19 +228,27 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     links, roots, done = None, None, None
     for step in range(ROUNDS + 1):
         if step == 0:
-            pairs = rows.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+            # The class with the most company leads its buckets: of near copies of a text, the one nearest to all.
+            weight = rows.groupBy("doc_id").agg(F.sum("cnt").alias("weight"))
+            w = rows.join(weight, "doc_id").select("key", "doc_id", F.struct("weight", (-F.col("doc_id")).alias("neg")).alias("rank"))
+            lead = w.groupBy("key").agg(F.max("rank").alias("lead"))
+            pairs = w.join(lead, "key").where("doc_id <> -lead.neg").groupBy("doc_id").agg((-F.max("lead")["neg"]).alias("lead"))
+            pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
         else:
             open_ = rows.join(roots, rows.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-            mixed = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min_by("doc_id", F.xxhash64(F.lit(step), "doc_id")).alias("lead"), F.count("*").alias("rows")).where("r <> s").select("key", "lead")
+            lead = F.min(F.struct(F.xxhash64(F.lit(step), "key", "doc_id").alias("h"), F.col("doc_id").alias("lead"), F.col("root").alias("lead_root"))).alias("l")
+            mixed = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), lead).where("r <> s").select("key", "l.lead", "l.lead_root")
             rows = scratch.save(open_.join(mixed, "key"), f"open-{step}")
             if rows.isEmpty():
                 break
             if step < ROUNDS:
-                ends = rows.where("doc_id = lead").select("key", F.col("root").alias("lead_root"))
-                pairs = rows.join(ends, "key").where("root <> lead_root").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+                some_leads = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(step), "lead").alias("h"), "lead"))), 1, LEADERS)
+                pairs = rows.where("root <> lead_root").groupBy("doc_id").agg(some_leads.alias("l")).select("doc_id", F.explode("l.lead").alias("lead"))
+                pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
             else:
-                x, y = rows.selectExpr("key", "doc_id as a", "root as ra"), rows.selectExpr("key", "doc_id as b", "root as rb")
-                pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
+                links = links.union(scratch.save(component_links(rows.select("key", "doc_id", "root"), texts, size, percent, scratch), "last-links"))
+                roots = components(links, scratch_part(scratch, step))
+                break
             pairs = pairs.join(done, ["a", "b"], "left_anti")
             rows = rows.select("key", "doc_id")
         pairs = scratch.save(pairs, f"pairs-{step}")
@@ -190,7 +265,7 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
         final = components(more, scratch_part(scratch, "again"))
         out = out.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     out = out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
-    lost = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(signatures(size), "doc_id long, n_shingles long, sum_a long, sum_b long, sig binary")
+    lost = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(signatures(size), SIGNED)
     return out.union(lost.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
