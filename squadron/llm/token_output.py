@@ -2,60 +2,145 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
-
+from itertools import repeat
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from squadron.llm.common import Scratch, documents, shuffle_partitions
+from squadron.llm.textkit import KEPT, pieces
 
 END = 0
 #: Writer settings: small row groups and pages, so that a reader of few documents skips the rest by the page index.
 LAYOUT = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
-    "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "zstd",
+    "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "snappy",
 }
-#: Words kept with their ids in a worker; when full, the store starts anew.
-STORE = 400_000
-#: A blank with white space or an end of the text beside it: such texts are encoded as a whole.
-_ODD = re.compile(r"^ |\s | \s| $")
+#: A worker keeps the ids of words it sees until it has so many; those of others serve one run of texts.
+STORE = 800_000
+#: Bytes of text encoded together.
+RUN = 8 << 20
+#: Characters that some pattern of a tokenizer takes for white space.
+WHITE = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 _encoders: dict[str, "Encoder"] = {}
+KEPT.append(_encoders)
+
+
+def odd(text: str) -> bool:
+    """A blank has white space or an end of the text beside it: such texts are encoded as a whole."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    return any(f" {c}" in text or f"{c} " in text for c in WHITE if c in text)
 
 
 class Encoder:
     """Encodes texts word by word with a store of words seen.
 
     A byte-level BPE of this family never joins a blank between two other characters with what stands before it, so
-    a text cut before each such blank has the ids of its parts, one after the other.
+    a text cut before each such blank has the ids of its parts, one after the other. New words are encoded together, each
+    behind a blank; in the ids a word begins where a token begins with that blank's mark.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        parts = [None if _ODD.search(t) else t.split(" ") for t in texts]
-        for store, blank, seen in ((self.first, "", [p[:1] for p in parts if p]), (self.later, " ", [p[1:] for p in parts if p])):
-            if len(store) > STORE:
-                store.clear()
-            new = list(set().union(*seen).difference(store))
-            store.update(zip(new, self.whole([blank + w for w in new]), strict=True))
-        get = self.later.__getitem__
-        odd = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(odd) if p is None else self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")
+        self.mark = {m: int(self.whole([m])[0][0]) for m in ".,"}
+        self.store: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def later(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each behind a blank, and how many each has; words have no blank."""
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
+            (own,) = self.whole([" " + " ".join(part)])
+            at = np.flatnonzero(self.begins[own])
+            if len(at) == len(part):
+                ids.append(own)
+                sizes.append(np.diff(at, append=len(own)))
+            else:
+                lists = self.whole([" " + w for w in part])
+                ids += lists
+                sizes.append(np.array([len(x) for x in lists]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entry of each distinct word, ids, begin and size of each entry); new words join the store while it has room."""
+        find = lambda ws, d: np.fromiter(map(d.get, ws, repeat(-1)), np.int64, len(ws))
+        entry = find(unique, self.store)
+        miss = np.flatnonzero(entry < 0)
+        new = [unique[k] for k in miss.tolist()]
+        # A full stop or comma behind a letter is a piece of its own.
+        ended = np.array([w[-1] in ".," and w[:-1].isalpha() for w in new], bool)
+        tails = [w for w, e in zip(new, ended.tolist(), strict=True) if e]
+        bare = [w[:-1] for w in tails]
+        base = find(bare, self.store)
+        fresh = list(dict.fromkeys([w for w, e in zip(new, ended.tolist(), strict=True) if not e] + [w for w, b in zip(bare, base.tolist(), strict=True) if b < 0]))
+        ids, size = self.later(fresh)
+        made = dict(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
+        flat, size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        begin = np.cumsum(size) - size
+        base = np.where(base < 0, find(bare, made), base)
+        entry[miss[~ended]] = find([w for w, e in zip(new, ended.tolist(), strict=True) if not e], made)
+        entry[miss[ended]] = len(size) + np.arange(len(tails))
+        n = size[base] + 1
+        end = np.cumsum(n)
+        more = np.append(flat, 0)[np.minimum(np.repeat(begin[base] - (end - n), n) + np.arange(end[-1] if len(end) else 0), len(flat))]
+        more[end - 1] = [self.mark[w[-1]] for w in tails]
+        made.update(zip(tails, range(len(size), len(size) + len(tails)), strict=True))
+        flat, size = np.concatenate([flat, more]), np.concatenate([size, n])
+        begin = np.cumsum(size) - size
+        if len(self.store) < STORE:
+            self.store.update(made)
+            self.flat, self.begin, self.size = flat, begin, size
+        return entry, flat, begin, size
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it, and the offset of each text in them.
+
+        Words are numbered by Arrow, so Python sees each distinct word once; ids are gathered by numpy. A text that has
+        to be encoded whole counts as one word.
+        """
+        strange = [odd(t) for t in texts]
+        heads = self.whole([t if o else t.partition(" ")[0] for t, o in zip(texts, strange, strict=True)])
+        cut = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, strange, strict=True)], pa.large_string()), " ")
+        first = np.asarray(cut.offsets)
+        coded = cut.values.dictionary_encode()
+        code = np.asarray(coded.indices)
+        head = first[:-1]
+        seen = np.zeros(len(coded.dictionary), bool)
+        later = np.ones(len(code), bool)
+        later[head] = False
+        seen[code[later]] = True
+        used = np.flatnonzero(seen)
+        entry, flat, begin, size = self.words(coded.dictionary.take(pa.array(used)).to_pylist())
+        place = np.zeros(len(seen), np.int32)
+        place[used] = entry
+        code = place[code]
+        code[head] = len(size) + np.arange(len(texts))
+        code = np.insert(code, first[1:], len(size) + len(texts))
+        own = np.array([*(len(x) for x in heads), 1])
+        begin = np.concatenate([begin, len(flat) + np.cumsum(own) - own])
+        size, flat = np.concatenate([size, own]), np.concatenate([flat, *heads, np.array([end], np.int32)])
+        n = size.astype(np.int32)[code]
+        after = np.cumsum(n, dtype=np.int32)  # a run of texts has far fewer ids than 2**31
+        ids = flat[np.repeat(begin.astype(np.int32)[code] - (after - n), n) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+        return ids, np.concatenate([[0], after[first[1:] + np.arange(len(texts))]])
 
 
 def encoder(path: str) -> Encoder:
@@ -64,30 +149,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def runs_of(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
-    run, size = [], 0
-    for t in texts:
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def tokenise(path: str, end: int):
     def each(batches):
-        enc, tail = encoder(path), np.array([end], "<i4").tobytes()
+        enc = encoder(path)
         for b in batches:
-            ids, texts, at = b.column("doc_id"), b.column("text").to_pylist(), 0
-            for run in runs_of(texts):
-                lists = [x + tail for x in enc.encode(run)]
-                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(lists), "<i4"))
-                tokens = pa.ListArray.from_arrays(pa.array(off), values)
-                yield pa.record_batch([ids.slice(at, len(run)), pa.array(np.diff(off)), tokens], ["doc_id", "n_tokens", "tokens"])
-                at += len(run)
+            ids = b.column("doc_id")
+            for i, j, _, _ in pieces(b.column("text"), RUN):
+                values, off = enc.encode([t or "" for t in b.column("text").slice(i, j - i).to_pylist()], end)
+                tokens = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values, pa.int32()))
+                yield pa.record_batch([ids.slice(i, j - i), pa.array(np.diff(off).astype(np.int32)), tokens], ["doc_id", "n_tokens", "tokens"])
+                pa.default_memory_pool().release_unused()
 
     return each
 
