@@ -21,7 +21,7 @@ LAYOUT = {
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "snappy",
 }
 #: A worker keeps the ids of words it sees until it has so many; those of others serve one run of texts.
-STORE = 800_000
+STORE = 500_000
 #: Bytes of text encoded together.
 RUN = 8 << 20
 #: Characters that some pattern of a tokenizer takes for white space.
