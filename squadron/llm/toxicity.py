@@ -1,8 +1,8 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over an inverted index of every word of the examples."""
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,16 @@ from squadron.llm.textkit import MARKS, Words, drop_kept, pieces
 
 #: Bound of the sample of labelled rows, for each label.
 SAMPLE = 4000
-#: Terms are those that tell the labels apart: at most so many, with so large a G statistic.
-#: and whose share of the documents of one label is at least so many times that of the other: longer texts and other
-#: mixes of languages make many common words significant, but not by much.
-TERMS, LEAST_G, LEAST_RATIO = 512, 24.0, 3.0
-NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
+#: Every word of the examples is a term. A term that tells the labels apart by so large a G statistic and so many times
+#: the share of documents has its whole weight, others have less, down to FAINT of it: a few words make a text toxic, and
+#: by plain TF-IDF the subject outweighs them. Both factors count, since longer texts and other mixes of languages make
+#: many common words significant, but not by much.
+FULL_G, FULL_RATIO, FAINT = 24.0, 3.0, 0.02
+NEIGHBOURS, PRIOR = 15, 0.25
 EVIDENCE = 5
-MEMO = 100_000
+#: A list of more than the examples divided by so many is a long one.
+LONG = 12
+MEMO = 20_000
 
 
 def crc(doc_id="doc_id"):
@@ -41,12 +44,9 @@ def term_counts(values, terms: np.ndarray | None = None):
             if not len(terms):
                 row, h = row[:0], np.empty(0, np.int64)
             else:
-                low = np.zeros(1 << 16, bool)
-                low[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-                near = np.flatnonzero(low[(h & np.uint64(0xFFFF)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(terms, h[near]), len(terms) - 1)
-                hit = terms[at] == h[near]
-                row, h = row[near[hit]], at[hit]
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                hit = terms[at] == h
+                row, h = row[hit], at[hit]
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         new = np.ones(len(h), bool)
@@ -63,8 +63,8 @@ def sample_ids(labels: DataFrame, size: int) -> DataFrame:
     return pick(0).union(pick(1)), known.groupBy("toxic").agg(F.count("*").alias("n"))
 
 
-def choose_terms(texts: DataFrame, n0: int, n1: int, terms: int) -> np.ndarray:
-    """Hashes of the words whose document counts tell the labels apart most, by the G statistic, ascending."""
+def term_forces(texts: DataFrame, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the examples, ascending, and how much each tells the labels apart, from FAINT to 1."""
 
     def each(batches):
         for b in batches:
@@ -73,13 +73,16 @@ def choose_terms(texts: DataFrame, n0: int, n1: int, terms: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(y[i + row].astype(np.int32))], ["term", "toxic"])
 
     counts = texts.mapInArrow(each, "term long, toxic int").groupBy("term").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("a"))
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b, n = F.col("a"), F.col("b"), float(n0 + n1)
-    g = sum((part(o, m * F.lit(s) / n) for o, m, s in ((a, a + b, n0), (b, a + b, n1), (n0 - a, n - a - b, n0), (n1 - b, n - a - b, n1))), F.lit(0.0)) * 2
-    low, high = (a + 0.5) / (n0 + 1.0), (b + 0.5) / (n1 + 1.0)
-    ratio = F.greatest(low / high, high / low) >= LEAST_RATIO
-    got = counts.where("a + b >= 3").where(ratio).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.col("g").desc(), "term").limit(terms).select("term").collect()
-    return np.sort(np.array([r.term for r in got], np.int64).view(np.uint64))
+    got = counts.toArrow()
+    terms, a, b = (got.column(c).to_numpy() for c in ("term", "a", "b"))
+    terms = terms.view(np.uint64)
+    order = np.argsort(terms)
+    terms, a, b, n = terms[order], a[order].astype(float), b[order].astype(float), float(n0 + n1)
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-300)), 0.0)
+    g = sum(part(o, m * k / n) for o, m, k in ((a, a + b, n0), (b, a + b, n1), (n0 - a, n - a - b, n0), (n1 - b, n - a - b, n1))) * 2
+    ratio = np.abs(np.log((a + 0.5) / (n0 + 1.0)) - np.log((b + 0.5) / (n1 + 1.0)))
+    force = np.clip(g / FULL_G, 0, 1) * np.minimum(1, ratio / np.log(FULL_RATIO))
+    return terms, FAINT + (1 - FAINT) * force**2
 
 
 def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -91,37 +94,39 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
             n[-1] += b.num_rows
             for _, _, _, h, _ in term_counts(b.column("text"), terms):
                 n[:-1] += np.bincount(h.astype(np.int64), minlength=len(terms))
-        yield pa.record_batch([pa.array(np.arange(len(n))), pa.array(n)], ["term", "n"])
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], ["term", "n"])
 
-    got = docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in got:
-        out[r.term] = r.n
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
 class Index:
-    """Inverted lists in blocks of examples, with the largest weight of each list in each block."""
+    """Vectors of the examples, and for each term the list of its examples with their weights."""
 
     def __init__(self, ids: list[int], toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, weight: np.ndarray):
         self.ids, self.toxic, self.idf, self.weight = ids, toxic, idf, weight
-        self.blocks = -(-len(ids) // BLOCK)
-        self.most = np.zeros((len(idf), self.blocks))
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        blank = []
-        for d, (t, tf) in enumerate(vectors):
-            t, v = self.unit(t, tf)
-            if not len(t):
-                blank.append(d)
-            for k, x in zip(t.tolist(), v.tolist(), strict=True):
-                lists.setdefault((k, d // BLOCK), []).append((d % BLOCK, x))
-                self.most[k, d // BLOCK] = max(self.most[k, d // BLOCK], x)
-        for key, x in lists.items():
-            self.lists[key] = np.array([a for a, _ in x]), np.array([b for _, b in x])
+        units = [self.unit(t, tf) for t, tf in vectors]
+        size = np.array([len(t) for t, _ in units], np.int64)
+        self.rows = np.append(0, np.cumsum(size))
+        self.terms = np.concatenate([np.empty(0, np.int32), *(t.astype(np.int32) for t, _ in units)])
+        self.values = np.concatenate([np.empty(0), *(v for _, v in units)])
+        order = np.argsort(self.terms, kind="stable")
+        self.examples = np.repeat(np.arange(len(units)), size)[order]
+        self.shares = self.values[order]
+        self.lists = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
+        #: The longest lists stand in whole rows, which are added without a place for each example.
+        self.whole = {}
+        length = np.diff(self.lists)
+        for k in np.flatnonzero(length > len(ids) / LONG).tolist():
+            self.whole[k] = np.zeros(len(ids))
+            self.whole[k][self.examples[self.lists[k] : self.lists[k + 1]]] = self.shares[self.lists[k] : self.lists[k + 1]]
         all_, bad = weight.sum() if len(ids) else 0.0, (weight * toxic).sum() if len(ids) else 0.0
         self.base = (bad + 0.5) / (all_ + 1)
         #: A text without a term is like the examples without a term.
+        blank = size == 0
         own = weight[blank]
         self.empty = float(((own * toxic[blank]).sum() + self.base) / (own.sum() + 1))
 
@@ -130,29 +135,26 @@ class Index:
         norm = np.sqrt((v * v).sum())
         return (t, v / norm) if norm > 0 else (t[:0], v[:0])
 
+    def row(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of an example."""
+        at = slice(self.rows[d], self.rows[d + 1])
+        return self.terms[at], self.values[at]
+
     def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, exactly; ties to the earlier example.
-
-        Blocks are opened from the largest bound on; the search ends when no bound reaches the k-th cosine found.
-        """
-        bound = v @ self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
-                break
-            # At an equal bound only examples before the last one found could still come in.
-            if len(best) == k and bound[b] <= best[0][0] + 1e-12 and b * BLOCK > -best[0][1]:
-                continue
-            s = np.zeros(BLOCK)
-            for x, y in zip(t.tolist(), v.tolist(), strict=True):
-                if (hit := self.lists.get((x, b))) is not None:
-                    s[hit[0]] += y * hit[1]
-            s = np.round(s, 12)
-            for d in np.flatnonzero(s >= best[0][0] if len(best) == k else s > 0).tolist():
-                e = b * BLOCK + d
-                if e != without and s[d] > 0:
-                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (float(s[d]), -e))
-        return [(c, -e) for c, e in sorted(best, reverse=True)]
+        """The k examples of largest cosine, exactly; ties to the earlier example. Every list of every term is summed."""
+        s = np.zeros(len(self.ids))
+        for j, a, z, x in zip(t.tolist(), self.lists[t].tolist(), self.lists[t + 1].tolist(), v.tolist(), strict=True):
+            if (row := self.whole.get(j)) is not None:
+                s += x * row
+            elif a < z:
+                s[self.examples[a:z]] += x * self.shares[a:z]
+        s = np.round(s, 12)
+        if without >= 0:
+            s[without] = 0
+        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+        some = np.flatnonzero(s >= least if least > 0 else s > 0)
+        some = some[np.argsort(-s[some], kind="stable")[:k]]
+        return list(zip(s[some].tolist(), some.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -175,59 +177,71 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([p[0] / p[2] for p in pool]), np.array([p[1] / p[2] for p in pool])
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int, terms: int):
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int):
+    """Terms and index of the examples, both broadcast, and the calibration of their votes."""
+    spark = docs.sparkSession
     pick, counts = sample_ids(labels, sample)
     pick = scratch.save(pick, "sample")
     n = {r.toxic: r.n for r in counts.collect()}
     texts = keep_ids(docs.where("doc_id is not null").select("doc_id", "text"), pick, "doc_id", "inner")
     texts = scratch.save(texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "examples")
     drawn = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = choose_terms(texts, drawn.get(0, 0), drawn.get(1, 0), terms) if len(drawn) == 2 else np.empty(0, np.uint64)
+    chosen, force = term_forces(texts, drawn.get(0, 0), drawn.get(1, 0))
     count = document_counts(docs, chosen)
-    idf = np.log((count[-1] + 1) / (count[:-1] + 1)) + 0.1
+    idf = (np.log((count[-1] + 1) / (count[:-1] + 1)) + 0.1) * force
 
     def vectors(batches):
         for b in batches:
             for i, m, row, h, tf in term_counts(b.column("text"), chosen):
-                cut = np.searchsorted(row, np.arange(m + 1))
-                pairs = [[h[a:z].astype(int).tolist(), tf[a:z].astype(int).tolist()] for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.record_batch([b.column("doc_id").slice(i, m), b.column("toxic").slice(i, m), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "times"])
+                cut = pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (h, tf)]
+                yield pa.record_batch([b.column("doc_id").slice(i, m), b.column("toxic").slice(i, m), *lists], ["doc_id", "toxic", "terms", "times"])
 
-    got = sorted(texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, times array<int>").collect())
-    toxic = np.array([r.toxic for r in got], float)
+    got = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, times array<int>").toArrow().sort_by("doc_id")
+    ids, toxic = got.column("doc_id").to_pylist(), got.column("toxic").to_numpy().astype(float)
     # A label of which fewer rows were drawn counts for more, so votes follow the labels as they are in all rows.
-    weight = np.array([n[r.toxic] / drawn[r.toxic] for r in got], float)
-    index = Index([r.doc_id for r in got], toxic, [(np.array(r.terms, int), np.array(r.times, float)) for r in got], idf, weight)
-    votes = []
-    for d, r in enumerate(got):
-        t, v = index.unit(np.array(r.terms, int), np.array(r.times, float))
-        votes.append(index.vote(index.nearest(t, v, NEIGHBOURS, without=d) if len(t) else []))
-    x, y = rising(np.array(votes), toxic, weight) if got else (np.array([0.0]), np.array([0.0]))
-    return chosen, index, x, y
+    weight = np.array([n[int(y)] / drawn[int(y)] for y in toxic], float)
+    each = zip(got.column("terms"), got.column("times"), strict=True)
+    index = Index(ids, toxic, [(t.values.to_numpy(), tf.values.to_numpy().astype(float)) for t, tf in each], idf, weight)
+    model = spark.sparkContext.broadcast((chosen, index))
+    if not ids:
+        return model, np.array([0.0]), np.array([0.0])
+
+    def judge(batches):
+        _, index = model.value
+        for b in batches:
+            votes = []
+            for d in b.column("id").to_pylist():
+                t, v = index.row(d)
+                votes.append(index.vote(index.nearest(t, v, NEIGHBOURS, without=d) if len(t) else []))
+            yield pa.record_batch([b.column("id"), pa.array(votes, pa.float64())], ["id", "vote"])
 
+    votes = spark.range(0, len(ids), 1, -(-len(ids) // 250)).mapInArrow(judge, "id long, vote double").toArrow().sort_by("id")
+    return model, *rising(votes.column("vote").to_numpy(), toxic, weight)
 
-def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+
+def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence) for every row of ``docs`` (doc_id, text).
 
-    Examples are at most ``sample`` rows of each label outside the held-out fold; document counts of their terms run over
-    all documents. The votes of the nearest examples, weighted by squared cosine, are calibrated by an isotonic fit on
-    the examples, each judged by the others. ``evidence`` has the nearest examples' ids and cosines. Texts without a term,
-    null and empty ones too, have the rate of such examples; with no examples the score is 0.5 / 1 at most and nothing is
-    predicted toxic. Of labels that repeat a doc_id the larger counts, other labels than 0 and 1 are left out; repeated
-    documents are each scored; a null doc_id is not held out; other columns are ignored.
+    Examples are at most ``sample`` rows of each label outside the held-out fold; all their words are terms, and document
+    counts of these run over all documents. The weight of a term is TF-IDF times how much it tells the labels of the
+    examples apart; words of no example have no weight. The votes of the nearest examples, weighted by squared cosine, are
+    calibrated by an isotonic fit on the examples, each judged by the others. ``evidence`` has the nearest examples' ids
+    and cosines. Texts without a term, null and empty ones too, have the rate of such examples; with no examples the score
+    is 0.5 / 1 at most and nothing is predicted toxic. Of labels that repeat a doc_id the larger counts, other labels than
+    0 and 1 are left out; repeated documents are each scored; a null doc_id is not held out; other columns are ignored.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs, labels, scratch, sample, terms))
+    model, x, y = learn(docs, labels, scratch, sample)
 
     def score(batches):
-        chosen, index, x, y = model.value
+        chosen, index = model.value
         memo: dict[bytes, tuple[float, list]] = {}
         for b in batches:
             for i, m, row, h, tf in term_counts(b.column("text"), chosen):
                 cut = np.searchsorted(row, np.arange(m + 1)).tolist()
                 scores, shown = [], []
                 for a, z in zip(cut[:-1], cut[1:], strict=True):
-                    key = h[a:z].astype("<i4").tobytes() + tf[a:z].astype("<i4").tobytes()
+                    key = hashlib.blake2b(h[a:z].astype("<i4").tobytes() + tf[a:z].astype("<i4").tobytes(), digest_size=16).digest()
                     if key not in memo:
                         if len(memo) > MEMO:
                             memo.clear()

@@ -155,6 +155,19 @@ def test_toxicity(spark, nothing, scratch):
     assert len(none) == len(rows) and {r.predicted for r in none} <= {0, 1}
 
 
+def test_toxicity_keeps_every_word(spark, scratch):
+    """Also a text without any word that tells the labels apart has its nearest examples, by all words it shares."""
+    plain = [f"a{i} b{i} c{i % 7}" for i in range(200)]
+    rows = [(i, t + (" scum" if i % 4 == 0 else "")) for i, t in enumerate(plain)] + [(900, plain[21] + " new"), (901, "c3")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(d, y, scratch).collect()}
+    kept = [i for i in range(200) if not got[i].held_out]
+    assert all(got[i].evidence[0].example == i and got[i].evidence[0].cosine > 0.999 for i in kept)
+    assert 21 in kept and got[900].evidence[0].example == 21 and got[900].evidence[0].cosine > 0.999 and got[900].predicted == 0
+    assert {e.example % 7 for e in got[901].evidence} == {3}
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_shingle_hashes(size):
     import pyarrow as pa
