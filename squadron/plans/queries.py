@@ -93,6 +93,12 @@ class Inputs:
         stops = tours.sortie_stops(self.sorties, tours.tender_ends(tours.waypoints(seq)), seq)
         return metrics.legs(stops, ("run_id", "cluster_seq", "cluster_id", "sortie_id"), "stop_idx")
 
+    @property
+    def least_cap(self) -> int:
+        """Stops of a boat with which the boats serve every node of the largest cluster."""
+        most = self.targets.groupBy("run_id", "cluster_id").count().agg(F.max("count")).first()[0]
+        return -(-(most or 0) // fx.N_TENDERS)
+
     @property
     def problem(self):
         """A small fleet problem: the sites as one run, the obstacles as both zone sets."""
@@ -311,7 +317,7 @@ query("g9_cluster_sortie_lengths", "SELECT run_id, cluster_seq, round(max(d), 3)
 )
 query("i3_two_opt_tour")(lambda s, d: search.two_opt_tour(Inputs(s, d).seq, fx.obstacles(s, d)))
 query("i5_two_opt_sorties")(lambda s, d: search.two_opt_sorties(Inputs(s, d).sorties.where("stop_idx <= 12").select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")))
-query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)).targets, tours.tender_ends(x.points), 3, 4))
+query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)).targets, tours.tender_ends(x.points), fx.N_TENDERS, x.least_cap))
 query("i16_rebuilt_ends", "SELECT run_id, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(
     lambda s, d: rounded(tours.rebuilt_ends((x := Inputs(s, d)).sortie_legs, tours.tender_ends(x.points)).select("run_id", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m")
 )

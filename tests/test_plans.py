@@ -206,3 +206,12 @@ def test_local_search_on_tables(spark):
     assert made.count() == made.select("node_id").distinct().count() == 300
     tour = search.two_opt_tour(x.seq, fx.obstacles(spark, SF)).collect()
     assert sorted(r.cluster_id for r in tour if r.run_id == 0) == [0, 0, 1, 6, 11, 16, 21]
+
+
+def test_every_target_gets_a_sortie(spark):
+    from squadron.plans.queries import QUERIES
+
+    made = QUERIES["i8_tender_sorties"](spark, SF)
+    nodes = fx.targets(spark, SF)
+    assert made.count() == nodes.count() and nodes.join(made, ["run_id", "cluster_id", "node_id"], "left_anti").count() == 0
+    assert made.where(f"sortie_id > {fx.N_TENDERS}").count() == 0
