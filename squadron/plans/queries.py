@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,7 +235,7 @@ query("d19_letter_ids", "SELECT s_suppkey + 1 AS n, CASE WHEN s_suppkey >= 702 T
 )
 query("d22_cluster_table", "SELECT run_id, CAST(0 AS BIGINT) AS id, depot_x AS lon, depot_y AS lat FROM fleet UNION ALL SELECT run_id, cluster_id, cx, cy FROM cent")(lambda s, d: spatial.cluster_table((x := Inputs(s, d)).centroids, x.fleet))
 query("d23_sequence_table", "SELECT run_id, seq, cluster_id, lon, lat FROM seq")(lambda s, d: spatial.sequence_table((x := Inputs(s, d)).seq.where("cluster_id <> 0").select("run_id", "seq", "cluster_id"), x.centroids, x.fleet))
-query("d5_prepared_zones")(lambda s, d: regions.prepared(fx.boxes(s, d).select((F.col("row_idx") + 1).alias("poly_idx"), "ring").where("poly_idx % 2 = 0"), 0.01, 1e-4, 1e-4))
+query("d5_prepared_zones")(lambda s, d: regions.prepared(fx.boxes(s, d).select((F.col("row_idx") + 1).alias("poly_idx"), "ring"), 0.01, 1e-4, 1e-4))
 query("d6_simplified_zones", "SELECT poly_idx, round(100 * (x1 - x0) * (y1 - y0), 6) AS area FROM obstacles")(lambda s, d: regions.simplify_and_filter(fx.obstacles(s, d).select("poly_idx", "ring"), 1e-4, 1e-4).select("poly_idx", F.round(geo.area(F.col("ring")) * 100, 6).alias("area")))
 query("d14_adjusted_zones")(lambda s, d: regions.adjusted(fx.obstacles(s, d).select("poly_idx", "ring"), fx.sites(s, d)))
 query("f7_angles", "SELECT node_id, round(atan2(0.5::DOUBLE * (y + 16.84) + 0.25::DOUBLE * (x - 146.175), 0.5::DOUBLE * (x - 146.175) - 0.25::DOUBLE * (y + 16.84)), 9) AS angle FROM sites")(
@@ -254,7 +255,17 @@ query("e7_relabelled", f"SELECT t.run_id, node_id, coalesce(new_id, t.cluster_id
 query("e8_cluster_mapping", "SELECT run_id, cluster_id, cluster_id AS new_id FROM cent")(lambda s, d: clustering.cluster_mapping((x := Inputs(s, d)).targets, x.centroids))
 query("h3_capped_kmeans")(lambda s, d: clustering.capped_kmeans(fx.sites(s, d).withColumn("run_id", (F.col("node_id") % 5).cast("bigint")), 6, n_restarts=4))
 query("h1_cluster_problem")(lambda s, d: clustering.cluster_problem((p := Inputs(s, d).problem).targets.points, p.zones.where("zone_set = 'tender'"), fx.DEPOT, 6, n_restarts=4))
-query("h2_disturbed_clusters")(lambda s, d: clustering.disturbed((x := Inputs(s, d)).targets.where("run_id = 0"), spatial.disturbance_of(x.targets.where("run_id = 0"), fx.boxes(s, d)), 5, 1000, n_restarts=2))
+
+
+def disturbed_runs(s, d):
+    """Every run after an event; an event belongs to one run, so runs are taken one by one."""
+    t = fx.targets(s, d)
+    values = spatial.disturbance_of(t, fx.boxes(s, d))
+    made = [clustering.disturbed(own, values, 5, 1000) for r in sorted(r.run_id for r in t.select("run_id").distinct().collect()) for own in [t.where(F.col("run_id") == r)]]
+    return reduce(DataFrame.unionByName, made)
+
+
+query("h2_disturbed_clusters")(disturbed_runs)
 
 # --- sinks, summaries, layers ---
 query("b1_points", "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY cluster_id, node_id) AS id, cluster_id, x, y FROM targets")(lambda s, d: sinks.export_points(fx.targets(s, d)))
@@ -310,13 +321,13 @@ query("e2_disturbance_table", "SELECT node_id, coalesce((SELECT arg_min(hs_mean,
 query("e6_relabelled_cells", "SELECT ix, iy, CASE WHEN v >= -5 THEN 100 + CAST(-v AS BIGINT) ELSE CAST(-v AS BIGINT) END AS cluster_id FROM cells")(
     lambda s, d: clustering.relabelled(fx.raster(s, d).select(F.lit(0).cast("bigint").alias("run_id"), "ix", "iy", (-F.col("v")).cast("bigint").alias("cluster_id")), s.range(0, 6).select(F.lit(0).cast("bigint").alias("run_id"), F.col("id").alias("cluster_id"), (F.col("id") + 100).alias("new_id"))).drop("run_id")
 )
-query("e9_assignment")(lambda s, d: clustering.hungarian(fx.sites(s, d).where("node_id < 20").select(F.lit(0).cast("bigint").alias("run_id"), F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(fx.boxes(s, d).select(F.col("row_idx").cast("bigint").alias("b"), "x0", "y0"), F.lit(True)).select("run_id", "a", "b", F.hypot(F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")).alias("cost"))))
+query("e9_assignment")(lambda s, d: clustering.hungarian(fx.sites(s, d).select(F.lit(0).cast("bigint").alias("run_id"), F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(fx.boxes(s, d).select(F.col("row_idx").cast("bigint").alias("b"), "x0", "y0"), F.lit(True)).select("run_id", "a", "b", F.hypot(F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")).alias("cost"))))
 query("g5_sortie_tours", "SELECT run_id, round(sum(dist_m), 3) AS dist_m FROM slegs GROUP BY 1")(lambda s, d: rounded(metrics.route_length(Inputs(s, d).sortie_legs, "run_id"), 3, "dist_m"))
 query("g9_cluster_sortie_lengths", "SELECT run_id, cluster_seq, round(max(d), 3) AS longest_m, round(sum(d), 3) AS sorties_m FROM per GROUP BY ALL")(
     lambda s, d: rounded(metrics._slowest((x := Inputs(s, d)).legs, x.sortie_legs, ("run_id",)).select("run_id", "cluster_seq", "longest_m", "sorties_m"), 3, "longest_m", "sorties_m")
 )
 query("i3_two_opt_tour")(lambda s, d: search.two_opt_tour(Inputs(s, d).seq, fx.obstacles(s, d)))
-query("i5_two_opt_sorties")(lambda s, d: search.two_opt_sorties(Inputs(s, d).sorties.where("stop_idx <= 12").select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")))
+query("i5_two_opt_sorties")(lambda s, d: search.two_opt_sorties(Inputs(s, d).sorties.select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")))
 query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)).targets, tours.tender_ends(x.points), fx.N_TENDERS, x.least_cap))
 query("i16_rebuilt_ends", "SELECT run_id, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(
     lambda s, d: rounded(tours.rebuilt_ends((x := Inputs(s, d)).sortie_legs, tours.tender_ends(x.points)).select("run_id", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m")

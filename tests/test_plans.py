@@ -215,3 +215,15 @@ def test_every_target_gets_a_sortie(spark):
     nodes = fx.targets(spark, SF)
     assert made.count() == nodes.count() and nodes.join(made, ["run_id", "cluster_id", "node_id"], "left_anti").count() == 0
     assert made.where(f"sortie_id > {fx.N_TENDERS}").count() == 0
+
+
+def test_queries_run_their_whole_tables(spark):
+    from squadron.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["i5_two_opt_sorties"](spark, SF).count() == fx.sorties(spark, SF).count()
+    assert QUERIES["e9_assignment"](spark, SF).select("a").distinct().count() == fx.sites(spark, SF).count()
+    zones = QUERIES["d5_prepared_zones"](spark, sf)
+    assert {r.poly_idx for r in spatial.containing(fx.boxes(spark, sf).select(F.col("row_idx").alias("node_id"), (F.col("x0") + 0.1).alias("x"), (F.col("y0") + 0.1).alias("y")), zones).select("poly_idx").collect()}.isdisjoint({0})
+    runs = {r.run_id for r in QUERIES["h2_disturbed_clusters"](spark, sf).select("run_id").distinct().collect()}
+    assert runs == {r.run_id for r in fx.targets(spark, sf).select("run_id").distinct().collect()}
