@@ -17,6 +17,8 @@ from squadron.sources import problem as src
 from squadron.sources import sinks
 from squadron.sources.fixtures import metres
 
+#: Sites of one fleet of the problem, about.
+FLEET_SITES = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -102,13 +104,15 @@ class Inputs:
 
     @property
     def problem(self):
-        """A small fleet problem: the sites as one run, the obstacles as both zone sets."""
+        """All sites outside the obstacles, dealt to fleets of up to about FLEET_SITES; the obstacles are both zone sets."""
         z = fx.obstacles(self.spark, self.d).select(F.lit(0).cast("bigint").alias("run_id"), "poly_idx", "ring")
         zones = z.withColumn("zone_set", F.lit("ms")).unionByName(z.withColumn("zone_set", F.lit("tender")))
-        free = spatial.excluded(fx.sites(self.spark, self.d), z, how="left_anti").where("node_id < 24")
-        t = free.select(F.lit(0).cast("bigint").alias("run_id"), "node_id", "x", "y")
-        values = spatial.disturbance_of(t, fx.boxes(self.spark, self.d)).select(F.lit(0).cast("bigint").alias("run_id"), "node_id", "disturbance_value")
-        return Problem(self.fleet.where("run_id = 0"), Targets(t, values), zones)
+        sites = fx.sites(self.spark, self.d)
+        run = (F.col("node_id") % max(1, -(-sites.count() // FLEET_SITES))).cast("bigint").alias("run_id")
+        t = spatial.excluded(sites, z, how="left_anti").select(run, "node_id", "x", "y")
+        values = spatial.disturbance_of(t, fx.boxes(self.spark, self.d)).select(run, "node_id", "disturbance_value")
+        fleet = self.fleet.drop("run_id").distinct().crossJoin(t.select("run_id").distinct()).select(*self.fleet.columns)
+        return Problem(fleet, Targets(t, values), zones)
 
 
 def rounded(df: DataFrame, digits: int = 6, *cols: str) -> DataFrame:
@@ -254,7 +258,7 @@ query("e7_relabelled", f"SELECT t.run_id, node_id, coalesce(new_id, t.cluster_id
 )
 query("e8_cluster_mapping", "SELECT run_id, cluster_id, cluster_id AS new_id FROM cent")(lambda s, d: clustering.cluster_mapping((x := Inputs(s, d)).targets, x.centroids))
 query("h3_capped_kmeans")(lambda s, d: clustering.capped_kmeans(fx.sites(s, d).withColumn("run_id", (F.col("node_id") % 5).cast("bigint")), 6, n_restarts=4))
-query("h1_cluster_problem")(lambda s, d: clustering.cluster_problem((p := Inputs(s, d).problem).targets.points, p.zones.where("zone_set = 'tender'"), fx.DEPOT, 6, n_restarts=4))
+query("h1_cluster_problem")(lambda s, d: clustering.cluster_problem((p := Inputs(s, d).problem).targets.points, p.zones.where("zone_set = 'tender'"), fx.DEPOT, 6))
 
 
 def disturbed_runs(s, d):
@@ -294,15 +298,15 @@ query("l9_problem_layers")(lambda s, d: layers.problem((p := Inputs(s, d).proble
 # --- whole plans ---
 
 
-def small_plans(s, d, **options):
-    return solve.solve(Inputs(s, d).problem, k=1, restarts=4, chains=2, min_iters=60, max_iters=60, **options)
+def plans(s, d, **options):
+    return solve.solve(Inputs(s, d).problem, **options)
 
 
-query("k1_initial_solution")(lambda s, d: solve.initial_solution(Inputs(s, d).problem, restarts=4).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours"), F.round("total", 3).alias("total")))
-query("k2_solve")(lambda s, d: small_plans(s, d).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours")))
-query("k6_disturbance_events")(lambda s, d: small_plans(s, d, events=[2, 3]).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours")))
-query("j14_waypoint_search")(lambda s, d: solve.optimise_waypoints(solve.initial_solution(Inputs(s, d).problem, restarts=4), Inputs(s, d).problem, generations=5).select("run_id", F.round("hours", 6).alias("hours")))
-query("l24_search_trace")(lambda s, d: layers.best_so_far(small_plans(s, d).select("run_id", F.inline("trace"))))
+query("k1_initial_solution")(lambda s, d: solve.initial_solution(Inputs(s, d).problem).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours"), F.round("total", 3).alias("total")))
+query("k2_solve")(lambda s, d: plans(s, d).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours")))
+query("k6_disturbance_events")(lambda s, d: plans(s, d, events=[2, 3]).select("run_id", "event_idx", "order", F.round("hours", 6).alias("hours")))
+query("j14_waypoint_search")(lambda s, d: solve.optimise_waypoints(solve.initial_solution(Inputs(s, d).problem), Inputs(s, d).problem).select("run_id", F.round("hours", 6).alias("hours")))
+query("l24_search_trace")(lambda s, d: layers.best_so_far(plans(s, d).select("run_id", F.inline("trace"))))
 query("a3_random_points")(lambda s, d: src.random_points(s, 50, fx.boxes(s, d).where("row_idx % 3 = 0").select("ring"), fx.obstacles(s, d).select("ring"), (146.0, 147.0, -17.0, -16.0)))
 query("a7_threshold_targets", "SELECT ix, iy, 1.0::DOUBLE AS v FROM cells WHERE v >= -8 AND ix BETWEEN 5 AND 30 AND iy BETWEEN 5 AND 30")(lambda s, d: src.threshold_targets(fx.raster(s, d), -8, 5, 30, 5, 30))
 query("a1_thinned_targets", "SELECT node_id FROM sites, (SELECT greatest(1, count(*) // 28) AS n FROM sites) WHERE (node_id - 1) % n = 0")(lambda s, d: src.thinned(fx.sites(s, d)).select("node_id"))
@@ -332,7 +336,7 @@ query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)
 query("i16_rebuilt_ends", "SELECT run_id, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(
     lambda s, d: rounded(tours.rebuilt_ends((x := Inputs(s, d)).sortie_legs, tours.tender_ends(x.points)).select("run_id", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m")
 )
-query("k4_improve_solution")(lambda s, d: solve.improve_solution(solve.initial_solution((p := Inputs(s, d).problem), restarts=4), p, chains=2, min_iters=40, max_iters=40).select("run_id", "order", F.round("hours", 6).alias("hours")))
+query("k4_improve_solution")(lambda s, d: solve.improve_solution(solve.initial_solution((p := Inputs(s, d).problem)), p).select("run_id", "order", F.round("hours", 6).alias("hours")))
 query("b8_problem_summary")(lambda s, d: sinks.problem_summary((p := Inputs(s, d).problem).targets.points, p.zones, p.fleet))
 query("l7_exclusion_layer", "SELECT 0 AS run_id, 'exclusions' AS layer, CAST(poly_idx AS VARCHAR) AS series, CAST(k AS INTEGER) AS ord, round(CASE WHEN k IN (1, 2) THEN x1 ELSE x0 END, 9) AS x, round(CASE WHEN k IN (2, 3) THEN y1 ELSE y0 END, 9) AS y, 0 AS style FROM obstacles, (SELECT unnest([0, 1, 2, 3, 4]) AS k)")(
     lambda s, d: rounded(layers.exclusions(fx.obstacles(s, d).withColumn("run_id", F.lit(0))).where("layer = 'exclusions'"), 9, "x", "y")

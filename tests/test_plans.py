@@ -227,3 +227,13 @@ def test_queries_run_their_whole_tables(spark):
     assert {r.poly_idx for r in spatial.containing(fx.boxes(spark, sf).select(F.col("row_idx").alias("node_id"), (F.col("x0") + 0.1).alias("x"), (F.col("y0") + 0.1).alias("y")), zones).select("poly_idx").collect()}.isdisjoint({0})
     runs = {r.run_id for r in QUERIES["h2_disturbed_clusters"](spark, sf).select("run_id").distinct().collect()}
     assert runs == {r.run_id for r in fx.targets(spark, sf).select("run_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("sf, least", [("/root/testdata/sf0.01", 1), ("/root/testdata/sf0.1", 10)])
+def test_problem_has_every_free_site(spark, sf, least):
+    p = Inputs(spark, sf).problem
+    free = spatial.excluded(fx.sites(spark, sf), fx.obstacles(spark, sf), how="left_anti").select("node_id").collect()
+    got = p.targets.points.select("run_id", "node_id").collect()
+    assert sorted(r.node_id for r in got) == sorted(r.node_id for r in free)
+    assert sorted(r.node_id for r in p.targets.disturbance.collect()) == sorted(r.node_id for r in free)
+    assert {r.run_id for r in got} == {r.run_id for r in p.fleet.collect()} and p.fleet.count() == least
