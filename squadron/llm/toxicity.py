@@ -21,8 +21,8 @@ SAMPLE = 4000
 FULL_G, FULL_RATIO, FAINT = 24.0, 3.0, 0.02
 NEIGHBOURS, PRIOR = 15, 0.25
 EVIDENCE = 5
-#: A list of more than the examples divided by so many is a long one.
-LONG = 12
+#: A list of more than the examples divided by so many is a long one; examples in a block.
+LONG, BLOCK = 12, 64
 MEMO = 20_000
 
 
@@ -104,25 +104,31 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Vectors of the examples, and for each term the list of its examples with their weights."""
+    """For each term the list of its examples with their weights; long lists have block maxima.
+
+    Examples stand in an order that puts like ones side by side, in blocks of ``BLOCK``, so the largest weight of a block
+    bounds its examples closely. A list with fewer postings than there would be in every block is its own bound.
+    """
 
     def __init__(self, ids: list[int], toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, weight: np.ndarray):
-        self.ids, self.toxic, self.idf, self.weight = ids, toxic, idf, weight
+        self.idf = idf
         units = [self.unit(t, tf) for t, tf in vectors]
         size = np.array([len(t) for t, _ in units], np.int64)
-        self.rows = np.append(0, np.cumsum(size))
-        self.terms = np.concatenate([np.empty(0, np.int32), *(t.astype(np.int32) for t, _ in units)])
-        self.values = np.concatenate([np.empty(0), *(v for _, v in units)])
-        order = np.argsort(self.terms, kind="stable")
-        self.examples = np.repeat(np.arange(len(units)), size)[order]
-        self.shares = self.values[order]
-        self.lists = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
-        #: The longest lists stand in whole rows, which are added without a place for each example.
-        self.whole = {}
-        length = np.diff(self.lists)
-        for k in np.flatnonzero(length > len(ids) / LONG).tolist():
-            self.whole[k] = np.zeros(len(ids))
-            self.whole[k][self.examples[self.lists[k] : self.lists[k + 1]]] = self.shares[self.lists[k] : self.lists[k + 1]]
+        terms = np.concatenate([np.empty(0, np.int64), *(t.astype(np.int64) for t, _ in units)])
+        values = np.concatenate([np.empty(0), *(v for _, v in units)])
+        length = np.bincount(terms, minlength=len(idf))
+        self.long = np.full(len(idf), -1, np.int32)
+        often = np.flatnonzero(length > len(ids) / LONG)
+        self.long[often] = np.arange(len(often))
+        row = np.repeat(np.arange(len(ids)), size)
+        rank = self.places(row, terms, values, len(ids), len(often))
+        order = np.lexsort((rank[row], terms))
+        self.examples = rank[row][order].astype(np.int32)
+        self.shares = values[order]
+        self.lists = np.append(0, np.cumsum(length))
+        back = np.argsort(rank)
+        self.ids, self.toxic, self.weight = [ids[k] for k in back.tolist()], toxic[back], weight[back]
+        self.rank = rank
         all_, bad = weight.sum() if len(ids) else 0.0, (weight * toxic).sum() if len(ids) else 0.0
         self.base = (bad + 0.5) / (all_ + 1)
         #: A text without a term is like the examples without a term.
@@ -130,39 +136,95 @@ class Index:
         own = weight[blank]
         self.empty = float(((own * toxic[blank]).sum() + self.base) / (own.sum() + 1))
 
+    def places(self, row: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int, often: int) -> np.ndarray:
+        """The place of each example in the order of blocks: halves along the axes in which the long lists vary most."""
+        rank = np.empty(n, np.int64)
+        if not often or n <= BLOCK:
+            rank[:] = np.arange(n)
+            return rank
+        x = np.zeros((n, often), np.float32)
+        at = self.long[terms]
+        x[row[at >= 0], at[at >= 0]] = values[at >= 0]
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        axes = np.linalg.eigh((x.T @ x).astype(np.float64))[1][:, ::-1][:, :6]
+        x = x @ axes.astype(np.float32)
+        open_, at = [np.arange(n)], 0
+        while open_:
+            some = open_.pop()
+            if len(some) <= BLOCK:
+                rank[some] = at + np.arange(len(some))
+                at += len(some)
+                continue
+            some = some[np.argsort(x[some, x[some].var(0).argmax()], kind="stable")]
+            half = -(-len(some) // (2 * BLOCK)) * BLOCK
+            open_ += [some[half:], some[:half]]
+        return rank
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the long lists by example, and their block maxima; made where they are first used."""
+        if not hasattr(self, "_rows"):
+            n, often = len(self.ids), int(self.long.max(initial=-1)) + 1
+            self._rows = np.zeros((-(-max(n, 1) // BLOCK) * BLOCK, often))
+            for t in np.flatnonzero(self.long >= 0).tolist():
+                at = slice(self.lists[t], self.lists[t + 1])
+                self._rows[self.examples[at], self.long[t]] = self.shares[at]
+            self._tops = np.ascontiguousarray(self._rows.reshape(-1, BLOCK, often).max(1).T) if often else np.zeros((0, len(self._rows) // BLOCK))
+        return self._rows, self._tops
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_tops")}
+
     def unit(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(tf)) * self.idf[t]
         norm = np.sqrt((v * v).sum())
         return (t, v / norm) if norm > 0 else (t[:0], v[:0])
 
-    def row(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of an example."""
-        at = slice(self.rows[d], self.rows[d + 1])
-        return self.terms[at], self.values[at]
-
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, exactly; ties to the earlier example. Every list of every term is summed."""
-        s = np.zeros(len(self.ids))
-        for j, a, z, x in zip(t.tolist(), self.lists[t].tolist(), self.lists[t + 1].tolist(), v.tolist(), strict=True):
-            if (row := self.whole.get(j)) is not None:
-                s += x * row
-            elif a < z:
-                s[self.examples[a:z]] += x * self.shares[a:z]
-        s = np.round(s, 12)
+    def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, places) of all examples with a cosine as large as the k-th largest, descending; exactly.
+
+        Postings of short lists are summed. The long lists are bounded by their block maxima; some examples of the
+        largest bounds set a threshold, and the exact sums are taken only where the bound reaches it.
+        """
+        rows, tops = self.tables()
+        n = len(self.ids)
+        often = self.long[t]
+        few = often < 0
+        begin = self.lists[t[few]]
+        size = self.lists[t[few] + 1] - begin
+        end = np.cumsum(size)
+        at = np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+        s = np.bincount(self.examples[at], weights=self.shares[at] * np.repeat(v[few], size), minlength=len(rows))
+        columns, x = often[~few], v[~few]
+        full = (s.reshape(-1, BLOCK) + (x @ tops[columns])[:, None]).reshape(-1)
+        full[n:] = -1.0
         if without >= 0:
-            s[without] = 0
-        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
-        some = np.flatnonzero(s >= least if least > 0 else s > 0)
-        some = some[np.argsort(-s[some], kind="stable")[:k]]
-        return list(zip(s[some].tolist(), some.tolist(), strict=True))
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        if not near:
+            full[without] = -1.0
+        q = np.zeros(tops.shape[0])
+        q[columns] = x
+        first = np.argpartition(full, max(0, n - 4 * k))[-4 * k :] if n > 4 * k else np.arange(n)
+        own = s[first] + rows[first] @ q
+        own[full[first] < 0] = -1.0
+        least = max(1e-12, np.sort(own)[-k] - 1e-9 if len(own) >= k else 0.0)
+        some = np.flatnonzero(full >= least)
+        cosine = np.round(s[some] + rows[some] @ q, 12)
+        if len(some) > k:
+            keep = cosine >= np.partition(cosine, len(some) - k)[len(some) - k]
+            some, cosine = some[keep], cosine[keep]
+        some, cosine = some[cosine > 0], cosine[cosine > 0]
+        order = np.argsort(-cosine, kind="stable")
+        return cosine[order], some[order]
+
+    def vote(self, cosine: np.ndarray, near: np.ndarray, k: int) -> float:
+        """Share of the toxic among the k nearest, by squared cosine; those tied for the last places share them evenly."""
+        if not len(near):
             return self.empty
-        w = np.array([c * c for c, _ in near]) * self.weight[[e for _, e in near]]
-        y = self.toxic[[e for _, e in near]]
+        part = np.ones(len(near))
+        if len(near) > k:
+            tied = cosine == cosine[-1]
+            part[tied] = (k - (~tied).sum()) / tied.sum()
+        w = cosine * cosine * self.weight[near] * part
         p = PRIOR * self.weight.min()
-        return float(((w * y).sum() + p * self.base) / (w.sum() + p))
+        return float(((w * self.toxic[near]).sum() + p * self.base) / (w.sum() + p))
 
 
 def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +259,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int):
                 lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (h, tf)]
                 yield pa.record_batch([b.column("doc_id").slice(i, m), b.column("toxic").slice(i, m), *lists], ["doc_id", "toxic", "terms", "times"])
 
-    got = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, times array<int>").toArrow().sort_by("doc_id")
+    listed = scratch.save(texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, times array<int>"), "vectors")
+    got = listed.toArrow().sort_by("doc_id")
     ids, toxic = got.column("doc_id").to_pylist(), got.column("toxic").to_numpy().astype(float)
     # A label of which fewer rows were drawn counts for more, so votes follow the labels as they are in all rows.
     weight = np.array([n[int(y)] / drawn[int(y)] for y in toxic], float)
@@ -206,17 +269,18 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int):
     model = spark.sparkContext.broadcast((chosen, index))
     if not ids:
         return model, np.array([0.0]), np.array([0.0])
+    place = {d: int(r) for d, r in zip(ids, index.rank, strict=True)}
 
     def judge(batches):
         _, index = model.value
         for b in batches:
-            votes = []
-            for d in b.column("id").to_pylist():
-                t, v = index.row(d)
-                votes.append(index.vote(index.nearest(t, v, NEIGHBOURS, without=d) if len(t) else []))
-            yield pa.record_batch([b.column("id"), pa.array(votes, pa.float64())], ["id", "vote"])
+            own, votes = b.column("doc_id").to_pylist(), []
+            for d, h, tf in zip(own, b.column("terms"), b.column("times"), strict=True):
+                t, v = index.unit(h.values.to_numpy(), tf.values.to_numpy().astype(float))
+                votes.append(index.vote(*index.nearest(t, v, NEIGHBOURS, place[d]), NEIGHBOURS) if len(t) else index.empty)
+            yield pa.record_batch([b.column("doc_id"), pa.array(votes, pa.float64())], ["doc_id", "vote"])
 
-    votes = spark.range(0, len(ids), 1, -(-len(ids) // 250)).mapInArrow(judge, "id long, vote double").toArrow().sort_by("id")
+    votes = listed.repartition(-(-len(ids) // 250), "doc_id").mapInArrow(judge, "doc_id long, vote double").toArrow().sort_by("doc_id")
     return model, *rising(votes.column("vote").to_numpy(), toxic, weight)
 
 
@@ -226,8 +290,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
     Examples are at most ``sample`` rows of each label outside the held-out fold; all their words are terms, and document
     counts of these run over all documents. The weight of a term is TF-IDF times how much it tells the labels of the
     examples apart; words of no example have no weight. The votes of the nearest examples, weighted by squared cosine, are
-    calibrated by an isotonic fit on the examples, each judged by the others. ``evidence`` has the nearest examples' ids
-    and cosines. Texts without a term, null and empty ones too, have the rate of such examples; with no examples the score
+    calibrated by an isotonic fit on the examples, each judged by the others; examples tied for the last of the places
+    share these evenly, so no id or order reaches a score. ``evidence`` has the nearest examples' ids and cosines, of tied
+    ones the smaller ids. Texts without a term, null and empty ones too, have the rate of such examples; with no examples the score
     is 0.5 / 1 at most and nothing is predicted toxic. Of labels that repeat a doc_id the larger counts, other labels than
     0 and 1 are left out; repeated documents are each scored; a null doc_id is not held out; other columns are ignored.
     """
@@ -246,8 +311,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
                         if len(memo) > MEMO:
                             memo.clear()
                         t, v = index.unit(h[a:z].astype(int), tf[a:z].astype(float))
-                        near = index.nearest(t, v, NEIGHBOURS) if len(t) else []
-                        memo[key] = min(1.0, max(0.0, float(np.interp(index.vote(near), x, y)))), [{"example": index.ids[e], "cosine": c} for c, e in near[:EVIDENCE]]
+                        cosine, near = index.nearest(t, v, NEIGHBOURS) if len(t) else (v[:0], t[:0])
+                        shown_of = sorted((-c, index.ids[e]) for c, e in zip(cosine.tolist(), near.tolist(), strict=True))[:EVIDENCE]
+                        memo[key] = min(1.0, max(0.0, float(np.interp(index.vote(cosine, near, NEIGHBOURS), x, y)))), [{"example": e, "cosine": -c} for c, e in shown_of]
                     p, e = memo[key]
                     scores.append(p)
                     shown.append(e)

@@ -101,9 +101,9 @@ def test_language_kernel_folds_exactly():
     assert np.mean([classes[c] == g for c, g in zip(f.argmax(1), langs, strict=True)]) > 0.9
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize(("n", "terms"), [(700, 30), (700, 900), (40, 30)])
+def test_nearest_examples_are_exact(n, terms):
     rng = np.random.default_rng(4)
-    n, terms = 700, 30
     vectors = []
     for _ in range(n):
         t = np.sort(rng.choice(terms, rng.integers(0, 6), replace=False))
@@ -113,14 +113,73 @@ def test_nearest_examples_are_exact():
     for d, (t, tf) in enumerate(vectors):
         t, v = index.unit(t, tf)
         dense[d, t] = v
-    for d in range(0, n, 37):
+    for d in range(0, n, 7):
         t, v = index.unit(*vectors[d])
         if not len(t):
             continue
-        got = index.nearest(t, v, 15)
-        cos = np.round(dense @ dense[d], 12)
-        want = sorted(((c, -e) for e, c in enumerate(cos) if c > 0), reverse=True)[:15]
-        assert [(-e, round(c, 9)) for c, e in want] == [(e, round(c, 9)) for c, e in got]
+        for without in (-1, d):
+            cosine, near = index.nearest(t, v, 15, -1 if without < 0 else int(index.rank[d]))
+            cos = np.round(dense @ dense[d], 10)
+            if without >= 0:
+                cos[without] = 0
+            least = max(np.sort(cos)[-15], 1e-9)
+            want = {e: c for e, c in enumerate(cos) if c >= least}
+            found = {index.ids[e]: c for c, e in zip(cosine.tolist(), near.tolist(), strict=True)}
+            assert found.keys() == want.keys() and all(abs(found[e] - want[e]) < 1e-9 for e in want)
+
+
+def test_toxicity_by_dense_brute_force(spark, scratch):
+    """The whole score again with dicts and every pair of texts: weights, cosines, shared last places, calibration."""
+    import math
+    import re
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # Copies of an example and of its opposite make ties over the last places.
+    extra = [(900000 + i, f"tied words of one text {'scum' if i % 3 else ''}") for i in range(40)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    labels = labels.select("doc_id", "toxic").union(spark.createDataFrame([(d, int(d % 2)) for d, _ in extra], "doc_id long, toxic int"))
+    bag = {r.doc_id: Counter(x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if x) for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in bag and r.toxic in (0, 1)}
+    n = Counter(y.values())
+    df = Counter(t for b in bag.values() for t in b)
+    seen = {c: Counter(t for d, k in y.items() if k == c for t in bag[d]) for c in (0, 1)}
+    idf = {}
+    for t in seen[0] | seen[1]:
+        a, b = seen[0][t], seen[1][t]
+        g = 2 * sum(o * math.log(o / (m * k / len(y))) for o, m, k in ((a, a + b, n[0]), (b, a + b, n[1]), (n[0] - a, len(y) - a - b, n[0]), (n[1] - b, len(y) - a - b, n[1])) if o)
+        ratio = abs(math.log((a + 0.5) / (n[0] + 1)) - math.log((b + 0.5) / (n[1] + 1)))
+        force = toxicity.FAINT + (1 - toxicity.FAINT) * (min(1, max(0, g / toxicity.FULL_G)) * min(1, ratio / math.log(toxicity.FULL_RATIO))) ** 2
+        idf[t] = (math.log((len(bag) + 1) / (df[t] + 1)) + 0.1) * force
+
+    def unit(b):
+        v = {t: (1 + math.log(k)) * idf[t] for t, k in b.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    unit_of = {d: unit(b) for d, b in bag.items()}
+    base = (n[1] + 0.5) / (len(y) + 1)
+    blank = [d for d in y if not unit_of[d]]
+    empty = (sum(y[d] for d in blank) + base) / (len(blank) + 1)
+
+    def vote(v, without=None):
+        if not v:
+            return empty
+        cos = {e: round(sum(x * unit_of[e].get(t, 0) for t, x in v.items()), 11) for e in y if e != without}
+        top = sorted((c for c in cos.values() if c > 0), reverse=True)
+        if not top:
+            return empty
+        last = top[:15][-1]
+        tied = sum(c == last for c in top)
+        share = 1 if len(top) <= 15 else (15 - sum(c > last for c in top)) / tied
+        w = {e: c * c * (share if c == last else 1) for e, c in cos.items() if c >= last}
+        return (sum(x * y[e] for e, x in w.items()) + toxicity.PRIOR * base) / (sum(w.values()) + toxicity.PRIOR)
+
+    known = sorted(y)
+    line = toxicity.rising(np.array([vote(unit_of[d], d) for d in known]), np.array([float(y[d]) for d in known]), np.ones(len(known)))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, scratch).collect()}
+    assert len(got) == len(bag) and len(set(got.values())) > 10
+    assert all(abs(p - min(1, max(0, float(np.interp(vote(unit_of[d]), *line))))) < 1e-6 for d, p in got.items())
 
 
 def test_isotonic():
