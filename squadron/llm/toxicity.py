@@ -22,7 +22,7 @@ FULL_G, FULL_RATIO, FAINT = 24.0, 3.0, 0.02
 NEIGHBOURS, PRIOR = 15, 0.25
 EVIDENCE = 5
 #: A list of more than the examples divided by so many is a long one; examples in a block.
-LONG, BLOCK = 12, 64
+LONG, BLOCK = 12, 32
 MEMO = 20_000
 
 
