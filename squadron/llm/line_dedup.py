@@ -1,15 +1,24 @@
-"""Line dedup: suffix array over line-id sequences by distributed prefix doubling; later copies of runs go."""
+"""Line dedup: suffix order of line-id sequences by distributed prefix doubling, exact common prefixes, later copies go.
+
+Doubling gives every suffix its class, in suffix order, for each prefix of 2**k lines that occurs twice. These classes are
+the intervals of suffixes with a common prefix of such a length; the exact length up to which a suffix has an earlier one
+in its interval lies between two powers and is found bit by bit, from pairs of ranks at overlapping places.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from squadron.llm.common import Scratch, documents, keep_ids
+from squadron.llm.common import WORD, Scratch, documents, keep_ids
 
-#: The shortest repeated run of lines that is deleted.
-MIN_LINES = 2
+#: A maximal repeated run of so many lines or of so many words is deleted, and a whole text that is one.
+MIN_LINES, MIN_WORDS = 2, 8
+#: A text: its id, in order with null last, and its hash, since ids may repeat.
+TEXT = ["no_id", "doc", "text_hash"]
 
 
 def lines_of(text):
@@ -18,83 +27,106 @@ def lines_of(text):
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))), lambda x: x != "")
 
 
+def place() -> Column:
+    return F.struct(*TEXT, "line")
+
+
+def text_key() -> dict[str, Column]:
+    return {"no_id": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0)).cast("long"), "text_hash": F.xxhash64("text")}
+
+
 def ranked(pairs: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """The classes of equal ``keys`` with two places or more, ranked in the order of the keys.
 
     The sort is a range exchange of the classes; ids that rise with partition and row give ranks without one task that
     sees them all. The table is written, so ranks do not change if an executor is lost.
     """
-    place = F.struct("doc_id", "text_hash", "line")
-    found = pairs.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    found = pairs.groupBy(*keys).agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first <> last")
     return scratch.save(found.select(*keys, "first").orderBy(*keys).withColumn("next", F.monotonically_increasing_id()), name)
 
 
-def suffix_classes(docs: DataFrame, scratch: Scratch, min_lines: int):
-    """Doubles prefixes until no class has two suffixes.
-
-    Returns the places with a run of ``min_lines`` lines that starts earlier too (doc_id, text_hash, line, first), and
-    the longest doubled prefix that each document shares with an earlier place (doc_id, text_hash, shared).
-    """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
-    rows = rows.select("doc_id", "text_hash", F.posexplode_outer("lines").alias("line", "words")).where("words is not null")
-    s = scratch.save(rows.select("doc_id", "text_hash", "line", F.unhex(F.md5(F.encode("words", "utf-8"))).alias("key")), "lines")
-    keys, size, later, shared = ["key"], 1, None, []
-    by = W.partitionBy("doc_id", "text_hash").orderBy("line")
-    level = 0
+def suffix_ranks(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Rows (k, text, line, rank, first): ranks of all prefixes of 2**k lines that occur twice, and where they do first."""
+    rows = docs.select(*(c.alias(n) for n, c in text_key().items()), lines_of(F.col("text")).alias("lines"))
+    rows = rows.select(*TEXT, F.posexplode_outer("lines").alias("line", "words")).where("words is not null")
+    s = scratch.save(rows.select(*TEXT, "line", F.unhex(F.md5(F.encode("words", "utf-8"))).alias("key")), "lines")
+    by, keys, levels = W.partitionBy(*TEXT).orderBy("line"), ["key"], []
     while True:
-        classes = ranked(s, keys, scratch, f"classes-{level}")
+        k = len(levels)
+        classes = ranked(s, keys, scratch, f"classes-{k}")
         if classes.isEmpty():
             break
-        s = scratch.save(s.join(classes, keys).select("doc_id", "text_hash", "line", F.col("next").alias("rank"), "first"), f"level-{level}")
-        copy = F.struct("doc_id", "text_hash", "line") > F.col("first")
-        shared.append(s.where(copy).groupBy("doc_id", "text_hash").agg(F.lit(size).alias("shared")))
-        if size <= min_lines < 2 * size:
-            if min_lines == size:
-                later = s.where(copy)
-            else:  # two overlapping prefixes make one of min_lines lines
-                step = min_lines - size
-                pairs = s.withColumn("other", F.max("rank").over(by.rangeBetween(step, step))).where("other is not null")
-                found = ranked(pairs, ["rank", "other"], scratch, "windows").withColumnRenamed("first", "begin")
-                later = pairs.join(found, ["rank", "other"]).where(F.struct("doc_id", "text_hash", "line") > F.col("begin"))
-            later = later.select("doc_id", "text_hash", "line").distinct()
-        s = s.withColumn("other", F.max("rank").over(by.rangeBetween(size, size))).where("other is not null").drop("first")
-        keys, size, level = ["rank", "other"], size * 2, level + 1
-    return later, shared
-
-
-def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
+        level = scratch.save(s.join(classes, keys).select(F.lit(k).alias("k"), *TEXT, "line", F.col("next").alias("rank"), "first"), f"level-{k}")
+        levels.append(level)
+        # Rows that repeat a text stand twice at a place; one of them is enough.
+        s = level.withColumn("other", F.max("rank").over(by.rangeBetween(1 << k, 1 << k))).where("other is not null").select(*TEXT, "line", "rank", "other")
+        keys = ["rank", "other"]
+    return reduce(DataFrame.union, levels) if levels else None
+
+
+def earlier_lengths(ranks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (text, line, length): the most lines from here on that also start at an earlier place, at least one.
+
+    The largest power of two is known from the ranks. Each smaller bit is set where the prefix that has it starts earlier
+    too: a prefix of 2**k lines and more is known by the ranks of its first and of its last 2**k lines. All powers go
+    through the same step together, so there are as many steps as bits.
+    """
+    later = ranks.where(place() > F.col("first")).groupBy(*TEXT, "line").agg(F.max(F.struct("k", "rank")).alias("t"))
+    now = scratch.save(later.select(*TEXT, "line", "t.k", "t.rank", F.call_function("shiftleft", F.lit(1), F.col("t.k")).alias("length")), "lengths")
+    at = ranks.select("k", *TEXT, F.col("line").alias("tail"), F.col("rank").alias("other"))
+    bits = now.agg(F.max("k")).first()[0] or 0
+    tail = (F.col("line") + F.col("longer") - F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("tail")
+    for bit in reversed(range(bits)):
+        ask = now.where(F.col("k") > bit).withColumn("longer", F.col("length") + (1 << bit))
+        ask = scratch.save(ask.select(*TEXT, "line", "k", "rank", "longer", tail).join(at, ["k", *TEXT, "tail"]).distinct(), f"ask-{bit}")
+        if ask.isEmpty():
+            continue
+        members = ranks.join(ask.select("k", "rank", "longer").distinct(), ["k", "rank"]).select(*TEXT, "line", "k", "rank", "longer", tail)
+        begin = members.join(at, ["k", *TEXT, "tail"]).groupBy("k", "rank", "longer", "other").agg(F.min(place()).alias("begin"))
+        good = ask.join(begin, ["k", "rank", "longer", "other"]).where(place() > F.col("begin")).select(*TEXT, "line", "longer")
+        now = now.join(good, [*TEXT, "line"], "left").withColumn("length", F.coalesce("longer", "length")).drop("longer")
+        now = scratch.save(now, f"lengths-{bit}")
+    return now.select(*TEXT, "line", "length")
+
+
+def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text) with the lines left as ``kept_text``, and counts.
 
-    A line goes if it lies in a run of ``min_lines`` lines or more that also starts earlier, in the order of (doc_id,
-    text hash, line); the first copy of every maximal run stays. A run may overlap its own copy. Blank lines and white
-    space at the ends of lines are dropped and do not part a run. Null and empty texts have no lines. Rows that repeat
-    doc_id and text count as one, and each gets its result. Rows without an id lose
-    nothing. Other columns are ignored.
+    A run is as many lines as also start at an earlier place, in the order of (doc_id, text hash, line), unless it is the
+    rest of the run that begins a line before. Runs of ``min_lines`` lines, of ``min_words`` words, or of all lines of
+    their text are deleted; the first copy stays. A run may overlap its own copy. ``n_runs`` counts the runs deleted and
+    ``longest_run`` has the lines of the longest. Blank lines and white space at the ends of lines are dropped and do not
+    part a run. Null and empty texts have no lines. Rows that repeat doc_id and text count as one, and each gets its
+    result. A null doc_id comes last in the order; such texts are told apart by their hash. Other columns are ignored.
     """
-    later, shared = suffix_classes(docs, scratch, min_lines)
-    base = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    none = F.array().cast("array<int>")
-    if later is None:
-        out = base.withColumn("gone", none).withColumn("shared", F.lit(0))
+    ranks = suffix_ranks(docs, scratch)
+    base = docs.select("doc_id", "text").withColumns(text_key())
+    kind = "array<struct<line: int, length: int>>"
+    none = F.array().cast(kind)
+    if ranks is None:
+        out = base.withColumn("runs", none)
     else:
-        gone = later.select("doc_id", "text_hash", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line"))
-        gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-        most = shared[0]
-        for x in shared[1:]:
-            most = most.unionByName(x)
-        gone = gone.join(most.groupBy("doc_id", "text_hash").agg(F.max("shared").alias("shared")), ["doc_id", "text_hash"])
-        gone = scratch.save(gone, "gone")
-        ids = scratch.save(gone.select("doc_id").distinct(), "gone-ids")
-        # Only texts that lose lines are moved to the lists of their lines, by a shuffle at every size.
-        some = keep_ids(base, ids, "doc_id").join(gone.hint("merge"), ["doc_id", "text_hash"], "left")
-        rest = keep_ids(base, ids, "doc_id", "left_anti").withColumn("gone", none).withColumn("shared", F.lit(0))
-        out = some.unionByName(rest)
-    out = out.withColumn("lines", lines_of(F.col("text"))).withColumn("gone", F.coalesce("gone", none))
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
-    starts = F.filter("gone", lambda x, i: ~F.array_contains("gone", x - 1))
+        before = F.max("length").over(W.partitionBy(*TEXT).orderBy("line").rangeBetween(-1, -1))
+        runs = earlier_lengths(ranks, scratch).withColumn("before", before).where("before is null or length >= before")
+        runs = runs.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct(F.col("line").cast("int").alias("line"), F.col("length").cast("int").alias("length")))).alias("runs"))
+        runs = scratch.save(runs, "runs")
+        keys = scratch.save(runs.select(*TEXT), "run-texts")
+        # Only texts with a run are moved to the lists of these, by a shuffle at every size.
+        some = keep_ids(base, keys, TEXT).join(runs.hint("merge"), TEXT)
+        rest = keep_ids(base, keys, TEXT, "left_anti").withColumn("runs", none)
+        out = some.select("doc_id", "text", "runs").unionByName(rest.select("doc_id", "text", "runs"))
+    out = out.select("doc_id", lines_of(F.col("text")).alias("lines"), "runs")
+
+    def goes(r: Column) -> Column:
+        words = F.regexp_count(F.array_join(F.slice("lines", r["line"] + 1, r["length"]), "\n"), F.lit(WORD))
+        return (r["length"] >= min_lines) | (r["length"] == F.size("lines")) | (words >= min_words)
+
+    out = out.select("doc_id", "lines", F.filter("runs", goes).alias("runs"))
+    kept = F.when(F.size("runs") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.exists("runs", lambda r: (r["line"] <= i) & (i < r["line"] + r["length"]))))
+    out = out.select("doc_id", "lines", "runs", kept.alias("kept"))
     return out.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.size(starts).cast("long").alias("n_runs"),
-        F.coalesce("shared", F.lit(0)).cast("long").alias("shared_prefix"), kept.alias("kept_text"),
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_runs"),
+        F.coalesce(F.array_max(F.transform("runs", lambda r: r["length"])), F.lit(0)).cast("long").alias("longest_run"), F.array_join("kept", "\n").alias("kept_text"),
     )
 
 
@@ -106,16 +138,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*', chr(10), 'g'), '\n') AS parts FROM documents),
 t AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines FROM d),
-l AS (SELECT doc_id, unnest(range(len(lines))) AS i, lines FROM t),
-s AS (SELECT doc_id, i, lines[i + 1] AS a, lines[i + 2] AS b, lines[i + 1 : i + 2] AS w, len(lines) AS n FROM l),
-w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS k FROM s WHERE i + 2 <= n),
-g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM w WHERE k > 1),
-r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
-x AS (SELECT t.doc_id, lines, coalesce(gone, []) AS gone FROM t LEFT JOIN r USING (doc_id)),
-p AS (SELECT k, min((doc_id, i)) AS f, max((doc_id, i)) AS z FROM (SELECT doc_id, i, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS m, lines FROM l), LATERAL (SELECT (m, lines[i + 1 : i + m]) AS k) WHERE i + m <= len(lines) GROUP BY k),
-q AS (SELECT doc_id, max(m) AS shared FROM (SELECT doc_id, i, m, (m, lines[i + 1 : i + m]) AS k FROM (SELECT doc_id, i, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS m, lines FROM l) WHERE i + m <= len(lines)) JOIN p USING (k) WHERE f <> z AND (doc_id, i) > f GROUP BY doc_id)
-SELECT x.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed, CAST(len(list_filter(gone, lambda v: NOT list_contains(gone, v - 1))) AS BIGINT) AS n_runs,
-CAST(CASE WHEN len(gone) > 0 THEN shared ELSE 0 END AS BIGINT) AS shared_prefix,
-sha256(coalesce(list_aggregate(list_transform(list_filter(range(len(lines)), lambda v: NOT list_contains(gone, v)), lambda v: lines[v + 1]), 'string_agg', chr(10)), '')) AS kept_sha256
-FROM x LEFT JOIN q USING (doc_id)
+l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS x FROM t),
+p AS (SELECT a.doc_id AS d, a.i AS i, b.doc_id AS e, b.i AS j FROM l a JOIN l b ON a.x = b.x AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.i < a.i)),
+q AS (SELECT *, i - row_number() OVER (PARTITION BY d, e, i - j ORDER BY i) AS island FROM p),
+s AS (SELECT d, i, max(z - i + 1) AS n FROM (SELECT *, max(i) OVER (PARTITION BY d, e, i - j, island) AS z FROM q) GROUP BY d, i),
+r AS (SELECT x.d, x.i, x.n FROM s x LEFT JOIN s y ON y.d = x.d AND y.i = x.i - 1 WHERE y.n IS NULL OR x.n >= y.n),
+g AS (SELECT doc_id, i, n FROM r JOIN t ON t.doc_id = r.d WHERE n >= 2 OR n = len(lines) OR len(regexp_extract_all(array_to_string(lines[i + 1 : i + n], chr(10)), '[^\x20\x09-\x0D]+')) >= 8),
+c AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM g) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM g GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run,
+sha256(coalesce(list_aggregate(list_transform(list_filter(range(len(lines)), lambda v: NOT list_contains(coalesce(gone, []), v)), lambda v: lines[v + 1]), 'string_agg', chr(10)), '')) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """

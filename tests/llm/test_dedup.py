@@ -35,34 +35,62 @@ def test_automaton_finds_what_matches_cover():
     assert a.spans("e x".split(), 2) == []
 
 
-def test_lines(docs, rows, scratch):
+def text_hash(spark, texts):
+    from pyspark.sql import functions as F
+
+    return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.xxhash64("t")).collect()]
+
+
+def lines_brute(spark, rows, least, words):
+    """Every place against all earlier ones, line by line."""
+
     def lines(text):
         return [x for x in (y.strip(" \t\x0b\x0c\r") for y in (text or "").split("\n")) if x]
 
-    seen, want = set(), defaultdict(list)
-    distinct = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: r[0])
-    later = Counter()
-    result = {r.doc_id: r for r in line_dedup.line_dedup(docs, scratch).collect() if r.doc_id != 36}
-    for d, t in distinct:
-        if d == 36:
-            continue
-        w, gone = lines(t), set()
-        for i in range(len(w) - 1):
-            if (w[i], w[i + 1]) in seen:
-                gone |= {i, i + 1}
-                later[d] += 1
-            seen.add((w[i], w[i + 1]))
-        want[d] = [len(w), len(gone), "\n".join(x for i, x in enumerate(w) if i not in gone)]
-    for d, (n, gone, text) in want.items():
-        assert (result[d].n_lines, result[d].n_removed, result[d].kept_text) == (n, gone, text)
-    assert later
-
-
-@pytest.mark.parametrize("least", [1, 3])
-def test_lines_of_other_run_lengths(spark, scratch, least):
-    d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny\nb\nc"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(d, scratch, least).collect()}
-    assert got == ({1: "a\nb\nc\nd", 2: "x\ny", 3: ""} if least == 1 else {1: "a\nb\nc\nd", 2: "x\ny\nb\nc", 3: ""})
+    keys = [(d is None, d or 0, h) for (d, _), h in zip(rows, text_hash(spark, [t for _, t in rows]), strict=True)]
+    texts = dict(sorted(zip(keys, (lines(t) for _, t in rows), strict=True)))
+    starts, found = defaultdict(list), {}
+    for k, w in texts.items():
+        length = []
+        for i, x in enumerate(w):
+            best = 0
+            for e, j in starts[x]:
+                n, v = 0, texts[e]
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                best = max(best, n)
+            length.append(best)
+            starts[x].append((k, i))
+        runs = [(i, n) for i, n in enumerate(length) if n and (i == 0 or length[i - 1] == 0 or n >= length[i - 1])]
+        runs = [(i, n) for i, n in runs if n >= least or n == len(w) or sum(len(WORD.findall(x)) for x in w[i : i + n]) >= words]
+        gone = {j for i, n in runs for j in range(i, i + n)}
+        found[k] = (len(w), len(gone), len(runs), max((n for _, n in runs), default=0), "\n".join(x for i, x in enumerate(w) if i not in gone))
+    return sorted(((d is not None, d or 0), found[k]) for (d, _), k in zip(rows, keys, strict=True))
+
+
+def lines_got(df):
+    return sorted(((r.doc_id is not None, r.doc_id or 0), (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.kept_text)) for r in df.collect())
+
+
+def test_lines(spark, docs, rows, scratch):
+    got = lines_got(line_dedup.line_dedup(docs, scratch))
+    assert got == lines_brute(spark, [r[:2] for r in rows], line_dedup.MIN_LINES, line_dedup.MIN_WORDS)
+    assert any(g[1][3] > 2 for g in got)
+
+
+@pytest.mark.parametrize(("least", "words"), [(1, 100), (3, 5)])
+def test_runs_of_lines_of_any_length(spark, scratch, least, words):
+    """Overlaps, runs of 3, 5, 6, 7 and 1,100 lines, repeated ids and rows, and ids that are null."""
+    import random
+
+    rng = random.Random(8)
+    long = [f"l{i} " + "w " * rng.randrange(4) for i in range(1100)]
+    some = lambda n: [rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(n)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["x", *long[3:], "y"])), (3, "\n".join(long[:700] + ["z"] + long[500:900])), (4, "a\n" * 9), (5, None), (6, "")]
+    rows += [(7 + i, "\n".join(some(rng.randrange(1, 40)))) for i in range(40)]
+    rows += [(3, "\n".join(long[10:17])), (3, "\n".join(long[10:17])), (None, "\n".join(long[20:26])), (None, "\n".join(some(9))), (None, "\n".join(some(9))), (None, None), (60, long[30]), (61, "q q q q q q q q q"), (62, "r\nq q q q q q q q q\ns")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert lines_got(line_dedup.line_dedup(d, scratch, least, words)) == lines_brute(spark, rows, least, words)
 
 
 def near_brute(rows, size):
