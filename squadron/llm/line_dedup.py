@@ -23,7 +23,7 @@ TEXT = ["no_id", "doc", "text_hash"]
 
 def lines_of(text):
     """The lines of a text without white space at their ends; blank lines are no lines."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*", "\n"), "\n")
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))), lambda x: x != "")
 
 
@@ -45,8 +45,8 @@ def ranked(pairs: DataFrame, keys: list[str], scratch: Scratch, name: str) -> Da
     return scratch.save(found.select(*keys, "first").orderBy(*keys).withColumn("next", F.monotonically_increasing_id()), name)
 
 
-def suffix_ranks(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Rows (k, text, line, rank, first): ranks of all prefixes of 2**k lines that occur twice, and where they do first."""
+def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For each k, rows (k, text, line, rank, first): the prefixes of 2**k lines that occur twice, and where they do first."""
     rows = docs.select(*(c.alias(n) for n, c in text_key().items()), lines_of(F.col("text")).alias("lines"))
     rows = rows.select(*TEXT, F.posexplode_outer("lines").alias("line", "words")).where("words is not null")
     s = scratch.save(rows.select(*TEXT, "line", F.unhex(F.md5(F.encode("words", "utf-8"))).alias("key")), "lines")
@@ -61,34 +61,60 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
         # Rows that repeat a text stand twice at a place; one of them is enough.
         s = level.withColumn("other", F.max("rank").over(by.rangeBetween(1 << k, 1 << k))).where("other is not null").select(*TEXT, "line", "rank", "other")
         keys = ["rank", "other"]
-    return reduce(DataFrame.union, levels) if levels else None
+    return levels
 
 
-def earlier_lengths(ranks: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (text, line, length): the most lines from here on that also start at an earlier place, at least one.
+def bit_by_bit(top: DataFrame, ranks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (text, line, length) for ``top`` (text, line, k, rank): the most lines that also start at an earlier place.
 
-    The largest power of two is known from the ranks. Each smaller bit is set where the prefix that has it starts earlier
-    too: a prefix of 2**k lines and more is known by the ranks of its first and of its last 2**k lines. All powers go
-    through the same step together, so there are as many steps as bits.
+    Between 2**k and twice that, each smaller bit is set where the prefix that has it starts earlier too: such a prefix
+    is known by the ranks of its first and of its last 2**k lines. All k go through the same step together.
     """
-    later = ranks.where(place() > F.col("first")).groupBy(*TEXT, "line").agg(F.max(F.struct("k", "rank")).alias("t"))
-    now = scratch.save(later.select(*TEXT, "line", "t.k", "t.rank", F.call_function("shiftleft", F.lit(1), F.col("t.k")).alias("length")), "lengths")
+    now = scratch.save(top.select(*TEXT, "line", "k", "rank", F.call_function("shiftleft", F.lit(1), F.col("k")).alias("length")), f"{name}-lengths")
     at = ranks.select("k", *TEXT, F.col("line").alias("tail"), F.col("rank").alias("other"))
     bits = now.agg(F.max("k")).first()[0] or 0
     tail = (F.col("line") + F.col("longer") - F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("tail")
     for bit in reversed(range(bits)):
+        here = at.where(F.col("k") > bit)
         ask = now.where(F.col("k") > bit).withColumn("longer", F.col("length") + (1 << bit))
-        ask = scratch.save(ask.select(*TEXT, "line", "k", "rank", "longer", tail).join(at, ["k", *TEXT, "tail"]).distinct(), f"ask-{bit}")
-        if ask.isEmpty():
-            continue
-        members = ranks.join(ask.select("k", "rank", "longer").distinct(), ["k", "rank"]).select(*TEXT, "line", "k", "rank", "longer", tail)
-        begin = members.join(at, ["k", *TEXT, "tail"]).groupBy("k", "rank", "longer", "other").agg(F.min(place()).alias("begin"))
+        ask = scratch.save(ask.select(*TEXT, "line", "k", "rank", "longer", tail).join(here, ["k", *TEXT, "tail"]).distinct(), f"{name}-ask-{bit}")
+        members = ranks.where(F.col("k") > bit).join(ask.select("k", "rank", "longer").distinct(), ["k", "rank"])
+        members = scratch.save(members.select(*TEXT, "line", "k", "rank", "longer", tail), f"{name}-members-{bit}")
+        begin = members.join(here, ["k", *TEXT, "tail"]).groupBy("k", "rank", "longer", "other").agg(F.min(place()).alias("begin"))
         good = ask.join(begin, ["k", "rank", "longer", "other"]).where(place() > F.col("begin")).select(*TEXT, "line", "longer")
         now = now.join(good, [*TEXT, "line"], "left").withColumn("length", F.coalesce("longer", "length")).drop("longer")
-        now = scratch.save(now, f"lengths-{bit}")
+        now = scratch.save(now, f"{name}-lengths-{bit}")
     return now.select(*TEXT, "line", "length")
 
 
+def repeated_runs(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Rows (text, line, length) of the runs: as many lines as also start at an earlier place, from where that is more
+    than the rest of the run before.
+
+    ``line + length`` never falls from a line to the next, so what the ranks say of the lines around bounds it from both
+    sides. Lengths are sought bit by bit where a run surely begins, and then where the bounds still differ.
+    """
+    later = reduce(DataFrame.union, [x.where(place() > F.col("first")).select(*TEXT, "line", "k", "rank") for x in levels])
+    top = later.groupBy(*TEXT, "line").agg(F.max("k").alias("k"), F.max_by("rank", "k").alias("rank"))
+    top = top.withColumn("island", F.col("line") - F.row_number().over(W.partitionBy(*TEXT).orderBy("line")))
+    by = W.partitionBy(*TEXT, "island").orderBy("line")
+    power = F.call_function("shiftleft", F.lit(1), F.col("k"))
+    over = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
+    top = top.withColumn("low", F.max(F.col("line") + power).over(over[0])).withColumn("high", F.least(F.min(F.col("line") + 2 * power - 1).over(over[1]), F.max("line").over(over[1]) + 1))
+    top = scratch.save(top.withColumn("starts", F.coalesce(F.lag("k").over(by) < F.col("k"), F.lit(True))), "tops")
+    if len(levels) > 1:
+        ranks = reduce(DataFrame.union, [x.drop("first") for x in levels[1:]])
+        ranks = scratch.save(ranks.repartition(*TEXT), "ranks")
+        known = bit_by_bit(top.where("starts and low < high"), ranks, scratch, "sure")
+        top = top.join(known, [*TEXT, "line"], "left").withColumn("low", F.max(F.greatest("low", F.col("line") + F.coalesce("length", F.lit(0)))).over(over[0])).drop("length")
+        open_ = scratch.save(top.withColumn("sought", F.col("starts") & (F.col("low") < F.col("high"))), "bounded")
+        rest = open_.where("low < high and not sought")
+        known = bit_by_bit(rest, ranks, scratch, "rest") if not rest.isEmpty() else known.limit(0)
+        top = open_.join(known, [*TEXT, "line"], "left").withColumn("low", F.max(F.greatest("low", F.col("line") + F.coalesce("length", F.lit(0)))).over(over[0]))
+    before = F.lag("low").over(by)
+    return top.withColumn("before", before).where("before is null or low > before").select(*TEXT, "line", (F.col("low") - F.col("line")).alias("length"))
+
+
 def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text) with the lines left as ``kept_text``, and counts.
 
@@ -99,15 +125,14 @@ def line_dedup(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, mi
     part a run. Null and empty texts have no lines. Rows that repeat doc_id and text count as one, and each gets its
     result. A null doc_id comes last in the order; such texts are told apart by their hash. Other columns are ignored.
     """
-    ranks = suffix_ranks(docs, scratch)
+    levels = suffix_ranks(docs, scratch)
     base = docs.select("doc_id", "text").withColumns(text_key())
     kind = "array<struct<line: int, length: int>>"
     none = F.array().cast(kind)
-    if ranks is None:
+    if not levels:
         out = base.withColumn("runs", none)
     else:
-        before = F.max("length").over(W.partitionBy(*TEXT).orderBy("line").rangeBetween(-1, -1))
-        runs = earlier_lengths(ranks, scratch).withColumn("before", before).where("before is null or length >= before")
+        runs = repeated_runs(levels, scratch)
         runs = runs.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct(F.col("line").cast("int").alias("line"), F.col("length").cast("int").alias("length")))).alias("runs"))
         runs = scratch.save(runs, "runs")
         keys = scratch.save(runs.select(*TEXT), "run-texts")

@@ -78,15 +78,15 @@ def test_lines(spark, docs, rows, scratch):
     assert any(g[1][3] > 2 for g in got)
 
 
-@pytest.mark.parametrize(("least", "words"), [(1, 100), (3, 5)])
-def test_runs_of_lines_of_any_length(spark, scratch, least, words):
+@pytest.mark.parametrize(("least", "words", "scale"), [(1, 100, 0.1), (3, 5, 1)])
+def test_runs_of_lines_of_any_length(spark, scratch, least, words, scale):
     """Overlaps, runs of 3, 5, 6, 7 and 1,100 lines, repeated ids and rows, and ids that are null."""
     import random
 
     rng = random.Random(8)
-    long = [f"l{i} " + "w " * rng.randrange(4) for i in range(1100)]
+    long = [f"l{i} " + "w " * rng.randrange(4) for i in range(int(1100 * scale))]
     some = lambda n: [rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(n)]
-    rows = [(1, "\n".join(long)), (2, "\n".join(["x", *long[3:], "y"])), (3, "\n".join(long[:700] + ["z"] + long[500:900])), (4, "a\n" * 9), (5, None), (6, "")]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["x", *long[3:], "y"])), (3, "\n".join(long[: int(700 * scale)] + ["z"] + long[int(500 * scale) : int(900 * scale)])), (4, "a\n" * 9), (5, None), (6, "")]
     rows += [(7 + i, "\n".join(some(rng.randrange(1, 40)))) for i in range(40)]
     rows += [(3, "\n".join(long[10:17])), (3, "\n".join(long[10:17])), (None, "\n".join(long[20:26])), (None, "\n".join(some(9))), (None, "\n".join(some(9))), (None, None), (60, long[30]), (61, "q q q q q q q q q"), (62, "r\nq q q q q q q q q\ns")]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
