@@ -13,6 +13,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many ids (8 bytes each, about 64 MB hashed) may be broadcast; beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
+#: Bytes of a table of strings that may be broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch: texts are long, and a batch stands in memory on both sides.
 BATCH_ROWS = "2000"
 

@@ -11,23 +11,33 @@ from squadron.llm import decontamination, language_id, license_scan, toxicity
 def test_containment(spark, docs, rows, scratch):
     import re
 
-    def shingles(t):
-        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if x]
-        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    def words(t):
+        return [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+
+    def shingles(t, k):
+        w = words(t)
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
 
     long = rows[30][1].split(" ")
     items = [(0, " ".join(long[1000:1040])), (1, " ".join([*long[2000:2020], "other", *long[2021:2050]])), (2, "one"), (3, None), (4, ""), (5, " ".join(long[:8] + ["q"] * 8)), (1, " ".join(long[2000:2003])), (None, "one")]
+    items += [(6, " ".join(long[300:304])), (7, "under THE mit"), (8, long[9]), (9, " ".join(long[40:42])), (10, "É x")]
     b = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, h string")
-    got = sorted((r.doc_id, r.item_id, r.item_shingles, r.shared) for r in decontamination.contaminated(docs, b, scratch).collect())
-    sets, texts = {}, {}
+    more = spark.createDataFrame([(None, "one two"), (None, "under the mit"), (77, "say É x now"), (78, "é x")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.item_id, r.item_shingles, r.shared) for r in decontamination.contaminated(docs.select("doc_id", "text").union(more), b, scratch).collect())
+    size, sets = {}, {}
     for i, t in items:
         if i is not None:
-            sets.setdefault(i, set()).update(shingles(t))
-    for r in rows:
-        texts.setdefault(r[0], set()).update(shingles(r[1]))
-    want = sorted((d, i, len(q), len(q & x)) for d, x in texts.items() for i, q in sets.items() if q and 10 * len(q & x) >= 8 * len(q))
+            size[i] = max(size.get(i, 0), min(5, len(words(t))))
+    for i, t in items:
+        if i is not None and size[i]:
+            sets.setdefault(i, set()).update(shingles(t, size[i]))
+    texts = {}
+    for d, t in [*((r[0], r[1]) for r in rows), *((r.doc_id, r.text) for r in more.collect())]:
+        for k in range(1, 6):
+            texts.setdefault((-1 if d is None else d, k), set()).update(shingles(t, k))
+    want = sorted((d, i, len(q), len(q & x)) for (d, k), x in texts.items() for i, q in sets.items() if k == size[i] and 10 * len(q & x) >= 8 * len(q))
     assert got == want
-    assert {(g[0], g[1]) for g in got} >= {(30, 0), (30, 1), (3, 2), (4, 2)}
+    assert {(g[0], g[1]) for g in got} >= {(30, 0), (30, 1), (3, 2), (4, 2), (30, 6), (35, 7), (-1, 7), (-1, 2), (77, 10)} and (78, 10) not in {g[:2] for g in got}
 
 
 def test_containment_of_nothing(spark, docs, nothing, scratch):
@@ -36,9 +46,9 @@ def test_containment_of_nothing(spark, docs, nothing, scratch):
     assert decontamination.contaminated(nothing, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"), scratch).count() == 0
 
 
-def test_licenses(docs, nothing):
+def test_licenses(docs, nothing, scratch):
     got = {}
-    for r in license_scan.license_scan(docs).collect():
+    for r in license_scan.license_scan(docs, scratch).collect():
         got.setdefault(r.doc_id, r)
     assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].base_labels, got[0].labels, got[0].score) == (0, 0, None, "", "", 0.0)
     # ééé ñandú the | mit license | apache license | mit license | mit license
@@ -47,23 +57,52 @@ def test_licenses(docs, nothing):
     r = got[35]
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (12, 2, 3, 7, "cc-by,mit", "cc-by,mit")
     assert got[30].n_words == 30000 and got[30].score == 0.0
-    assert license_scan.license_scan(nothing).count() == 0
+    assert license_scan.license_scan(nothing, scratch).count() == 0
 
 
-def test_license_templates_by_brute_force(spark):
+def blocks_brute(text, templates):
+    import re
+
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    labels, score = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {' '.join(w)} "}, 0.0
+    if labels:
+        score = 1.0
+    for label, t in templates:
+        q = set(t.split())
+        width = -(-5 * len(t.split()) // 4)
+        best = max((len(q & set(w[i : i + width])) for i in range(len(w))), default=0)
+        if 10 * best >= 8 * len(q):
+            labels.add(label)
+            score = max(score, best / len(q))
+    return labels, score
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_license_templates_by_brute_force(spark, scratch, many):
     rng = random.Random(5)
-    rows = []
+    templates = [*license_scan.TEMPLATES, *((f"l{k}", " ".join(f"w{rng.randrange(600)}" for _ in range(rng.randrange(1, 90)))) for k in range(300))] if many else license_scan.TEMPLATES
+    rows = [(i, None if i == 7 else "") if i in (7, 8) else (i, "") for i in range(60)]
     for i in range(60):
-        lines = []
+        parts = []
         for _ in range(3):
-            t = rng.choice(license_scan.TEMPLATES)[1].split()
-            lines.append(" ".join(rng.sample(t, rng.randrange(len(t) // 2, len(t) + 1))))
-        rows.append((i, "\n".join(lines)))
-    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, text in rows:
-        want = {label for label, t in license_scan.TEMPLATES for line in text.split("\n") if 10 * len(set(t.split()) & set(line.split())) >= 8 * len(set(t.split()))}
-        own = {label for p, label in license_scan.PHRASES.items() if f" {p} " in f" {' '.join(text.split())} "}
-        assert got[i] == want | own, text
+            t = rng.choice(templates)[1].split()
+            some = [w for w in t if rng.random() < rng.choice((0.7, 0.9, 1))]
+            parts.append([x for w in some for x in ([w, f"x{rng.randrange(99)}"] if rng.random() < 0.1 else [w])] + [f"y{rng.randrange(50)}" for _ in range(rng.randrange(40))])
+        if i not in (7, 8):
+            rows[i] = (None if i == 9 else i // 2, " ".join(x.title() + rng.choice((" ", "\n", ", ", "  ")) for p in parts for x in p))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), scratch, templates).collect()
+    found = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in got)
+    want = Counter((d, ",".join(sorted(labels)), round(score, 9)) for d, (labels, score) in ((d, blocks_brute(t, templates)) for d, t in rows))
+    assert found == want and sum(bool(r.labels) for r in got) > 20
+
+
+def test_wrapped_notices(spark, scratch):
+    """Notices over several lines are found; words spread over a long line are not."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    far = "released " + "so it is " * 30 + "under " + "so it is " * 30 + "the mit " + "so it is " * 30 + "license"
+    d = spark.createDataFrame([(1, "/*\n" + mit + "\n*/ code"), (2, bsd), (3, far)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.labels) for r in license_scan.license_scan(d, scratch).collect()) == [(1, "mit"), (2, "bsd"), (3, "")]
 
 
 LANGS = {"en": "the of and to in is that it was for", "fr": "le la les des une que pour dans est sur", "de": "der die das und ist nicht mit auf ein von"}
