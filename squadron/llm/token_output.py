@@ -26,7 +26,9 @@ STORE = 500_000
 RUN = 8 << 20
 #: Characters that some pattern of a tokenizer takes for white space.
 WHITE = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
-_encoders: dict[str, "Encoder"] = {}
+#: Bytes of text that go into a file, about.
+FILE_BYTES = 256 << 20
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 KEPT.append(_encoders)
 
 
@@ -45,18 +47,26 @@ class Encoder:
     behind a blank; in the ids a word begins where a token begins with that blank's mark.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        #: Only this kind of tokenizer never joins a blank with what stands before it; others get whole texts.
+        cutter = parts.get("pre_tokenizer") or {}
+        self.cuts = parts.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+        #: Strings that are a token wherever they stand; texts with one are encoded whole.
+        self.literals = [t["content"] for t in parts.get("added_tokens", [])]
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token.startswith("\u0120")
-        self.mark = {m: int(self.whole([m])[0][0]) for m in ".,"}
+        self.mark = {m: int(x[0]) for m in ".," if len(x := self.whole([m])[0])}
         self.store: dict[str, int] = {}
         self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -116,7 +126,10 @@ class Encoder:
         Words are numbered by Arrow, so Python sees each distinct word once; ids are gathered by numpy. A text that has
         to be encoded whole counts as one word.
         """
-        strange = [odd(t) for t in texts]
+        if not self.cuts:
+            lists = [np.append(x, np.int32(end)) for x in self.whole(texts)]
+            return np.concatenate([np.empty(0, np.int32), *lists]), np.cumsum([0, *(len(x) for x in lists)])
+        strange = [odd(t) or any(x in t for x in self.literals) for t in texts]
         heads = self.whole([t if o else t.partition(" ")[0] for t, o in zip(texts, strange, strict=True)])
         cut = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, strange, strict=True)], pa.large_string()), " ")
         first = np.asarray(cut.offsets)
@@ -143,15 +156,16 @@ class Encoder:
         return ids, np.concatenate([[0], after[first[1:] + np.arange(len(texts))]])
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, specials_as_text: bool) -> Encoder:
+    key = (path, specials_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
-def tokenise(path: str, end: int):
+def tokenise(path: str, end: int, specials_as_text: bool):
     def each(batches):
-        enc = encoder(path)
+        enc = encoder(path, specials_as_text)
         for b in batches:
             ids = b.column("doc_id")
             for i, j, _, _ in pieces(b.column("text"), RUN):
@@ -163,13 +177,16 @@ def tokenise(path: str, end: int):
     return each
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = END, specials_as_text: bool = False, file_bytes: int = FILE_BYTES) -> None:
     """Writes (doc_id, n_tokens, tokens) to ``out`` in ascending doc_id order, file after file.
 
-    Texts, shorter than their ids, are what the range exchange moves; ids are made where they are written.
+    Texts, shorter than their ids, are what the range exchange moves; ids are made where they are written. Files hold
+    about ``file_bytes`` of text, and there are as many as the session has shuffle partitions at least.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
-    rows = ordered.mapInArrow(tokenise(tokenizer, end), "doc_id long, n_tokens int, tokens array<int>")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(shuffle_partitions(docs.sparkSession), -(-size // file_bytes))
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    rows = ordered.mapInArrow(tokenise(tokenizer, end, specials_as_text), "doc_id long, n_tokens int, tokens array<int>")
     rows.write.mode("overwrite").options(**LAYOUT).parquet(out)
 
 
@@ -200,13 +217,14 @@ def summary(spark: SparkSession, out: str, scratch: Scratch) -> DataFrame:
     return d.join(files, "file").select("doc_id", (F.col("before") + here).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = END) -> DataFrame:
+def token_output(docs: DataFrame, scratch: Scratch, tokenizer: str, end: int = END, specials_as_text: bool = False) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id, text) in the scratch folder and returns their summary.
 
     Null and empty texts have the end id alone; rows that repeat a doc_id stand one after the other, shorter texts
-    first; a null doc_id comes first; an empty table gives no rows. Other columns are ignored.
+    first; a null doc_id comes first; an empty table gives no rows. A special token's string in a text is that token, or
+    ordinary text with ``specials_as_text``. Other columns are ignored.
     """
-    write_tokens(docs, scratch.path("tokens"), tokenizer, end)
+    write_tokens(docs, scratch.path("tokens"), tokenizer, end, specials_as_text)
     return summary(docs.sparkSession, scratch.path("tokens"), scratch)
 
 

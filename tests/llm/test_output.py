@@ -10,11 +10,12 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
 
-def plain(text):
+def plain(text, path=PATH, specials_as_text=False):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)
+    if specials_as_text:
+        t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,6 +26,46 @@ def test_words_encode_as_whole_texts(text):
     assert got[off[2] :].tolist() == [*plain("a b."), 0]
 
 
+def test_literal_end_token():
+    text = "a<|endoftext|> is text <|endoftext|>"
+    assert token_output.Encoder(PATH).encode([text], 0)[0].tolist() == [*plain(text), 0] and 50256 in plain(text)
+    assert token_output.Encoder(PATH, True).encode([text], 0)[0].tolist() == [*plain(text, specials_as_text=True), 0]
+
+
+def test_other_kinds_of_tokenizer_get_whole_texts():
+    path = P.path("word_bpe_49k.json")
+    texts = ["Some words  here", "", "and, more. <|endoftext|> x"]
+    got, off = token_output.Encoder(path).encode(texts, 7)
+    assert [got[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*plain(t, path), 7] for t in texts]
+
+
+def test_layout_of_the_files(spark, scratch, monkeypatch):
+    """Footers: dictionary pages, bounded row groups, page indexes; a reader of one document touches few row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_output.LAYOUT, "parquet.block.size", str(256 << 10))
+    monkeypatch.setitem(token_output.LAYOUT, "parquet.page.size", str(16 << 10))
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    token_output.write_tokens(d, scratch.path("laid"), PATH, file_bytes=500_000)
+    files = sorted(glob.glob(scratch.path("laid") + "/*.parquet"))
+    assert len(files) == 5  # 2.5 MB of text
+    last, groups, holding = -1, 0, 0
+    for f in files:
+        m = pq.ParquetFile(f).metadata
+        for g in range(m.num_row_groups):
+            by = {m.row_group(g).column(c).path_in_schema: m.row_group(g).column(c) for c in range(m.num_columns)}
+            tokens = next(c for name, c in by.items() if name.startswith("tokens"))
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(tokens.encodings) and tokens.has_dictionary_page
+            assert all(c.has_column_index and c.has_offset_index for c in by.values())
+            assert m.row_group(g).total_byte_size < 2 << 20
+            s = by["doc_id"].statistics
+            assert s.min > last
+            last, groups, holding = s.max, groups + 1, holding + (s.min <= 500 <= s.max)
+    assert groups > len(files) and holding == 1
+
+
 def test_store_is_bounded(monkeypatch):
     monkeypatch.setattr(token_output, "STORE", 3)
     e = token_output.Encoder(PATH)
