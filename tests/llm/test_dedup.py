@@ -143,15 +143,39 @@ def test_components(spark, scratch):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "none")).count() == 0
 
 
-def test_exact(spark, docs, rows, tmp_path):
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    norm = [(r[0], r[1] or "", re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")) for r in rows]
+def exact_brute(rows):
+    norm = [(d, t or "", re.sub(r"[\x20\x09-\x0D]", "", t or "")) for d, t in rows]
     best, size = {}, Counter(n for *_, n in norm)
     for d, t, n in norm:
-        best[n] = max(best.get(n, (-1, 0)), (len(t), -d))
-    want = [(d, -best[n][1], size[n], d == -best[n][1], sha(n)) for d, _, n in norm]
-    got = exact_dedup.exact_dedup(spark, str(tmp_path / "documents.parquet")).collect()
-    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+        rank = (len(t), d is not None, -(d or 0))
+        best[n] = max(best.get(n, (-1, False, 0)), rank)
+    want = [(d, -best[n][2] if best[n][1] else None, size[n]) for d, _, n in norm]
+    return sorted(((d, k, c, d == k, sha(n)) for (d, k, c), (*_, n) in zip(want, norm, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("letters", [64, 1, 0])
+def test_exact(spark, docs, rows, tmp_path, monkeypatch, letters):
+    """Also where texts of unlike bytes share a digest of one letter or none, and where large groups are dealt out."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 3)
+    more = [(None, "no id"), (None, "n o id"), (None, "alone"), (90, "no id"), *((100 + i, "of many  " + " " * (i % 3)) for i in range(12))]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    d.withColumn("digest", F.lit(1)).withColumn("file", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.exact_dedup(spark, str(tmp_path / "documents.parquet") + "/", digest=lambda c: F.substring(c, 1, letters)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == exact_brute([*(r[:2] for r in rows), *more])
+
+
+def test_exact_resumes(spark, tmp_path):
+    """A second run over a table that has grown starts from the state of the first."""
+    path, state = str(tmp_path / "t.parquet"), str(tmp_path / "state")
+    first, second = [(5, "a b"), (6, "c")], [(1, "ab"), (2, "a  b"), (3, "c"), (4, "d")]
+    spark.createDataFrame(first, "doc_id long, text string").coalesce(1).write.parquet(path)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(spark, path, state).collect()), key=str) == exact_brute(first)
+    spark.createDataFrame(second, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(spark, path, state).collect()), key=str) == exact_brute(first + second)
+    batches = [p.name for p in (tmp_path / "state" / "states").iterdir() if p.name.startswith("batch=")]
+    assert len(batches) >= 2
 
 
 def test_empty_tables(spark, nothing, scratch, tmp_path):
