@@ -2,9 +2,10 @@
 
 The reference is what repeats, each repeated window of words once, where it first stands. It is found in two blocking
 steps: windows that repeat share an anchor, a sampled run of words, and only windows with a repeated anchor are hashed.
-A window's owner is the first unit (about a megabyte of texts) that has it; an owner's windows make one shard. Each
-shard's automaton goes to the tasks that hold the runs of words routed to it, and a window is removed if the automaton
-matches all its words.
+A window's owner is the first unit (about a megabyte of texts) that has it; an owner's windows make one shard. Stretches
+of a document whose windows have repeated anchors are its candidates; whole, in pieces that overlap by a window, they
+stream against the automaton of each shard that a blocking hash points to. What the automaton matches for a window's
+length or more is removed, and nothing else.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ split = re.compile(r"[^\x20\x09-\x0D]+").findall
 BUCKET, STREAM = 500_000, 100_000
 #: Bytes of text in a unit, the bound of a reference shard.
 UNIT = 1 << 20
+#: Windows that begin in a piece of a candidate.
+PIECE_STARTS = 512
 
 
 def slide(a: np.ndarray, w: int, op) -> np.ndarray:
@@ -251,14 +254,15 @@ def deal_anchors(bits: int):
 
 
 def route(units: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Runs of words for the shards: (shard, unit, row, start, n, words), each of consecutive windows of one owner.
+    """Texts for the shards: (shard, kind, unit, row, start, n, words).
 
-    A unit's runs for its own shard are the shard's reference.
+    Kind 0 is the reference: runs of consecutive repeated windows that the unit itself owns. Kind 1 are the pieces of the
+    unit's candidates, whole stretches with repeated anchors, one for each shard that owns a window in it.
     """
     null = lambda t, c: F.lit(None).cast(t).alias(c)
     a = units.select("unit", F.lit(0).alias("kind"), "texts", "places", null("binary", "hashes"), null("binary", "owners"))
     b = found.select("unit", F.lit(1).alias("kind"), null("array<string>", "texts"), null("array<binary>", "places"), "hashes", "owners")
-    kinds = (("shard", pa.int64()), ("unit", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int64()), ("words", pa.string()))
+    kinds = (("shard", pa.int64()), ("kind", pa.int32()), ("unit", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int64()), ("words", pa.string()))
 
     def done(head, items):
         w, raw, off, at, h = live_windows(head["texts"], head["places"], window)
@@ -267,29 +271,37 @@ def route(units: DataFrame, found: DataFrame, window: int) -> DataFrame:
         known, owner = known[order], owner[order]
         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[place] == h
-        at, owner = at[hit], owner[place[hit]]
         row = np.searchsorted(w.first, at, "right") - 1
-        cut = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(owner) != 0) | (np.diff(row) != 0)))[: len(at)]
+        begins = np.append(True, (np.diff(at) != 1) | (np.diff(row) != 0))[: len(at)]
+        head_of = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(at) else at
+        # A stretch is cut into pieces; each ends with the window of its last start.
+        begins |= (np.arange(len(at)) - head_of) % PIECE_STARTS == 0
+        piece, cut = np.cumsum(begins) - 1, np.flatnonzero(begins)
         end = np.append(cut[1:], len(at))[: len(cut)] - 1
+        pairs = np.unique(np.stack([piece[hit], owner[place[hit]]]), axis=1).T
+        spans = [(int(own), 1, int(cut[p]), int(end[p])) for p, own in pairs.tolist()]
+        mine = np.flatnonzero(hit & (owner[place] == head["unit"]))
+        first = np.flatnonzero(np.append(True, (np.diff(mine) != 1) | (np.diff(at[mine]) != 1) | (np.diff(row[mine]) != 0))[: len(mine)])
+        last = np.append(first[1:], len(mine))[: len(first)] - 1
+        spans += [(head["unit"], 0, int(mine[x]), int(mine[z])) for x, z in zip(first, last, strict=True)]
         out = []
-        for s, e in zip(cut.tolist(), end.tolist(), strict=True):
-            x, r, own = int(at[s]), int(row[s]), int(owner[s])
-            text = raw[w.starts[x] : w.ends[int(at[e]) + window - 1]].tobytes().decode()
-            out.append((own, head["unit"], r, x - int(w.first[r]), e - s + window, text))
+        for shard, kind, x, z in spans:
+            text = raw[w.starts[at[x]] : w.ends[at[z] + window - 1]].tobytes().decode()
+            out.append((shard, kind, head["unit"], int(row[x]), int(at[x] - w.first[row[x]]), int(at[z] - at[x]) + window, text))
         return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], [k for k, _ in kinds])
 
     item = lambda x: (np.frombuffer(x["hashes"], np.uint64), np.frombuffer(x["owners"], np.int64))
-    return by_unit(a.union(b), item, done, "shard long, unit long, row int, start int, n long, words string")
+    return by_unit(a.union(b), item, done, "shard long, kind int, unit long, row int, start int, n long, words string")
 
 
 def salted(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Runs with the salted task of their shard, (shard, salt, kind, ...): kind 0 is the reference, in each of the tasks."""
-    load = scratch.save(runs.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("salts")), "loads")
+    """Texts with the salted task of their shard, (shard, salt, kind, ...): the reference goes to each of the tasks."""
+    load = scratch.save(runs.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("salts")), "loads")
     few = load.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     d = runs.join(F.broadcast(load) if few else load, "shard")
-    rest = ("unit", "row", "start", "words")
-    asked = d.select("shard", F.pmod(F.xxhash64("unit", "row", "start"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), *rest)
-    known = d.where("unit = shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *rest)
+    rest = ("kind", "unit", "row", "start", "words")
+    asked = d.where("kind = 1").select("shard", F.pmod(F.xxhash64("unit", "row", "start"), "salts").cast("int").alias("salt"), *rest)
+    known = d.where("kind = 0").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *rest)
     return asked.union(known)
 
 

@@ -27,6 +27,35 @@ def test_substring_windows(docs, rows, scratch):
     assert any(g[2] for g in got)
 
 
+def test_the_automaton_decides(docs, rows, scratch, monkeypatch):
+    """Candidates go whole to the shards: without the automaton's spans all of them would be removed."""
+    want = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs.where("doc_id <> 36"), scratch).collect()}
+    lists = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    words = {i: [f"q{i}_{k}" for k in range(40)] for i in range(3)}
+    shared = [f"s{k}" for k in range(30)]
+    base = [(1, words[0] + shared + words[1]), (2, words[1][:20] + shared + words[0][:20]), (3, words[2] + shared + words[1])]
+    d = docs.sparkSession.createDataFrame([(i, " ".join(w)) for i, w in base], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(d, scratch).collect()}
+    assert got == {1: 70, 2: 0, 3: 70}
+    assert any(0 < n < len(lists[i]) for i, n in want.items())
+
+    spans = substring_dedup.Automaton.spans
+    seen = []
+
+    def watch(self, words, window):
+        out = spans(self, words, window)
+        seen.append(sum(b - a for a, b in out) < len(words))
+        return out
+
+    monkeypatch.setattr(substring_dedup.Automaton, "spans", watch)
+    import pyarrow as pa
+
+    at = ("shard", "salt", "kind", "unit", "row", "start", "words")
+    text = [(0, 0, 0, 1, 0, 0, " ".join(shared + words[1])), (0, 0, 1, 2, 0, 5, " ".join(words[2] + shared + words[1][:10]))]
+    (out,) = substring_dedup.match(35)([pa.RecordBatch.from_pylist([dict(zip(at, t, strict=True)) for t in text])])
+    assert out.to_pylist() == [{"unit": 2, "row": 0, "begin": 45, "end": 85}] and seen == [True]
+
+
 def test_automaton_finds_what_matches_cover():
     a = substring_dedup.Automaton()
     a.add("a b c d e".split())
