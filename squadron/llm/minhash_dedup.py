@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadron.llm.common import Scratch, components, documents, keep_ids
+from squadron.llm.common import Scratch, components, documents, keep_ids, shuffle_partitions
 from squadron.llm.textkit import Words, distinct, drop_kept, mix, pieces, shingles
 
 #: Signatures have CHUNKS chunks of WIDTH values of 16 bits. One value of a chunk may differ, so by the pigeonhole rule
@@ -20,8 +20,8 @@ VALUES = CHUNKS * WIDTH
 FAR = 45
 #: Rounds in which a text is compared with so many leaders at most, before the components left are compared.
 ROUNDS, LEADERS = 2, 8
-#: Documents of a component whose sets a task holds at a time.
-HOST_BLOCK = 250
+#: Documents whose sets a task of the last comparison holds at a time, and documents that stream against them.
+HOST_BLOCK, GUEST_BLOCK = 250, 1000
 SALT_ROWS = 2000
 
 _RANDOM = np.random.default_rng(20240229)
@@ -136,8 +136,9 @@ def component_links(rows: DataFrame, texts: DataFrame, size: int, percent: int,
     """Links (a, b) between components that share a bucket, from open rows (key, doc_id, root).
 
     Neither documents nor components are paired. In each bucket the largest component is the host and the others are its
-    guests. The documents of a host and of all its guests are dealt into blocks; each guest document visits every block
-    and is compared with all full sets of other components there at once. So rows grow with documents times blocks.
+    guests. The documents of a host and of all its guests are dealt into blocks, and those of the guests into visits;
+    each visit meets every block in a task of its own, where a document is compared with all full sets of other
+    components at once. So tasks are bounded, and rows grow with documents times blocks.
     """
     member = rows.select("root", "doc_id").distinct()
     sized = scratch.save(member.groupBy("root").agg(F.count("*").alias("size")), "open-sizes")
@@ -146,25 +147,27 @@ def component_links(rows: DataFrame, texts: DataFrame, size: int, percent: int,
     hosts = own.groupBy("key").agg(rank).select("key", (-F.col("h.neg")).alias("host"))
     meet = scratch.save(own.join(hosts, "key").where("root <> host").select("host", "root", "size").distinct(), "open-guests")
     total = meet.groupBy("host").agg(F.sum("size").alias("guests")).join(sized.withColumnsRenamed({"root": "host", "size": "own"}), "host")
-    total = total.select("host", F.ceil((F.col("guests") + F.col("own")) / HOST_BLOCK).cast("int").alias("blocks"))
-    all_ = meet.select("host", "root", F.lit(True).alias("visits")).union(meet.select("host", F.col("host").alias("root"), F.lit(False)).distinct())
+    total = total.select("host", F.ceil((F.col("guests") + F.col("own")) / HOST_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("guests") / GUEST_BLOCK).cast("int").alias("visits"))
+    all_ = meet.select("host", "root", F.lit(True).alias("guest")).union(meet.select("host", F.col("host").alias("root"), F.lit(False)).distinct())
     all_ = all_.join(total, "host").join(member, "root")
-    stay = all_.select("host", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "root", "doc_id")
-    come = all_.where("visits").select("host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "root", "doc_id")
+    block, visit = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), "visits").cast("int").alias("visit")
+    each_of = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    stay = all_.select("host", block, each_of("visits", "visit"), F.lit(0).alias("kind"), "root", "doc_id")
+    come = all_.where("guest").select("host", each_of("blocks", "block"), visit, F.lit(1).alias("kind"), "root", "doc_id")
     ids = scratch.save(member.select("doc_id").distinct(), "open-ids")
     few = keep_ids(texts, ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
-    dealt = stay.union(come).join(few, "doc_id").repartition("host", "block").sortWithinPartitions("host", "block", "kind", "doc_id")
+    dealt = stay.union(come).join(few, "doc_id").repartition("host", "block", "visit").sortWithinPartitions("host", "block", "visit", "kind", "doc_id")
 
     def each(batches):
         at, docs, sets, index = None, [], [], None
         for b in batches:
-            host, block, kind, root, doc = (b.column(c).to_pylist() for c in ("host", "block", "kind", "root", "doc_id"))
+            host, block, visit, kind, root, doc = (b.column(c).to_pylist() for c in ("host", "block", "visit", "kind", "root", "doc_id"))
             left, right = [], []
             for i, m, h, first in sets_of(b.column("text"), size):
                 for r in range(m):
                     k, s = i + r, h[first[r] : first[r + 1]]
-                    if at != (host[k], block[k]):
-                        at, docs, sets, index = (host[k], block[k]), [], [], None
+                    if at != (host[k], block[k], visit[k]):
+                        at, docs, sets, index = (host[k], block[k], visit[k]), [], [], None
                     if kind[k] == 0:
                         docs.append((root[k], doc[k]))
                         sets.append(s)
@@ -200,7 +203,8 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     Texts without words, null ones too, have no set, no link, and stay. Rows that repeat a doc_id count as links of that
     id's other rows and each give a row; rows with a null doc_id are returned unlinked and kept. Other columns are ignored.
 
-    Documents of equal sets are one class from the start. Each class is compared with a leader of its buckets, then with
+    Documents of equal set sums, whose full sets are then found equal to those of the first of them, are one class from the
+    start. Each class is compared with a leader of its buckets, then with
     some more; links found join classes to components, and a bucket stays only while it has several. At the end the
     components left in a bucket are compared in full: no link between components is lost, and a group of copies never
     meets in all its pairs.
@@ -210,8 +214,21 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     sig = scratch.save(texts.mapInArrow(signatures(size), SIGNED), "signatures")
     some = sig.where("n_shingles > 0")
     same = ["n_shingles", "sum_a", "sum_b"]
-    reps = scratch.save(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    keys = reps.select(F.col("rep").alias("doc_id"), "sig").mapInArrow(bucket_keys, "key long, doc_id long")
+    reps = scratch.save(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sig").alias("sig")), "classes")
+    copies = some.join(reps.where("members > 1").select(*same, "rep"), same).where("doc_id <> rep")
+    # An id of several rows has several texts; such rows are classed by their sums alone.
+    several = scratch.save(some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    copies = keep_ids(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), several.withColumnRenamed("doc_id", "b"), "b", "left_anti")
+    copies = scratch.save(keep_ids(copies, several.withColumnRenamed("doc_id", "a"), "a", "left_anti"), "copies")
+    ids = scratch.save(copies.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "copy-ids")
+    equal = scratch.save(confirm(copies, keep_ids(texts, ids, "doc_id"), size, 100, scratch, "copies").distinct(), "equal")
+    # Documents of equal sums and other sets are classes of their own; so are none but by chance of 2**-128.
+    odd = scratch.save(copies.join(equal, ["a", "b"], "left_anti").select(F.col("b").alias("doc_id")).distinct(), "odd")
+    if not odd.isEmpty():
+        sig = scratch.save(sig.join(odd.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("sum_a", F.when(F.col("odd"), F.xxhash64("sum_a", "doc_id")).otherwise(F.col("sum_a"))).drop("odd"), "signatures-apart")
+        reps = scratch.save(sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sig").alias("sig")), "classes-apart")
+    reps = reps.drop("members")
+    keys = reps.select(F.col("rep").alias("doc_id"), "sig").repartition(shuffle_partitions(spark)).mapInArrow(bucket_keys, "key long, doc_id long")
     sizes = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("cnt")).where("low <> high").select("key", "cnt")
     signed = reps.select(F.col("rep").alias("doc_id"), "sig", "n_shingles")
     rows = scratch.save(keys.join(sizes, "key").select("key", "doc_id", "cnt"), "buckets")

@@ -148,6 +148,39 @@ def test_near_duplicates(docs, rows, scratch, size):
     assert got == near_brute(rows, size)
 
 
+def test_no_pair_at_the_threshold_is_missed(spark, scratch):
+    """Planted pairs with a similarity from 0.80 to 0.82, of several sizes: all are linked."""
+    import random
+
+    rng, rows = random.Random(12), []
+    for i in range(240):
+        n = rng.choice((18, 45, 90, 180, 450))
+        base = [f"p{i}_{k}" for k in range(n + 1)]
+        # Words left out at the end of one text: n - m of n shingles are shared.
+        m = int(n * rng.uniform(0.18, 0.2))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: n + 1 - m]))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 2).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_many_unlike_near_copies(spark, scratch, monkeypatch):
+    """Components left in one bucket are compared in blocks and visits; tasks of a few documents give the same links."""
+    import random
+
+    monkeypatch.setattr(minhash_dedup, "HOST_BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "GUEST_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", 1)
+    rng = random.Random(4)
+    base, rows = [f"b{k}" for k in range(60)], []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(3, 9)):
+            w[rng.randrange(60)] = f"z{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 2).collect())
+    assert got == near_brute(rows, 2)
+
+
 def test_chunks_meet_within_the_guaranteed_distance():
     import pyarrow as pa
 
@@ -219,6 +252,9 @@ def test_null_ids(spark, scratch, tmp_path):
     d = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_dedup(d, scratch).collect())
     assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False)]
+    again = [(50, "x y z one"), (50, "k l m two"), (51, "x y z one"), (52, "k l m two"), (53, "X y z one"), (54, None)]
+    e = spark.createDataFrame(again, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_dedup(e, scratch).collect()) == [(50, 50), (50, 50), (51, 50), (52, 50), (53, 50), (54, 54)]
     assert substring_dedup.substring_dedup(d, scratch).count() == 4
     d.write.parquet(str(tmp_path / "t.parquet"))
     assert {r.keep_id for r in exact_dedup.exact_dedup(spark, str(tmp_path / "t.parquet")).where("doc_id = 2").collect()} == {1}
