@@ -9,23 +9,26 @@ from pyspark.sql import functions as F
 
 from squadron.kernel import cluster as k
 from squadron.operators.metrics import centroids
-from squadron.operators.paths import distances_from
+from squadron.operators.paths import feasible_paths
 
 
-def capped_kmeans(points: DataFrame, cap: int, seed: int = 0, k_spec: int = 0, min_k: int = 0, n_restarts: int = 20, max_iter: int = 1000, tol: float = 0.01, max_split: float = np.inf, extra: str | None = None) -> DataFrame:
+def capped_kmeans(points: DataFrame, cap: int | str, seed: int = 0, k_spec: int | str = 0, min_k: int = 0, n_restarts: int = 20, max_iter: int = 1000, tol: float = 0.01, max_split: float = np.inf, extra: str | None = None) -> DataFrame:
     """(run_id, node_id, cluster_id) of the best of ``n_restarts`` for each run; ``extra`` is a third feature.
 
-    A restart is a group of its own with a seed from (seed, run, restart), so the result does not depend on partitions.
-    The best has the least sum of sphere distances to the clusters' mean points. Cluster ids run from 1.
+    ``cap`` and ``k_spec`` are numbers, or columns that hold one for each run. A restart is a group of its own with a seed
+    from (seed, run, restart), so the result does not depend on partitions. The best has the least sum of sphere
+    distances to the clusters' mean points. Cluster ids run from 1.
     """
     cols = ["x", "y"] + ([extra] if extra else [])
-    rows = points.select("run_id", "node_id", *cols).withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(n_restarts - 1))))
+    of = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
+    rows = points.select("run_id", "node_id", *cols, of(cap).cast("long").alias("_cap"), of(k_spec).cast("long").alias("_k"))
+    rows = rows.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(n_restarts - 1))))
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
         rng = np.random.default_rng([seed, int(pdf.run_id.iloc[0]), int(pdf.restart.iloc[0])])
         x = pdf[cols].to_numpy(float)
-        label = k.capped_kmeans(x, cap, rng, k_spec, min_k, max_split, max_iter, tol)
+        label = k.capped_kmeans(x, int(pdf._cap.iloc[0]), rng, int(pdf._k.iloc[0]), min_k, max_split, max_iter, tol)
         _, label = np.unique(label, return_inverse=True)
         return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "restart": [pdf.restart.iloc[0]], "score": [round(k.score(x, label), 6)], "label": [[{"node_id": int(n), "cluster_id": int(c) + 1} for n, c in zip(pdf.node_id, label, strict=True)]]})
 
@@ -34,14 +37,21 @@ def capped_kmeans(points: DataFrame, cap: int, seed: int = 0, k_spec: int = 0, m
     return best.select("run_id", F.inline("label"))
 
 
+def cluster_reached(reached: DataFrame, cap: int | str, k_spec: int = 0, dist_weighting: float = 5e-6, **options) -> DataFrame:
+    """(run_id, node_id, x, y, cluster_id): clusters on place and weighted feasible distance, from targets with dist_m."""
+    d = reached.withColumn("far", F.col("dist_m") * dist_weighting)
+    return reached.select("run_id", "node_id", "x", "y").join(capped_kmeans(d, cap, k_spec=k_spec, extra="far", **options), ["run_id", "node_id"])
+
+
 def cluster_problem(targets: DataFrame, rings: DataFrame, depot: tuple[float, float], cap: int, k_spec: int = 0, dist_weighting: float = 5e-6, **options) -> DataFrame:
-    """(run_id, node_id, x, y, cluster_id): clusters on place and weighted feasible distance from the depot.
+    """(run_id, node_id, x, y, cluster_id) of runs that share a depot and zones: clusters on place and weighted feasible
+    distance from the depot.
 
     Nodes that cannot be reached round the boats' zones are left out.
     """
-    d = targets.join(distances_from(depot, targets, rings), "node_id").where(F.col("dist_m") < float("inf"))
-    d = d.withColumn("far", F.col("dist_m") * dist_weighting)
-    return targets.select("run_id", "node_id", "x", "y").join(capped_kmeans(d, cap, k_spec=k_spec, extra="far", **options), ["run_id", "node_id"])
+    pairs = targets.select("run_id", "node_id", F.lit(depot[0]).alias("ax"), F.lit(depot[1]).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    d = feasible_paths(pairs, rings).where(F.col("dist_m") < float("inf"))
+    return cluster_reached(d.select("run_id", "node_id", F.col("bx").alias("x"), F.col("by").alias("y"), "dist_m"), cap, k_spec, dist_weighting, **options)
 
 
 def relabelled(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -77,28 +87,32 @@ def cluster_mapping(nodes: DataFrame, previous: DataFrame) -> DataFrame:
     return hungarian(new.join(old, "run_id").select("run_id", "a", "b", cost.alias("cost"))).select("run_id", F.col("a").alias("cluster_id"), F.col("b").alias("new_id"))
 
 
+def values_of(nodes: DataFrame, disturbance: DataFrame) -> DataFrame:
+    """``nodes`` with their disturbance as ``far``, 0 where none is known; by run where the values have one."""
+    on = [c for c in ("run_id", "node_id") if c in disturbance.columns]
+    d = nodes.join(disturbance.select(*on, "disturbance_value"), on, "left")
+    return d.withColumn("far", F.coalesce("disturbance_value", F.lit(0.0))).drop("disturbance_value")
+
+
 def worst_cluster(nodes: DataFrame, disturbance: DataFrame, seed: int) -> DataFrame:
     """(run_id, cluster_id) with the largest mean disturbance plus noise in [-1, 1] hashed from seed, run and cluster."""
     noise = F.pmod(F.xxhash64(F.lit(seed), "run_id", "cluster_id"), F.lit(1 << 30)) / float(1 << 29) - 1
-    d = nodes.join(disturbance.select("node_id", "disturbance_value"), "node_id", "left")
-    g = d.groupBy("run_id", "cluster_id").agg(F.avg(F.coalesce("disturbance_value", F.lit(0.0))).alias("m")).withColumn("s", F.col("m") + noise)
+    g = values_of(nodes, disturbance).groupBy("run_id", "cluster_id").agg(F.avg("far").alias("m")).withColumn("s", F.col("m") + noise)
     return g.groupBy("run_id").agg(F.max_by("cluster_id", F.struct("s", "cluster_id")).alias("cluster_id"))
 
 
 def disturbed(nodes: DataFrame, disturbance: DataFrame, k_spec: int, cap: int, seed: int = 0, k_d_upper: float = 0.4, tol: float = 0.01, n_restarts: int = 20) -> DataFrame:
-    """Remaining nodes of one run after an event: clusters on place and disturbance, the worst one's nodes given up, the
-    rest clustered to exactly ``k_spec``. With fewer nodes than clusters the input's clusters stay."""
-    n = nodes.count()
-    if n <= k_spec:
-        return nodes.select("run_id", "node_id", "x", "y", "cluster_id")
-    high = max(int(np.ceil(k_d_upper * n)), k_spec + 1)
-    k_d = int(np.random.default_rng([seed, n]).integers(k_spec + 1, high + 1))
-    d = nodes.drop("cluster_id").join(disturbance.select("node_id", "disturbance_value"), "node_id", "left").withColumn("far", F.coalesce("disturbance_value", F.lit(0.0)))
-    first = capped_kmeans(d, n, seed=seed, k_spec=min(k_d, n), extra="far", n_restarts=n_restarts, tol=tol)
-    lost = first.join(worst_cluster(first, disturbance, seed), ["run_id", "cluster_id"], "left_semi").select("node_id")
-    kept = d.join(lost, "node_id", "left_anti")
-    m = kept.count()
-    if m <= k_spec or m > k_spec * cap:
-        return nodes.select("run_id", "node_id", "x", "y", "cluster_id")
+    """Remaining nodes of every run after an event: clusters on place and disturbance, the worst one's nodes given up, the
+    rest clustered to exactly ``k_spec``. A run with fewer nodes than clusters, or too many for them, keeps its clusters."""
+    columns = ["run_id", "node_id", "x", "y", "cluster_id"]
+    n = nodes.groupBy("run_id").agg(F.count("*").alias("n"))
+    high = F.greatest(F.ceil(F.col("n") * k_d_upper).cast("long"), F.lit(k_spec + 1))
+    drawn = k_spec + 1 + F.pmod(F.xxhash64(F.lit(seed), "run_id", "n"), high - k_spec)
+    d = values_of(nodes.drop("cluster_id"), disturbance).join(n.where(F.col("n") > k_spec).withColumn("k_d", F.least("n", drawn)), "run_id")
+    first = capped_kmeans(d, "n", seed=seed, k_spec="k_d", extra="far", n_restarts=n_restarts, tol=tol)
+    lost = first.join(worst_cluster(first, disturbance, seed), ["run_id", "cluster_id"], "left_semi").select("run_id", "node_id")
+    kept = d.select("run_id", "node_id", "x", "y").join(lost, ["run_id", "node_id"], "left_anti")
+    runs = kept.groupBy("run_id").agg(F.count("*").alias("m")).where((F.col("m") > k_spec) & (F.col("m") <= k_spec * cap)).select("run_id")
+    kept = kept.join(runs, "run_id", "left_semi")
     again = capped_kmeans(kept, cap, seed=seed + 1, k_spec=k_spec, n_restarts=n_restarts, tol=tol)
-    return kept.select("run_id", "node_id", "x", "y").join(again, ["run_id", "node_id"])
+    return kept.join(again, ["run_id", "node_id"]).select(*columns).union(nodes.join(runs, "run_id", "left_anti").select(*columns))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +104,7 @@ class Inputs:
     @property
     def problem(self):
         """All sites outside the obstacles, dealt to fleets of up to about FLEET_SITES; the obstacles are both zone sets."""
-        z = fx.obstacles(self.spark, self.d).select(F.lit(0).cast("bigint").alias("run_id"), "poly_idx", "ring")
+        z = fx.obstacles(self.spark, self.d).select(F.lit(None).cast("bigint").alias("run_id"), "poly_idx", "ring")
         zones = z.withColumn("zone_set", F.lit("ms")).unionByName(z.withColumn("zone_set", F.lit("tender")))
         sites = fx.sites(self.spark, self.d)
         run = (F.col("node_id") % max(1, -(-sites.count() // FLEET_SITES))).cast("bigint").alias("run_id")
@@ -261,15 +260,7 @@ query("h3_capped_kmeans")(lambda s, d: clustering.capped_kmeans(fx.sites(s, d).w
 query("h1_cluster_problem")(lambda s, d: clustering.cluster_problem((p := Inputs(s, d).problem).targets.points, p.zones.where("zone_set = 'tender'"), fx.DEPOT, 6))
 
 
-def disturbed_runs(s, d):
-    """Every run after an event; an event belongs to one run, so runs are taken one by one."""
-    t = fx.targets(s, d)
-    values = spatial.disturbance_of(t, fx.boxes(s, d))
-    made = [clustering.disturbed(own, values, 5, 1000) for r in sorted(r.run_id for r in t.select("run_id").distinct().collect()) for own in [t.where(F.col("run_id") == r)]]
-    return reduce(DataFrame.unionByName, made)
-
-
-query("h2_disturbed_clusters")(disturbed_runs)
+query("h2_disturbed_clusters")(lambda s, d: clustering.disturbed(t := fx.targets(s, d), spatial.disturbance_of(t, fx.boxes(s, d)), 5, 1000))
 
 # --- sinks, summaries, layers ---
 query("b1_points", "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY cluster_id, node_id) AS id, cluster_id, x, y FROM targets")(lambda s, d: sinks.export_points(fx.targets(s, d)))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from squadron.functions.session import checkpointed
 from squadron.kernel import solution as s
 from squadron.kernel.paths import Zones
-from squadron.operators.clustering import cluster_problem
-from squadron.operators.paths import zone_array
+from squadron.operators.clustering import cluster_reached
+from squadron.operators.paths import bounded, zone_array
 from squadron.operators.regions import as_array
 from squadron.schemas import Problem, Solution
 
@@ -65,11 +65,18 @@ def row_of(run_id, chain, event_idx, plan: s.Plan, fleet: s.Fleet, trace) -> dic
 
 
 def fleets(problem: Problem) -> DataFrame:
-    """One row for each run with its zones as arrays."""
+    """One row for each run with its zones as arrays: those of its own run_id, and those whose run_id is null."""
     z = problem.zones
-    ms = zone_array(z.where("zone_set = 'ms'")).select(F.col("zones").alias("ms_zones"))
-    t = zone_array(z.where("zone_set = 'tender'")).select(F.col("zones").alias("t_zones"))
-    return problem.fleet.crossJoin(F.broadcast(ms)).crossJoin(F.broadcast(t))
+    z = z if "run_id" in z.columns else z.withColumn("run_id", F.lit(None).cast("bigint"))
+    out = problem.fleet
+    for name, kind in (("ms_zones", "ms"), ("t_zones", "tender")):
+        own = z.where(F.col("zone_set") == kind)
+        shared = zone_array(own.where("run_id is null")).select(F.col("zones").alias("shared"))
+        rings = F.transform(F.array_sort(F.collect_list(F.struct("poly_idx", "ring"))), lambda r: r["ring"])
+        per = own.where("run_id is not null").groupBy("run_id").agg(bounded(rings, F.sum(F.size("ring"))).alias("own"))
+        out = out.join(per, "run_id", "left").crossJoin(F.broadcast(shared))
+        out = out.withColumn(name, F.when(F.col("own").isNull(), F.col("shared")).otherwise(F.concat("own", "shared"))).drop("own", "shared")
+    return out
 
 
 def rows_in(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
@@ -79,11 +86,23 @@ def rows_in(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out)
 
 
+def reached(problem: Problem) -> DataFrame:
+    """(run_id, node_id, x, y, dist_m, cap): each run's targets with the way from its depot round its boats' zones, and the
+    nodes that a cluster of the run holds at most (boats times stops). Targets without a way are left out."""
+    t = problem.targets.points.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "x", "y"))).alias("nodes"))
+
+    def each(r):
+        zones, depot = zones_from(r.t_zones), (r.depot_x, r.depot_y)
+        found = [(n, zones.path(depot, (n["x"], n["y"]))[0]) for n in r.nodes]
+        return {"run_id": int(r.run_id), "cap": int(r.n_tenders) * int(r.t_cap), "nodes": [{"node_id": int(n["node_id"]), "x": float(n["x"]), "y": float(n["y"]), "dist_m": d} for n, d in found if d < float("inf")]}
+
+    made = t.join(fleets(problem), "run_id").mapInPandas(lambda b: rows_in(b, each), "run_id bigint, cap int, nodes array<struct<node_id: bigint, x: double, y: double, dist_m: double>>")
+    return made.select("run_id", "cap", F.inline("nodes"))
+
+
 def clustered(problem: Problem, k: int, seed: int, restarts: int, iterations: int) -> DataFrame:
-    """(run_id, nodes): each run's clusters; capacity is boats times stops."""
-    f = problem.fleet.first()
-    zones = problem.zones.where("zone_set = 'tender'")
-    d = cluster_problem(problem.targets.points, zones, (f.depot_x, f.depot_y), int(f.n_tenders) * int(f.t_cap), k_spec=0, min_k=k, seed=seed, n_restarts=restarts, max_iter=iterations)
+    """(run_id, nodes): each run's clusters, from its own depot, zones, boats and stops."""
+    d = cluster_reached(reached(problem), "cap", k_spec=0, min_k=k, seed=seed, n_restarts=restarts, max_iter=iterations)
     return d.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "node_id", "x", "y"))).alias("nodes"))
 
 

@@ -56,7 +56,8 @@ class Targets:
 
 @dataclass(frozen=True)
 class Problem:
-    """Tables of one or many fleets. ``zones`` has both zone sets, 'ms' and 'tender'."""
+    """Tables of one or many fleets, keyed by run_id. ``zones`` has both zone sets, 'ms' and 'tender'; a zone with a null
+    run_id is every run's."""
 
     fleet: DataFrame
     targets: Targets

@@ -84,8 +84,10 @@ def random_points(spark: SparkSession, n: int, buffered: DataFrame, original: Da
     while True:
         p = spark.range(1, block + 1).select(F.col("id").alias("node_id")).select("node_id", (F.lit(x0) + unit(1) * (x1 - x0)).alias("x"), (F.lit(y0) + unit(2) * (y1 - y0)).alias("y"))
         ok = spatial.excluded(spatial.excluded(p, buffered), original, how="left_anti").select("node_id", "x", "y")
-        if block >= 1 << 24 or ok.limit(n).count() >= n:
+        if ok.limit(n).count() >= n:
             return ok.orderBy("node_id").limit(n)
+        if block >= 1 << 32:
+            raise ValueError(f"of {block} points fewer than {n} lie in the buffered zones and outside the original ones")
         block *= 2
 
 

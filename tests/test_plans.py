@@ -237,3 +237,34 @@ def test_problem_has_every_free_site(spark, sf, least):
     assert sorted(r.node_id for r in got) == sorted(r.node_id for r in free)
     assert sorted(r.node_id for r in p.targets.disturbance.collect()) == sorted(r.node_id for r in free)
     assert {r.run_id for r in got} == {r.run_id for r in p.fleet.collect()} and p.fleet.count() == least
+
+
+def test_two_unlike_fleets_together_are_each_alone(spark):
+    """Two fleets that share node ids, with other depots, zones, boats, stops and sites: each plan is that of its own."""
+    from squadron.functions.geo import box
+    from squadron.schemas import Problem, Targets
+
+    fleet = spark.createDataFrame([(0, 146.0, -17.0, 0.2, 0.075, 3, 2), (1, 146.9, -16.1, 0.3, 0.1, 1, 1)], "run_id bigint, depot_x double, depot_y double, w_ms double, w_t double, n_tenders tinyint, t_cap smallint")
+    places = [(r, n, 146.1 + 0.11 * n + 0.02 * r, -16.9 + 0.09 * n * (1 + r) % 0.7) for r in (0, 1) for n in range(1, 7)]
+    points = spark.createDataFrame(places, "run_id bigint, node_id bigint, x double, y double")
+    zones = spark.createDataFrame([(0, 1, 146.3, -16.95), (1, 1, 146.75, -16.4), (None, 2, 146.02, -16.2)], "run_id bigint, poly_idx int, x double, y double")
+    zones = zones.select("run_id", "poly_idx", box(F.col("x"), F.col("y"), F.col("x") + 0.05, F.col("y") + 0.05).alias("ring"))
+    zones = zones.withColumn("zone_set", F.lit("ms")).union(zones.withColumn("zone_set", F.lit("tender")))
+    values = points.select("run_id", "node_id", (F.col("node_id") % 3 / 10 + F.col("run_id")).alias("disturbance_value"))
+
+    def problem(run=None):
+        own = lambda df: df if run is None else df.where(F.col("run_id") == run)
+        return Problem(own(fleet), Targets(own(points), own(values)), zones if run is None else zones.where(F.col("run_id").isNull() | (F.col("run_id") == run)))
+
+    solved = lambda p: {(r.run_id, r.event_idx): (r.order, r.hours, r.total, r.sorties) for r in solve.solve(p, restarts=2, chains=2, min_iters=20, max_iters=20, events=[2]).collect()}
+    both = solved(problem())
+    assert both == {**solved(problem(0)), **solved(problem(1))} and len(both) == 4
+    assert {r.run_id: (len(r.ms_zones), len(r.t_zones)) for r in solve.fleets(problem()).collect()} == {0: (2, 2), 1: (2, 2)}
+    for run, cap in ((0, 2), (1, 1)):
+        order, _, _, sorties = both[run, 0]
+        assert sorted(n for s in sorties for n in s.stops) == [1, 2, 3, 4, 5, 6] and max(len(s.stops) for s in sorties) <= cap
+        assert len(order) == (1 if run == 0 else 6)
+    alone = [clustering.disturbed(points.where(f"run_id = {r}").withColumn("cluster_id", F.lit(1).cast("bigint")), values, 2, 3) for r in (0, 1)]
+    together = clustering.disturbed(points.withColumn("cluster_id", F.lit(1).cast("bigint")), values, 2, 3)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(together) == sorted(key(alone[0]) + key(alone[1]))
