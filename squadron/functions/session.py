@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where all executors are this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="squadron-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; sets one only where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="squadron-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -8,6 +8,9 @@ import numpy as np
 
 from squadron.kernel.geometry import blocked, closed, haversine, inside
 
+#: Points whose visible vertices a worker keeps.
+KEPT_POINTS = 100_000
+
 
 class Zones:
     """A zone set with the visibility edges between its vertices, worked out once and used for every pair."""
@@ -22,6 +25,8 @@ class Zones:
             self.points = self.points[~self.covered(self.points)]
         self._edges: list[list[tuple[int, float]]] | None = None
         self._paths: dict[tuple, tuple[float, list]] = {}
+        self._seen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self._trees: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def covered(self, points) -> np.ndarray:
         p = np.atleast_2d(np.asarray(points, float))
@@ -67,32 +72,52 @@ class Zones:
             return float("inf"), []
         if self.visible(a, b):
             return float(haversine(a, b)), [a, b]
-        n = len(self.points)
-        last = {k: float(haversine(self.points[k], b)) for k in range(n) if self.visible(self.points[k], b)}
-        best, came, heap = {}, {}, []
-        for k in range(n):
-            if self.visible(a, self.points[k]):
-                best[k] = float(haversine(a, self.points[k]))
-                heapq.heappush(heap, (best[k], k))
-        end, via = float("inf"), None
-        while heap:
-            d, k = heapq.heappop(heap)
-            if d >= end:
-                break
-            if d > best[k]:
-                continue
-            if k in last and d + last[k] < end:
-                end, via = d + last[k], k
-            for j, w in self.edges[k]:
-                if d + w < best.get(j, float("inf")):
-                    best[j], came[j] = d + w, k
-                    heapq.heappush(heap, (d + w, j))
-        if via is None:
+        return self.around(a, b)
+
+    def seen(self, p: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Vertices in sight of a point and the metres to them, none from inside a zone; kept for the point's other ways."""
+        if p not in self._seen:
+            if len(self._seen) > KEPT_POINTS:
+                self._seen.clear()
+            hidden = bool(self.rings) and bool(self.covered([p])[0])
+            k = np.array([] if hidden else [k for k in range(len(self.points)) if self.visible(p, self.points[k])], np.int64)
+            self._seen[p] = k, np.array([float(haversine(p, self.points[i])) for i in k])
+        return self._seen[p]
+
+    def tree(self, root: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shortest ways from a vertex to all others by Dijkstra: metres, and the vertex before each."""
+        if root not in self._trees:
+            far, came = np.full(len(self.points), np.inf), np.full(len(self.points), -1)
+            far[root], heap = 0.0, [(0.0, root)]
+            while heap:
+                d, k = heapq.heappop(heap)
+                if d > far[k]:
+                    continue
+                for j, w in self.edges[k]:
+                    if d + w < far[j]:
+                        far[j], came[j] = d + w, k
+                        heapq.heappush(heap, (d + w, j))
+            self._trees[root] = far, came
+        return self._trees[root]
+
+    def around(self, a: tuple[float, float], b: tuple[float, float]) -> tuple[float, list[tuple[float, float]]]:
+        """The shortest way over vertices, for two points that do not see each other."""
+        (ka, da), (kb, db) = self.seen(a), self.seen(b)
+        end, first, last = float("inf"), -1, -1
+        if len(kb):
+            for k, d in zip(ka.tolist(), da.tolist(), strict=True):
+                if d >= end:
+                    continue
+                on = self.tree(k)[0][kb] + db
+                i = int(on.argmin())
+                if d + on[i] < end:
+                    end, first, last = d + float(on[i]), k, int(kb[i])
+        if first < 0:
             return float("inf"), []
-        points, k = [b], via
-        while k is not None:
+        points, k, came = [b], last, self.tree(first)[1]
+        while k >= 0:
             points.append(tuple(map(float, self.points[k])))
-            k = came.get(k)
+            k = int(came[k])
         return end, [a, *points[::-1]]
 
     def matrix(self, points) -> np.ndarray:

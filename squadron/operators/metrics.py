@@ -43,6 +43,16 @@ def closed_tour_length(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...
     return pairs.join(matrix, ["i", "j"]).groupBy(*keys).agg(F.sum("dist_m").alias("dist_m"))
 
 
+def sortie_tours(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...], order: str, node: str = "node_id", depot: int = 0) -> DataFrame:
+    """Length of each sortie as a tour from the depot's row of a long distance matrix (i, j, dist_m) and back."""
+    w = W.partitionBy(*keys).orderBy(order)
+    at = F.lit(depot).cast("bigint")
+    d = stops.select(*keys, F.coalesce(F.lag(node).over(w), at).alias("before"), F.col(node).alias("here"), F.lead(node).over(w).alias("after"))
+    home = F.when(F.col("after").isNull(), F.struct(F.col("here").alias("i"), at.alias("j")))
+    hops = d.select(*keys, F.explode(F.array_compact(F.array(F.struct(F.col("before").alias("i"), F.col("here").alias("j")), home))).alias("h"))
+    return hops.select(*keys, "h.i", "h.j").join(matrix, ["i", "j"]).groupBy(*keys).agg(F.sum("dist_m").alias("dist_m"))
+
+
 def open_path_length(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...], order: str, node: str = "node_id") -> DataFrame:
     """Length of a path along its stops, without a return."""
     w = W.partitionBy(*keys).orderBy(order)

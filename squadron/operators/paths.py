@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squadron.functions import geo
+from squadron.functions.session import checkpointed
 from squadron.kernel.paths import Zones
 from squadron.operators.regions import as_array, hull_of
-from squadron.operators.spatial import containing, excluded
+from squadron.operators.metrics import legs
+from squadron.operators.spatial import CELL, by_cell, containing, excluded, segment_cells, visible_pairs
 
 PATH = "dist_m double, path array<struct<x: double, y: double>>"
 
@@ -29,15 +31,15 @@ def zone_array(rings: DataFrame) -> DataFrame:
     return rings.agg(z.alias("zones"), F.coalesce(F.sum(F.size("ring")), F.lit(0)).alias("n")).select(bounded(F.col("zones"), F.col("n")).alias("zones"))
 
 
-def crossed(pairs: DataFrame, rings: DataFrame) -> DataFrame:
-    """For each pair (pair_id, ax, ay, bx, by) the crossed ring nearest to a: (pair_id, poly_idx); envelopes are tested first.
+def crossed(pairs: DataFrame, rings: DataFrame, skip: tuple[int, ...] = ()) -> DataFrame:
+    """For each pair (pair_id, ax, ay, bx, by) the crossed ring nearest to a, but those in ``skip``: (pair_id, poly_idx).
 
-    Distance is that from a to the first point where the segment meets the ring.
+    Rings and segments meet by the grid cells of both; distance is that from a to the first point where the segment meets
+    the ring.
     """
-    r = rings.select("poly_idx", "ring", geo.envelope(F.col("ring")).alias("e"))
+    r = by_cell(rings.where(~F.col("poly_idx").isin(*skip)).select("poly_idx", "ring"))
     p, q = geo.point("ax", "ay"), geo.point("bx", "by")
-    near = (F.least("ax", "bx") < F.col("e.x1")) & (F.greatest("ax", "bx") > F.col("e.x0")) & (F.least("ay", "by") < F.col("e.y1")) & (F.greatest("ay", "by") > F.col("e.y0"))
-    d = pairs.join(r, near & geo.blocks(p, q, F.col("ring")))
+    d = segment_cells(pairs).join(r, ["_i", "_j"]).where(geo.blocks(p, q, F.col("ring")))
     return d.withColumn("t", first_meeting(p, q, F.col("ring"))).groupBy("pair_id").agg(F.min_by("poly_idx", F.struct("t", "poly_idx")).alias("poly_idx"))
 
 
@@ -76,15 +78,23 @@ def feasible_paths(pairs: DataFrame, rings: DataFrame) -> DataFrame:
     Distance is that along the shortest way round all zones on their visibility graph; Infinity and no path where an end
     lies inside a zone. Zones come to each task once; its visibility graph is made once and serves all its pairs.
     """
-    zones = F.broadcast(zone_array(rings))
+    # Envelopes are made once, on the one row; a ring is looked at only where the segment's own envelope meets its.
+    zones = zone_array(rings).select("zones", F.transform("zones", lambda r: F.struct(geo.envelope(r).alias("e"), r.alias("ring"))).alias("boxed"))
     plain = F.struct(geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"))
-    d = pairs.crossJoin(zones)
+    low, high = F.struct(F.least("ax", "bx").alias("x"), F.least("ay", "by").alias("y")), F.struct(F.greatest("ax", "bx").alias("x"), F.greatest("ay", "by").alias("y"))
+    d = pairs.withColumn("low", low).withColumn("high", high).crossJoin(F.broadcast(checkpointed(zones)))
     p, q = geo.point("ax", "ay"), geo.point("bx", "by")
-    free = ~F.exists("zones", lambda r: geo.blocks(p, q, r) | geo.contains(r, F.col("ax"), F.col("ay")) | geo.contains(r, F.col("bx"), F.col("by")))
+
+    def near(z: Column) -> Column:
+        e = z["e"]
+        return (F.col("low.x") < e["x1"]) & (F.col("high.x") > e["x0"]) & (F.col("low.y") < e["y1"]) & (F.col("high.y") > e["y0"])
+
+    hit = F.filter("boxed", near)
+    free = ~F.exists(hit, lambda z: geo.blocks(p, q, z["ring"]) | geo.contains(z["ring"], F.col("ax"), F.col("ay")) | geo.contains(z["ring"], F.col("bx"), F.col("by")))
     same = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
     d = d.withColumn("free", free).withColumn("plain", plain)
     direct = d.where("free").select(*pairs.columns, F.when(same, F.lit(0.0)).otherwise(F.col("plain.d")).alias("dist_m"), F.when(same, F.array(p)).otherwise(F.array(p, q)).alias("path"))
-    rest = d.where("not free").drop("free", "plain")
+    rest = d.where("not free").select(*pairs.columns, "zones")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", " + PATH
 
     def each(batches):
@@ -94,7 +104,8 @@ def feasible_paths(pairs: DataFrame, rings: DataFrame) -> DataFrame:
                 continue
             if known is None:
                 known = Zones([as_array(r) for r in pdf.zones.iloc[0]])
-            found = [known.path((a, b), (c, e)) for a, b, c, e in zip(pdf.ax, pdf.ay, pdf.bx, pdf.by, strict=True)]
+            ends = zip(pdf.ax.tolist(), pdf.ay.tolist(), pdf.bx.tolist(), pdf.by.tolist(), strict=True)
+            found = [(0.0, [(a, b)]) if (a, b) == (c, e) else known.around((a, b), (c, e)) for a, b, c, e in ends]
             out = pdf.drop(columns="zones")
             out["dist_m"] = [f[0] for f in found]
             out["path"] = [[{"x": x, "y": y} for x, y in f[1]] for f in found]
@@ -129,23 +140,38 @@ def visibility_edges(rings: DataFrame) -> DataFrame:
     v = rings.select(F.explode(F.array_distinct("ring")).alias("v")).distinct()
     bad = excluded(v.select(F.xxhash64("v.x", "v.y").alias("node_id"), "v.x", "v.y"), rings, how="left_anti")
     a, b = bad.select(F.struct("x", "y").alias("src")), bad.select(F.struct("x", "y").alias("dst"))
-    pairs = a.join(b, F.col("src") < F.col("dst"))
-    z = pairs.crossJoin(F.broadcast(zone_array(rings))).where(~F.exists("zones", lambda r: geo.blocks(F.col("src"), F.col("dst"), r)))
-    e = z.select("src", "dst", geo.between(F.col("src"), F.col("dst")).alias("w"))
+    # Every two vertices are a question of their own; zones are looked up by the cells of the way between.
+    pairs = a.join(b, F.col("src") < F.col("dst")).select("src", "dst", F.col("src.x").alias("ax"), F.col("src.y").alias("ay"), F.col("dst.x").alias("bx"), F.col("dst.y").alias("by"))
+    e = visible_pairs(pairs, rings).select("src", "dst", geo.between(F.col("src"), F.col("dst")).alias("w"))
     return e.union(e.select("dst", "src", "w"))
 
 
 def moved_out(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """Points inside a zone's convex hull moved to the nearest vertex, of a hull, that lies in no hull; others stay."""
+    """Points (node_id, x, y) inside zones' convex hulls moved to the nearest vertex, in the plane, of these hulls that lies
+    in no hull; others stay, as do those without such a vertex."""
     h = hulls(rings)
-    flagged = containing(points, h)
-    stay = flagged.where("poly_idx = 0").select("node_id", "x", "y")
-    v = h.select(F.explode(F.array_distinct("ring")).alias("v")).distinct()
-    v = v.select(F.xxhash64("v.x", "v.y").alias("node_id"), "v.x", "v.y")
-    free = excluded(v, h, how="left_anti").select(F.struct("x", "y").alias("v"))
-    lost = flagged.where("poly_idx > 0").crossJoin(F.broadcast(free.agg(F.sort_array(F.collect_list("v")).alias("vs")).select(bounded(F.col("vs"), F.size("vs")).alias("vs"))))
-    near = F.array_min(F.transform("vs", lambda c: F.struct(F.round(geo.haversine(F.col("x"), F.col("y"), c["x"], c["y"]), 6).alias("d"), c["x"].alias("x"), c["y"].alias("y"))))
-    return stay.union(lost.select("node_id", near.alias("n")).select("node_id", "n.x", "n.y"))
+    v = h.select("poly_idx", F.explode(F.array_distinct("ring")).alias("v")).select("poly_idx", "v.x", "v.y", F.xxhash64("v.x", "v.y").alias("node_id"))
+    free = excluded(v, h, how="left_anti").select("poly_idx", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    cell = lambda c: F.floor(F.col(c) / CELL).cast("int")
+    hit = points.select("node_id", "x", "y", cell("x").alias("_i"), cell("y").alias("_j")).join(by_cell(h.select("poly_idx", "ring")), ["_i", "_j"])
+    hit = hit.where(geo.contains(F.col("ring"), F.col("x"), F.col("y"))).select("node_id", "x", "y", "poly_idx").join(free, "poly_idx")
+    far = F.round(F.pow(F.col("vx") - F.col("x"), 2) + F.pow(F.col("vy") - F.col("y"), 2), 15)
+    near = hit.groupBy("node_id").agg(F.min_by(F.struct("vx", "vy"), F.struct(far, "vx", "vy")).alias("n"))
+    return points.select("node_id", "x", "y").join(near, "node_id", "left").select("node_id", F.coalesce("n.vx", "x").alias("x"), F.coalesce("n.vy", "y").alias("y"))
+
+
+def cleared(rows: DataFrame, rings: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y") -> DataFrame:
+    """``rows``, told apart by ``keys``, with their points moved out of the zones."""
+    d = rows.withColumn("_id", F.xxhash64(*keys))
+    out = moved_out(d.select(F.col("_id").alias("node_id"), F.col(x).alias("x"), F.col(y).alias("y")), rings)
+    out = out.select(F.col("node_id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    d = d.join(out, "_id")
+    return d.select(*(F.col("_x").alias(c) if c == x else F.col("_y").alias(c) if c == y else F.col(c) for c in rows.columns))
+
+
+def feasible_vector(stops: DataFrame, keys: tuple[str, ...], order: str, rings: DataFrame) -> DataFrame:
+    """Legs along routes, (keys, leg_idx, ax, ay, bx, by, dist_m, path), each the shortest way round the zones."""
+    return feasible_paths(legs(stops, keys, order).drop("dist_m"), rings)
 
 
 def zones_of(pdf_zones) -> Zones:

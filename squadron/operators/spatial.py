@@ -86,12 +86,26 @@ def disturbance_of(nodes: DataFrame, zones: DataFrame, row: str = "row_idx", val
     return d.select("node_id", F.coalesce(value, F.lit(0.0)).alias("disturbance_value"))
 
 
+def segment_cells(pairs: DataFrame, cell: float = CELL) -> DataFrame:
+    """A row for each grid cell that the segment (ax, ay) to (bx, by) may touch: column by column, the rows between the
+    places where it enters and leaves."""
+    lo, hi = F.least("ax", "bx"), F.greatest("ax", "bx")
+    d = pairs.withColumn("_i", F.explode(_cells(lo, hi, cell)))
+    rise = F.when(F.col("ax") == F.col("bx"), F.lit(0.0)).otherwise((F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    at = lambda x: F.col("ay") + (x - F.col("ax")) * rise
+    y0, y1 = at(F.greatest(lo, F.col("_i") * F.lit(cell))), at(F.least(hi, (F.col("_i") + 1) * F.lit(cell)))
+    flat = F.col("ax") == F.col("bx")
+    low = F.when(flat, F.least("ay", "by")).otherwise(F.least(y0, y1)) - 1e-9
+    high = F.when(flat, F.greatest("ay", "by")).otherwise(F.greatest(y0, y1)) + 1e-9
+    return d.withColumn("_j", F.explode(_cells(low, high, cell)))
+
+
 def visible_pairs(pairs: DataFrame, rings: DataFrame) -> DataFrame:
-    """Pairs (ax, ay, bx, by) that no ring blocks: a left anti join with an envelope test before the exact one."""
-    r = rings.select("ring", geo.envelope(F.col("ring")).alias("e"))
-    p, q = geo.point("ax", "ay"), geo.point("bx", "by")
-    near = (F.least("ax", "bx") < F.col("e.x1")) & (F.greatest("ax", "bx") > F.col("e.x0")) & (F.least("ay", "by") < F.col("e.y1")) & (F.greatest("ay", "by") > F.col("e.y0"))
-    return pairs.join(r, near & geo.blocks(p, q, F.col("ring")), "left_anti")
+    """Pairs (ax, ay, bx, by) that no ring blocks; rings and segments meet by grid cells."""
+    ends = ["ax", "ay", "bx", "by"]
+    d = segment_cells(pairs.select(*ends).distinct()).join(by_cell(rings.select("ring")), ["_i", "_j"])
+    blocked = d.where(geo.blocks(geo.point("ax", "ay"), geo.point("bx", "by"), F.col("ring"))).select(*ends).distinct()
+    return pairs.join(blocked, ends, "left_anti")
 
 
 def snapped(points: DataFrame, size: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from squadron.functions.geo import between, haversine
+from squadron.operators.paths import cleared, distance_matrix, feasible_paths
 
 
 def orient(route: Column, first) -> Column:
@@ -26,18 +27,26 @@ def swap(route: Column, i, j) -> Column:
     return F.concat(F.slice(route, F.lit(1), i - 1), F.reverse(F.slice(route, i, j - i + 1)), F.slice(route, j + 1, F.size(route)))
 
 
-def nearest_neighbour(centroids: DataFrame, fleet: DataFrame) -> DataFrame:
+def nearest_neighbour(centroids: DataFrame, fleet: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """Greedy tours of all runs at once: (run_id, seq, cluster_id, lon, lat), the depot as id 0 at both ends.
 
     A run's centroids become one array, folded by one expression: no loop on the driver, no recursion limit, one task
-    per run. Distances are rounded to micrometres before they are compared; ties go to the smaller id.
+    per run. Distances are rounded to micrometres before they are compared; ties go to the smaller id. With ``rings``
+    centroids inside a zone are moved out first, and distances are those of the ways round the zones.
     """
+    if rings is not None:
+        centroids = cleared(centroids.select("run_id", "cluster_id", "cx", "cy"), rings, ("run_id", "cluster_id"), "cx", "cy")
     c = centroids.groupBy("run_id").agg(F.collect_list(F.struct(F.col("cluster_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))).alias("left"))
     c = c.join(fleet.select("run_id", F.struct(F.lit(0).cast("bigint").alias("id"), F.col("depot_x").alias("x"), F.col("depot_y").alias("y")).alias("depot")), "run_id")
+    if rings is not None:
+        nodes = c.select("run_id", F.inline(F.concat("left", F.array("depot")))).select("run_id", F.col("id").alias("node_id"), "x", "y")
+        m = distance_matrix(nodes, rings).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "dist_m"))).alias("far"))
+        c = c.join(m, "run_id")
+    way = between if rings is None else (lambda a, p: F.element_at("far", F.struct(a["id"].alias("i"), p["id"].alias("j"))))
 
     def step(acc: Column, _: Column) -> Column:
         at = F.element_at(acc["tour"], -1)
-        best = F.array_min(F.transform(acc["left"], lambda p: F.struct(F.round(between(at, p), 6).alias("d"), p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"))))
+        best = F.array_min(F.transform(acc["left"], lambda p: F.struct(F.round(way(at, p), 6).alias("d"), p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"))))
         pick = F.struct(best["id"].alias("id"), best["x"].alias("x"), best["y"].alias("y"))
         return F.struct(F.filter(acc["left"], lambda p: p["id"] != best["id"]).alias("left"), F.concat(acc["tour"], F.array(pick)).alias("tour"))
 
@@ -47,11 +56,16 @@ def nearest_neighbour(centroids: DataFrame, fleet: DataFrame) -> DataFrame:
     return d.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("p.id").alias("cluster_id"), F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
 
 
-def waypoints(sequence: DataFrame) -> DataFrame:
+def waypoints(sequence: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """(run_id, wp_idx, x, y, from_id, to_id): two per cluster, a third of the way to its neighbours; the depot at both ends.
 
-    With n clusters there are 2n + 2; the j-th cluster is entered at 2j and left at 2j + 1.
+    With n clusters there are 2n + 2; the j-th cluster is entered at 2j and left at 2j + 1. With ``rings`` waypoints, but
+    not the ends, are moved out of the zones.
     """
+    if rings is not None:
+        d = waypoints(sequence)
+        ends = F.col("from_id") == F.col("to_id")
+        return d.where(ends).unionByName(cleared(d.where(~ends), rings, ("run_id", "wp_idx")))
     w = W.partitionBy("run_id").orderBy("seq")
     lag, lead = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
     d = sequence.select("run_id", "seq", "cluster_id", "lon", "lat", lag("cluster_id").alias("b"), lag("lon").alias("bx"), lag("lat").alias("by"), lead("cluster_id").alias("a"), lead("lon").alias("ax"), lead("lat").alias("ay"))
@@ -95,13 +109,20 @@ def sortie_stops(sorties: DataFrame, ends: DataFrame, seq: DataFrame) -> DataFra
     return s.union(a).union(b).join(q, ["run_id", "cluster_id"])
 
 
-def rebuilt_ends(legs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Sortie legs whose first leg starts at a new entry and whose last ends at a new exit; the others stay as they are."""
+def rebuilt_ends(legs: DataFrame, ends: DataFrame, rings: DataFrame | None = None) -> DataFrame:
+    """Sortie legs whose first leg starts at a new entry and whose last ends at a new exit; the others stay as they are.
+
+    Only legs whose ends have changed are measured again, round the zones where ``rings`` are given.
+    """
     w = W.partitionBy("run_id", "cluster_id", "sortie_id")
     d = legs.withColumn("_last", F.max("leg_idx").over(w)).join(ends, ["run_id", "cluster_id"], "left")
     ax = F.when(F.col("leg_idx") == 1, F.coalesce("ex", "ax")).otherwise(F.col("ax"))
     ay = F.when(F.col("leg_idx") == 1, F.coalesce("ey", "ay")).otherwise(F.col("ay"))
     bx = F.when(F.col("leg_idx") == F.col("_last"), F.coalesce("lx", "bx")).otherwise(F.col("bx"))
     by = F.when(F.col("leg_idx") == F.col("_last"), F.coalesce("ly", "by")).otherwise(F.col("by"))
-    d = d.select("run_id", "cluster_id", "sortie_id", "leg_idx", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-    return d.withColumn("dist_m", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    same = (ax == F.col("ax")) & (ay == F.col("ay")) & (bx == F.col("bx")) & (by == F.col("by"))
+    d = d.select("run_id", "cluster_id", "sortie_id", "leg_idx", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), "dist_m", same.alias("_same"))
+    kept, changed = d.where("_same").drop("_same"), d.where("not _same").drop("_same", "dist_m")
+    if rings is not None:
+        return kept.unionByName(feasible_paths(changed, rings).drop("path"))
+    return kept.unionByName(changed.withColumn("dist_m", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron.functions import geo
+from squadron.functions.session import checkpointed
 from squadron.operators import clustering, metrics, paths, regions, search, spatial, tours
 from squadron.plans import layers, solve
 from squadron.schemas import Problem, Targets
@@ -73,9 +75,10 @@ class Inputs:
     def centroids(self):
         return metrics.centroids(self.targets).drop("nodes")
 
-    @property
+    @cached_property
     def seq(self):
-        return tours.nearest_neighbour(self.centroids, self.fleet)
+        """The tours, written once: waypoints, ends and sorties all read them."""
+        return checkpointed(tours.nearest_neighbour(self.centroids, self.fleet))
 
     @property
     def points(self):
@@ -154,8 +157,6 @@ query("g8_open_path", f", {_MATRIX}, {_TOUR} SELECT 0 AS run_id, round(sum(dist_
     lambda s, d: rounded(metrics.open_path_length(fx.sites(s, d).withColumn("run_id", F.lit(0)), site_matrix(s, d).drop("run_id", "path"), ("run_id",), "node_id"), 3, "dist_m")
 )
 query("g3_superdiagonal", f", {_MATRIX} SELECT i AS leg_idx, round(dist_m, 6) AS dist_m FROM m WHERE j = i + 1")(lambda s, d: rounded(metrics.superdiagonal(site_matrix(s, d)), 6, "dist_m"))
-query("e3_feasible_matrix", f", {_MATRIX} SELECT 0 AS run_id, i, j, round(dist_m, 6) AS dist_m FROM m")(lambda s, d: rounded(site_matrix(s, d).drop("path"), 6, "dist_m"))
-query("e4_feasible_vector", "SELECT run_id, leg_idx, round(dist_m, 6) AS dist_m FROM legs")(lambda s, d: rounded(Inputs(s, d).legs.select("run_id", "leg_idx", "dist_m"), 6, "dist_m"))
 query("l29_critical_parts", "SELECT run_id, cluster_seq, CASE WHEN d * w_t >= within_m * w_ms THEN 'tender' ELSE 'mothership' END AS critical, CASE WHEN d * w_t >= within_m * w_ms THEN sortie_id END AS sortie_id FROM (SELECT run_id, CAST(leg_idx // 2 AS INTEGER) AS cluster_seq, dist_m AS within_m FROM legs WHERE leg_idx % 2 = 0) JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, cluster_seq ORDER BY d DESC, sortie_id) AS r FROM per) USING (run_id, cluster_seq) JOIN fleet USING (run_id) WHERE r = 1")(
     lambda s, d: metrics.highlight_critical((x := Inputs(s, d)).legs, x.sortie_legs, x.fleet)
 )
@@ -163,13 +164,10 @@ query("l27_cost_text", "SELECT run_id, printf('%d hr, %.1f min', CAST(floor(hour
 query("l28_speeds", "SELECT run_id, round(1.0 / w_ms, 2) AS ms, round(1.0 / w_t, 2) AS tender FROM fleet")(lambda s, d: Inputs(s, d).fleet.select("run_id", layers.speed_text(F.col("w_ms")).alias("ms"), layers.speed_text(F.col("w_t")).alias("tender")))
 
 # --- tours ---
-query("i1_nearest_neighbour", "SELECT run_id, seq, cluster_id, lon, lat FROM seq")(lambda s, d: Inputs(s, d).seq)
-query("i9_waypoints", "SELECT run_id, wp_idx, round(x, 9) AS x, round(y, 9) AS y, from_id, to_id FROM wps")(lambda s, d: rounded(Inputs(s, d).points, 9, "x", "y"))
 query("i10_waypoints_from_here", "SELECT run_id, wp_idx, CASE WHEN wp_idx = 1 THEN 146.5::DOUBLE WHEN wp_idx = 2 THEN round((x * 3 - depot_x + 146.5::DOUBLE) / 3, 6) ELSE round(x, 6) END AS x, CASE WHEN wp_idx = 1 THEN -16.5::DOUBLE WHEN wp_idx = 2 THEN round((y * 3 - depot_y - 16.5::DOUBLE) / 3, 6) ELSE round(y, 6) END AS y, from_id, CASE WHEN wp_idx = 1 THEN (SELECT s.cluster_id FROM seq s WHERE s.run_id = wps.run_id AND s.seq = 2) ELSE to_id END AS to_id FROM wps JOIN fleet USING (run_id)")(
     lambda s, d: rounded(tours.waypoints_from((x := Inputs(s, d)).seq, x.fleet.select("run_id", F.lit(146.5).alias("x"), F.lit(-16.5).alias("y"))), 6, "x", "y")
 )
 query("e11_tender_ends", "SELECT run_id, cluster_id, round(ex, 9) AS ex, round(ey, 9) AS ey, round(lx, 9) AS lx, round(ly, 9) AS ly FROM ends")(lambda s, d: rounded(tours.tender_ends(Inputs(s, d).points), 9, "ex", "ey", "lx", "ly"))
-query("i19_sortie_routes", "SELECT run_id, cluster_seq, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(lambda s, d: rounded(Inputs(s, d).sortie_legs.select("run_id", "cluster_seq", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m"))
 _NATIONS = "r AS (SELECT n_regionkey AS region, list(n_nationkey ORDER BY n_nationkey) AS route FROM nation GROUP BY 1)"
 
 
@@ -200,9 +198,6 @@ query("c8_target_threshold", "SELECT ix, iy, CASE WHEN v >= -8 THEN v ELSE 0 END
 query("c9_exclusion_cells", "SELECT ix, iy, v FROM cells WHERE v >= -10")(lambda s, d: spatial.exclusion_cells(fx.raster(s, d), fx.DRAFT_MS))
 query("c11_points_in_exclusion", "SELECT node_id FROM targets WHERE EXISTS (SELECT 1 FROM obstacles WHERE x > x0 AND x < x1 AND y > y0 AND y < y1)")(lambda s, d: spatial.excluded(fx.targets(s, d), fx.obstacles(s, d)).select("node_id"))
 query("c12_containing_exclusion", "SELECT node_id, coalesce((SELECT min(poly_idx) FROM obstacles WHERE x > x0 AND x < x1 AND y > y0 AND y < y1), 0) AS poly_idx FROM targets")(lambda s, d: spatial.containing(fx.targets(s, d).select("node_id", "x", "y"), fx.obstacles(s, d)).select("node_id", "poly_idx"))
-query("c13_in_convex_hull", "SELECT node_id, coalesce((SELECT min(poly_idx) FROM obstacles WHERE x > x0 AND x < x1 AND y > y0 AND y < y1), 0) AS poly_idx FROM targets")(
-    lambda s, d: paths.hull_zone(fx.targets(s, d).select("node_id", "x", "y"), fx.obstacles(s, d)).select("node_id", "poly_idx")
-)
 #: A segment crosses an axis-aligned box's interior if it is inside on both axes for a common stretch.
 _SLAB = """SELECT node_id FROM sites WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, x - 146.175::DOUBLE AS dx, y + 16.84::DOUBLE AS dy FROM obstacles) WHERE
  least(1, CASE WHEN dx = 0 THEN CASE WHEN 146.175 > x0 AND 146.175 < x1 THEN 1 ELSE -1 END ELSE greatest((x0 - 146.175) / dx, (x1 - 146.175) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN -16.84 > y0 AND -16.84 < y1 THEN 1 ELSE -1 END ELSE greatest((y0 + 16.84) / dy, (y1 + 16.84) / dy) END)
@@ -216,7 +211,6 @@ def from_depot(s, d):
 
 query("c16_visible_from_depot", _SLAB)(lambda s, d: spatial.visible_pairs(from_depot(s, d), fx.obstacles(s, d)).select("node_id"))
 query("e1_disturbance_values", "SELECT node_id, coalesce((SELECT arg_min(hs_mean, row_idx) FROM boxes WHERE x > x0 AND x < x1 AND y > y0 AND y < y1), 0.0::DOUBLE) AS disturbance_value FROM targets")(lambda s, d: spatial.disturbance_of(fx.targets(s, d).select("node_id", "x", "y"), fx.boxes(s, d)))
-query("e5_distances_from_depot")(lambda s, d: rounded(paths.distances_from(fx.DEPOT, fx.sites(s, d), fx.obstacles(s, d)), 6, "dist_m"))
 query("d1_ring_centroids", "SELECT CAST(row_idx AS INTEGER) AS row_idx, round((x0 + x1) / 2, 9) AS x, round((y0 + y1) / 2, 9) AS y FROM boxes")(
     lambda s, d: fx.boxes(s, d).select("row_idx", geo.centroid(F.col("ring")).alias("c")).select("row_idx", F.round("c.x", 9).alias("x"), F.round("c.y", 9).alias("y"))
 )
@@ -239,23 +233,16 @@ query("d19_letter_ids", "SELECT s_suppkey + 1 AS n, CASE WHEN s_suppkey >= 702 T
 query("d22_cluster_table", "SELECT run_id, CAST(0 AS BIGINT) AS id, depot_x AS lon, depot_y AS lat FROM fleet UNION ALL SELECT run_id, cluster_id, cx, cy FROM cent")(lambda s, d: spatial.cluster_table((x := Inputs(s, d)).centroids, x.fleet))
 query("d23_sequence_table", "SELECT run_id, seq, cluster_id, lon, lat FROM seq")(lambda s, d: spatial.sequence_table((x := Inputs(s, d)).seq.where("cluster_id <> 0").select("run_id", "seq", "cluster_id"), x.centroids, x.fleet))
 query("d5_prepared_zones")(lambda s, d: regions.prepared(fx.boxes(s, d).select((F.col("row_idx") + 1).alias("poly_idx"), "ring"), 0.01, 1e-4, 1e-4))
-query("d6_simplified_zones", "SELECT poly_idx, round(100 * (x1 - x0) * (y1 - y0), 6) AS area FROM obstacles")(lambda s, d: regions.simplify_and_filter(fx.obstacles(s, d).select("poly_idx", "ring"), 1e-4, 1e-4).select("poly_idx", F.round(geo.area(F.col("ring")) * 100, 6).alias("area")))
 query("d14_adjusted_zones")(lambda s, d: regions.adjusted(fx.obstacles(s, d).select("poly_idx", "ring"), fx.sites(s, d)))
 query("f7_angles", "SELECT node_id, round(atan2(0.5::DOUBLE * (y + 16.84) + 0.25::DOUBLE * (x - 146.175), 0.5::DOUBLE * (x - 146.175) - 0.25::DOUBLE * (y + 16.84)), 9) AS angle FROM sites")(
     lambda s, d: fx.sites(s, d).select("node_id", F.round(geo.signed_angle(F.lit(0.5), F.lit(-0.25), F.col("x") - fx.DEPOT[0], F.col("y") - fx.DEPOT[1]), 9).alias("angle"))
 )
-query("f9_nearest_crossed")(lambda s, d: paths.crossed(from_depot(s, d), fx.obstacles(s, d)))
-query("f5_widest_points")(lambda s, d: paths.widest_points(from_depot(s, d), fx.obstacles(s, d)))
-query("f1_feasible_paths")(lambda s, d: paths.feasible_paths(from_depot(s, d).drop("pair_id"), fx.obstacles(s, d)))
-query("f3_visibility_edges")(lambda s, d: paths.visibility_edges(fx.obstacles(s, d)))
-query("f10_moved_out")(lambda s, d: paths.moved_out(fx.targets(s, d).select("node_id", "x", "y"), fx.obstacles(s, d)))
 
 # --- relabelling and clustering ---
 _MAP = "(SELECT run_id, cluster_id, cluster_id + 100 AS new_id FROM cent WHERE cluster_id % 2 = 0)"
 query("e7_relabelled", f"SELECT t.run_id, node_id, coalesce(new_id, t.cluster_id) AS cluster_id FROM targets t LEFT JOIN {_MAP} m ON t.run_id = m.run_id AND t.cluster_id = m.cluster_id")(
     lambda s, d: clustering.relabelled((x := Inputs(s, d)).targets.select("run_id", "node_id", "cluster_id"), x.centroids.where("cluster_id % 2 = 0").select("run_id", "cluster_id", (F.col("cluster_id") + 100).alias("new_id")))
 )
-query("e8_cluster_mapping", "SELECT run_id, cluster_id, cluster_id AS new_id FROM cent")(lambda s, d: clustering.cluster_mapping((x := Inputs(s, d)).targets, x.centroids))
 query("h3_capped_kmeans")(lambda s, d: clustering.capped_kmeans(fx.sites(s, d).withColumn("run_id", (F.col("node_id") % 5).cast("bigint")), 6, n_restarts=4))
 query("h1_cluster_problem")(lambda s, d: clustering.cluster_problem((p := Inputs(s, d).problem).targets.points, p.zones.where("zone_set = 'tender'"), fx.DEPOT, 6))
 
@@ -265,13 +252,6 @@ query("h2_disturbed_clusters")(lambda s, d: clustering.disturbed(t := fx.targets
 # --- sinks, summaries, layers ---
 query("b1_points", "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY cluster_id, node_id) AS id, cluster_id, x, y FROM targets")(lambda s, d: sinks.export_points(fx.targets(s, d)))
 query("b2_clusters", "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS order_id, cluster_id, lon, lat FROM seq WHERE cluster_id <> 0")(lambda s, d: sinks.export_clusters(Inputs(s, d).seq))
-query("b3_exclusions", "SELECT row_number() OVER (ORDER BY poly_idx) AS id, 'ms' AS zone_set, round(x0, 9) AS x0 FROM obstacles")(lambda s, d: sinks.export_exclusions(fx.obstacles(s, d).withColumn("zone_set", F.lit("ms"))).select("id", "zone_set", F.round(F.get("ring", F.lit(0))["x"], 9).alias("x0")))
-query("b5_mothership_routes", "SELECT run_id, CAST(leg_idx AS BIGINT) AS id, round(ax, 9) AS ax, round(by_, 9) AS by FROM legs")(
-    lambda s, d: sinks.export_routes(Inputs(s, d).legs.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))).select("run_id", F.col("id").cast("bigint").alias("id"), F.round(F.get("line", F.lit(0))["x"], 9).alias("ax"), F.round(F.get("line", F.lit(1))["y"], 9).alias("by"))
-)
-query("b7_tender_routes", "SELECT run_id, cluster_id, sortie_id, row_number() OVER (PARTITION BY run_id ORDER BY cluster_id, sortie_id) AS id, CAST(2 * count(*) AS INTEGER) AS n FROM slegs GROUP BY run_id, cluster_id, sortie_id")(
-    lambda s, d: sinks.export_tender_routes(Inputs(s, d).sortie_legs.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))).select("run_id", "cluster_id", "sortie_id", "id", F.size("line").alias("n"))
-)
 query("b9_cluster_summary", "SELECT run_id, cluster_id, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, count(*) AS n_nodes FROM targets GROUP BY ALL")(lambda s, d: sinks.cluster_summary(fx.targets(s, d)))
 query("b10_clusters_summary", "SELECT run_id, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_nodes FROM targets GROUP BY 1")(lambda s, d: sinks.clusters_summary(fx.targets(s, d)))
 query("b11_mothership_summary", "SELECT run_id, 2 * count(*) - 2 AS n_waypoints, string_agg(CAST(cluster_id AS VARCHAR), '-' ORDER BY seq) AS sequence FROM seq GROUP BY 1")(lambda s, d: sinks.mothership_summary(Inputs(s, d).seq))
@@ -309,24 +289,17 @@ query("c10_points_in_each_ring", "SELECT CAST(b.row_idx AS INTEGER) AS row_idx,
 query("c14_visible_past_each_ring", _SLAB.replace("SELECT node_id FROM sites WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, x - 146.175::DOUBLE AS dx, y + 16.84::DOUBLE AS dy FROM obstacles) WHERE", "SELECT node_id, poly_idx FROM (SELECT *, x - 146.175::DOUBLE AS dx, y + 16.84::DOUBLE AS dy FROM obstacles, sites) WHERE NOT ("))(
     lambda s, d: from_depot(s, d).crossJoin(fx.obstacles(s, d).select("poly_idx", "ring")).where(geo.is_visible(geo.point("ax", "ay"), geo.point("bx", "by"), F.col("ring"))).select("node_id", "poly_idx")
 )
-query("d7_exploded_rings", "SELECT CAST(row_idx AS INTEGER) AS poly_idx FROM boxes UNION ALL SELECT CAST(24 + row_number() OVER (ORDER BY row_idx) AS INTEGER) FROM boxes")(lambda s, d: regions.exploded(fx.boxes(s, d).select(F.col("row_idx").alias("poly_idx"), F.array("ring", "ring").alias("rings"))).select("poly_idx"))
-query("d8_closed_rings", "SELECT poly_idx, 5 AS n FROM obstacles")(lambda s, d: fx.obstacles(s, d).select("poly_idx", F.size(geo.close_ring(F.slice("ring", 1, 4))).alias("n")))
-query("d18_path_parts", "SELECT poly_idx, 3 AS n_from, 3 AS n_to FROM obstacles")(lambda s, d: fx.obstacles(s, d).select("poly_idx", F.size(geo.suffix_from(F.col("ring"), F.get("ring", F.lit(2)))).alias("n_from"), F.size(geo.prefix_to(F.col("ring"), F.get("ring", F.lit(2)))).alias("n_to")))
 query("e2_disturbance_table", "SELECT node_id, coalesce((SELECT arg_min(hs_mean, row_idx) FROM boxes WHERE x > x0 AND x < x1 AND y > y0 AND y < y1), 0.0::DOUBLE) AS disturbance_value FROM sites")(lambda s, d: spatial.disturbance_of(fx.sites(s, d), fx.boxes(s, d)))
 query("e6_relabelled_cells", "SELECT ix, iy, CASE WHEN v >= -5 THEN 100 + CAST(-v AS BIGINT) ELSE CAST(-v AS BIGINT) END AS cluster_id FROM cells")(
     lambda s, d: clustering.relabelled(fx.raster(s, d).select(F.lit(0).cast("bigint").alias("run_id"), "ix", "iy", (-F.col("v")).cast("bigint").alias("cluster_id")), s.range(0, 6).select(F.lit(0).cast("bigint").alias("run_id"), F.col("id").alias("cluster_id"), (F.col("id") + 100).alias("new_id"))).drop("run_id")
 )
 query("e9_assignment")(lambda s, d: clustering.hungarian(fx.sites(s, d).select(F.lit(0).cast("bigint").alias("run_id"), F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(fx.boxes(s, d).select(F.col("row_idx").cast("bigint").alias("b"), "x0", "y0"), F.lit(True)).select("run_id", "a", "b", F.hypot(F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")).alias("cost"))))
-query("g5_sortie_tours", "SELECT run_id, round(sum(dist_m), 3) AS dist_m FROM slegs GROUP BY 1")(lambda s, d: rounded(metrics.route_length(Inputs(s, d).sortie_legs, "run_id"), 3, "dist_m"))
 query("g9_cluster_sortie_lengths", "SELECT run_id, cluster_seq, round(max(d), 3) AS longest_m, round(sum(d), 3) AS sorties_m FROM per GROUP BY ALL")(
     lambda s, d: rounded(metrics._slowest((x := Inputs(s, d)).legs, x.sortie_legs, ("run_id",)).select("run_id", "cluster_seq", "longest_m", "sorties_m"), 3, "longest_m", "sorties_m")
 )
 query("i3_two_opt_tour")(lambda s, d: search.two_opt_tour(Inputs(s, d).seq, fx.obstacles(s, d)))
 query("i5_two_opt_sorties")(lambda s, d: search.two_opt_sorties(Inputs(s, d).sorties.select("run_id", "cluster_id", "sortie_id", "stop_idx", "x", "y")))
 query("i8_tender_sorties")(lambda s, d: search.tender_sorties((x := Inputs(s, d)).targets, tours.tender_ends(x.points), fx.N_TENDERS, x.least_cap))
-query("i16_rebuilt_ends", "SELECT run_id, cluster_id, sortie_id, leg_idx, round(dist_m, 6) AS dist_m FROM slegs")(
-    lambda s, d: rounded(tours.rebuilt_ends((x := Inputs(s, d)).sortie_legs, tours.tender_ends(x.points)).select("run_id", "cluster_id", "sortie_id", "leg_idx", "dist_m"), 6, "dist_m")
-)
 query("k4_improve_solution")(lambda s, d: solve.improve_solution(solve.initial_solution((p := Inputs(s, d).problem)), p).select("run_id", "order", F.round("hours", 6).alias("hours")))
 query("b8_problem_summary")(lambda s, d: sinks.problem_summary((p := Inputs(s, d).problem).targets.points, p.zones, p.fleet))
 query("l7_exclusion_layer", "SELECT 0 AS run_id, 'exclusions' AS layer, CAST(poly_idx AS VARCHAR) AS series, CAST(k AS INTEGER) AS ord, round(CASE WHEN k IN (1, 2) THEN x1 ELSE x0 END, 9) AS x, round(CASE WHEN k IN (2, 3) THEN y1 ELSE y0 END, 9) AS y, 0 AS style FROM obstacles, (SELECT unnest([0, 1, 2, 3, 4]) AS k)")(
@@ -338,8 +311,6 @@ query("l10_route_layer", "SELECT run_id, 'route' AS layer, 'mothership' AS serie
 query("l14_tender_layer", "SELECT run_id, 'tenders' AS layer, cluster_id || '-' || sortie_id AS series, CAST(2 * leg_idx - 1 + k AS INTEGER) AS ord, round(CASE WHEN k = 0 THEN ax ELSE bx END, 9) AS x, round(CASE WHEN k = 0 THEN ay ELSE by_ END, 9) AS y, CAST((cluster_id + sortie_id) % 12 + 2 AS INTEGER) AS style FROM slegs, (SELECT unnest([0, 1]) AS k)")(
     lambda s, d: rounded(layers.tenders(Inputs(s, d).sortie_legs.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))), 9, "x", "y")
 )
-query("l20_compared_plans", "SELECT run_id, round(hours, 6) AS hours_a, round(hours, 6) AS hours_b, 0.0::DOUBLE AS gain FROM hours")(lambda s, d: layers.compared(m := makespan(s, d), m))
 query("l37_waypoint_layer", "SELECT run_id, 'waypoints' AS layer, 'waypoints' AS series, wp_idx AS ord, round(x, 9) AS x, round(y, 9) AS y, 1 AS style FROM wps")(lambda s, d: rounded(layers.waypoints(Inputs(s, d).points), 9, "x", "y"))
-query("l38_points_of_flat_list", "SELECT poly_idx, 4 AS n, round(x0, 9) AS x FROM obstacles")(
-    lambda s, d: fx.obstacles(s, d).select("poly_idx", geo.pairs_of(F.flatten(F.transform(F.slice("ring", 1, 4), lambda p: F.array(p["x"], p["y"])))).alias("p")).select("poly_idx", F.size("p").alias("n"), F.round(F.get("p", F.lit(0))["x"], 9).alias("x"))
-)
+
+from squadron.plans import zoned  # noqa: E402, F401  (registers the queries that keep out of zones)
