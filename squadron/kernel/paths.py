@@ -118,7 +118,9 @@ class Zones:
         while k >= 0:
             points.append(tuple(map(float, self.points[k])))
             k = int(came[k])
-        return end, [a, *points[::-1]]
+        # An end that is itself a vertex stands once.
+        inner = [p for p in points[:0:-1] if p not in (a, b)]
+        return end, [a, *inner, b]
 
     def matrix(self, points) -> np.ndarray:
         n = len(points)

@@ -65,7 +65,7 @@ out{n} AS (SELECT id, v, {metres("ax", "ay", "x", "y")} AS d FROM rest{n}, verts
 back{n} AS (SELECT id, v, {metres("bx", "by_", "x", "y")} AS d FROM rest{n}, verts WHERE {sees("bx", "by_", "x", "y")}),
 via{n} AS (SELECT o.id, min(o.d + w + i.d) AS dist_m, arg_min(p, o.d + w + i.d) AS p FROM out{n} o JOIN w16 ON w16.s = o.v JOIN back{n} i ON i.id = o.id AND i.v = w16.t GROUP BY o.id),
 way{n} AS (SELECT id, CASE WHEN ax = bx AND ay = by_ THEN 0.0::DOUBLE ELSE dist_m END AS dist_m, CASE WHEN ax = bx AND ay = by_ THEN path[1:1] ELSE path END AS path FROM direct{n} JOIN pr{n} USING (id)
- UNION ALL SELECT id, dist_m, list_concat(list_concat([{text("ax", "ay")}], p), [{text("bx", "by_")}]) FROM via{n} JOIN rest{n} USING (id)
+ UNION ALL SELECT id, dist_m, list_concat(list_concat([{text("ax", "ay")}], list_filter(p, lambda v: v <> {text("ax", "ay")} AND v <> {text("bx", "by_")})), [{text("bx", "by_")}]) FROM via{n} JOIN rest{n} USING (id)
  UNION ALL SELECT id, 'Infinity'::DOUBLE, [] FROM bad{n})"""
 
 
