@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from squadron.functions.session import shared_folder
+
 #: ASCII white space, as every contract of this subpackage has it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,12 +21,14 @@ BATCH_ROWS = "2000"
 
 
 class Scratch:
-    """Tables in the shared folder of ``spark.checkpoint.dir``; they cut lineage and outlive executors."""
+    """Tables in the shared folder of ``spark.checkpoint.dir``; they cut lineage and outlive executors.
+
+    Where that is unset only a local session gets a temporary folder. Arrow batches of the session are set to
+    ``BATCH_ROWS``, since results are read after the operators have returned.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="squadron-")
+        base = shared_folder(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -65,3 +65,24 @@ def test_tokens_of_the_mix(stages):
     assert len(after) == len(before) and sorted(after.doc_id) == sorted(before.doc_id)
     after = after.sort_values("start")
     assert (after.start.to_numpy()[1:] == (after.start + after.n_tokens).to_numpy()[:-1]).all()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing names and no rows at all."""
+    from pyspark.sql import functions as F
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, "x y z v w u", None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, None, None, "t", None), (4, " ".join(f"word{k}" for k in range(900)), "en", None, 3)]
+    for docs, alive in ((spark.createDataFrame(rows, kind), True), (spark.createDataFrame([], kind), False)):
+        docs = docs.withColumns({"toxic": F.lit(1), "size": F.lit(2), "kept": F.lit(True)})
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{alive}")
+            stage(spark, docs, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name == "token_output":
+                assert out.count() == docs.count()
+            else:
+                assert out.columns == docs.columns and (out.count() > 0) == alive
+                if name != "source_mixing" and alive:
+                    assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, None}
+            docs = out
