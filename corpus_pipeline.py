@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage calls one operator of squadron.llm on all that the stage before it kept.
 
 All stages but the last return the columns of ``documents``. Near duplicates take five-word shingles and a similarity of
-0.8. Nothing in it can be put in SQL as a whole (nearest examples, a tokenizer), so ORACLE_SQL is None; tests hold each
+0.8. Stages drop rows by their doc_id, so rows without one stay, rows that repeat one go together, and other columns are
+never looked at; empty tables give empty tables. Null and empty texts are clean, have no near duplicates, hold no item,
+take no words of the mix and so end before the token files. Nothing in it can be put in SQL as a whole (nearest examples, a tokenizer), so ORACLE_SQL is None; tests hold each
 stage against a plain version.
 """
 
