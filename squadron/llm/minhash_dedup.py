@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadron.llm.common import Scratch, components, documents, keep_ids, shuffle_partitions
+from squadron.llm.common import MAX_BROADCAST_IDS, Scratch, components, documents, keep_ids, shuffle_partitions
 from squadron.llm.textkit import Words, distinct, drop_kept, mix, pieces, shingles
 
 #: Signatures have CHUNKS chunks of WIDTH values of 16 bits. One value of a chunk may differ, so by the pigeonhole rule
@@ -97,17 +97,31 @@ def near_pairs(batches):
         yield b.select(["a", "b"])
 
 
+def salted(pairs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b, ...) with a salt, and rows (a, salt): every ``a`` once for each of its salts.
+
+    An ``a`` of very many pairs is dealt to groups of some ``SALT_ROWS``. Only such leaders are joined to the pairs, by
+    broadcast where a count shows that they are few, so no join has a hot key.
+    """
+    counts = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), f"{name}-salts")
+    hot = counts.where("salts > 1")
+    few = hot.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    dealt = pairs.join(F.broadcast(hot) if few else hot, "a", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0))
+    each = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.withColumn("salt", salt).drop("salts"), each
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Texts of ``b`` go to their ``a`` in salted groups of some thousand rows; a task has one text of ``a`` at a time and
-    streams the others against it, so a leader of very many rows is spread over many tasks.
+    ``a`` is the leader and may have any number of pairs; a ``b`` has few. Texts of ``b`` go to their ``a`` in salted
+    groups; a task has one text of ``a`` at a time and streams the others against it, so a leader of very many rows is
+    spread over many tasks.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    many = scratch.save(many, f"{name}-salts")
-    other = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    other, leads = salted(pairs, scratch, name)
     other = other.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-    lead = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    lead = leads.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rows = lead.union(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def each(batches):
@@ -234,8 +248,10 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     rows = scratch.save(keys.join(sizes, "key").select("key", "doc_id", "cnt"), "buckets")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that the length filter, the signatures and then the full sets confirm."""
-        p = pairs.join(signed.selectExpr("doc_id as a", "sig as sig_a", "n_shingles as n_a"), "a").join(signed.selectExpr("doc_id as b", "sig as sig_b", "n_shingles as n_b"), "b")
+        """Pairs (leader a, b) that the length filter, the signatures and then the full sets confirm."""
+        p, leads = salted(pairs, scratch, f"{name}-sig")
+        leads = leads.join(signed.selectExpr("doc_id as a", "sig as sig_a", "n_shingles as n_a"), "a")
+        p = p.join(signed.selectExpr("doc_id as b", "sig as sig_b", "n_shingles as n_b"), "b").join(leads, ["a", "salt"])
         p = p.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
         p = scratch.save(p.mapInArrow(near_pairs, "a long, b long"), f"{name}-near")
         ids = scratch.save(p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
@@ -250,7 +266,6 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
             w = rows.join(weight, "doc_id").select("key", "doc_id", F.struct("weight", (-F.col("doc_id")).alias("neg")).alias("rank"))
             lead = w.groupBy("key").agg(F.max("rank").alias("lead"))
             pairs = w.join(lead, "key").where("doc_id <> -lead.neg").groupBy("doc_id").agg((-F.max("lead")["neg"]).alias("lead"))
-            pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
         else:
             open_ = rows.join(roots, rows.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
             lead = F.min(F.struct(F.xxhash64(F.lit(step), "key", "doc_id").alias("h"), F.col("doc_id").alias("lead"), F.col("root").alias("lead_root"))).alias("l")
@@ -261,15 +276,17 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
             if step < ROUNDS:
                 some_leads = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(step), "lead").alias("h"), "lead"))), 1, LEADERS)
                 pairs = rows.where("root <> lead_root").groupBy("doc_id").agg(some_leads.alias("l")).select("doc_id", F.explode("l.lead").alias("lead"))
-                pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
             else:
                 links = links.union(scratch.save(component_links(rows.select("key", "doc_id", "root"), texts, size, percent, scratch), "last-links"))
                 roots = components(links, scratch_part(scratch, step))
                 break
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
             rows = rows.select("key", "doc_id")
-        pairs = scratch.save(pairs, f"pairs-{step}")
-        done = pairs if done is None else done.union(pairs)
+        # Two documents may lead each other; they are one pair, compared in one round.
+        pairs = pairs.groupBy(F.least("doc_id", "lead").alias("low"), F.greatest("doc_id", "lead").alias("high")).agg(F.min("lead").alias("a"))
+        pairs = pairs if done is None else pairs.join(done, ["low", "high"], "left_anti")
+        pairs = scratch.save(pairs.select("low", "high", "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), f"pairs-{step}")
+        met = pairs.select("low", "high")
+        done, pairs = met if done is None else done.union(met), pairs.select("a", "b")
         found = linked(pairs, f"round-{step}")
         links = found if links is None else links.union(found)
         roots = components(links, scratch_part(scratch, step))

@@ -164,11 +164,13 @@ def test_no_pair_at_the_threshold_is_missed(spark, scratch):
 
 
 def test_many_unlike_near_copies(spark, scratch, monkeypatch):
-    """Components left in one bucket are compared in blocks and visits; tasks of a few documents give the same links."""
+    """Components left in one bucket are compared in blocks and visits, leaders in salted groups; tasks of a few documents
+    give the same links."""
     import random
 
     monkeypatch.setattr(minhash_dedup, "HOST_BLOCK", 4)
     monkeypatch.setattr(minhash_dedup, "GUEST_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "SALT_ROWS", 2)
     monkeypatch.setattr(minhash_dedup, "ROUNDS", 1)
     rng = random.Random(4)
     base, rows = [f"b{k}" for k in range(60)], []
