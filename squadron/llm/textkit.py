@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +131,11 @@ def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return h[keep], np.searchsorted(row[keep], np.arange(len(first)))
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system; Arrow's pool and the C allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

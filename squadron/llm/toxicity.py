@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron.llm.common import Scratch, documents, keep_ids
-from squadron.llm.textkit import MARKS, Words, drop_kept, pieces
+from squadron.llm.textkit import MARKS, Words, drop_kept, give_back, pieces
 
 #: Bound of the sample of labelled rows, for each label.
 SAMPLE = 4000
@@ -297,6 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
     0 and 1 are left out; repeated documents are each scored; a null doc_id is not held out; other columns are ignored.
     """
     model, x, y = learn(docs, labels, scratch, sample)
+    give_back()
 
     def score(batches):
         chosen, index = model.value
