@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squadron.functions import geo
-from squadron.functions.session import checkpointed
+from squadron.functions.session import dealt
 from squadron.kernel.paths import Zones
 from squadron.operators.regions import as_array, hull_of
 from squadron.operators.metrics import legs
@@ -72,67 +73,72 @@ def hulls(rings: DataFrame) -> DataFrame:
     return rings.withColumn("ring", hull_of("ring"))
 
 
-def feasible_paths(pairs: DataFrame, rings: DataFrame) -> DataFrame:
-    """``pairs`` (ax, ay, bx, by, ...) with dist_m and path.
+def zone_rings(rings: DataFrame) -> list[np.ndarray]:
+    """All rings in the order of poly_idx, as arrays, of a checked size."""
+    flat = lambda axis: F.flatten(F.transform("zones", lambda r: F.transform(r, lambda p: p[axis]))).alias(axis)
+    z = zone_array(rings).select(F.transform("zones", lambda r: F.size(r)).alias("n"), flat("x"), flat("y")).toArrow()
+    n, x, y = (z[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("n", "x", "y"))
+    return np.split(np.column_stack([x, y]), np.cumsum(n)[:-1]) if len(n) else []
 
-    Distance is that along the shortest way round all zones on their visibility graph; Infinity and no path where an end
-    lies inside a zone. Zones come to each task once; its visibility graph is made once and serves all its pairs.
-    """
-    # Envelopes are made once, on the one row; a ring is looked at only where the segment's own envelope meets its.
-    zones = zone_array(rings).select("zones", F.transform("zones", lambda r: F.struct(geo.envelope(r).alias("e"), r.alias("ring"))).alias("boxed"))
-    plain = F.struct(geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"))
-    low, high = F.struct(F.least("ax", "bx").alias("x"), F.least("ay", "by").alias("y")), F.struct(F.greatest("ax", "bx").alias("x"), F.greatest("ay", "by").alias("y"))
-    d = pairs.withColumn("low", low).withColumn("high", high).crossJoin(F.broadcast(checkpointed(zones)))
-    p, q = geo.point("ax", "ay"), geo.point("bx", "by")
 
-    def near(z: Column) -> Column:
-        e = z["e"]
-        return (F.col("low.x") < e["x1"]) & (F.col("high.x") > e["x0"]) & (F.col("low.y") < e["y1"]) & (F.col("high.y") > e["y0"])
+def feasible_paths(pairs: DataFrame, rings: DataFrame, path: bool = True, deal: bool = True) -> DataFrame:
+    """``pairs`` (ax, ay, bx, by, ...) with dist_m and, unless left out, path.
 
-    hit = F.filter("boxed", near)
-    free = ~F.exists(hit, lambda z: geo.blocks(p, q, z["ring"]) | geo.contains(z["ring"], F.col("ax"), F.col("ay")) | geo.contains(z["ring"], F.col("bx"), F.col("by")))
-    same = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
-    d = d.withColumn("free", free).withColumn("plain", plain)
-    direct = d.where("free").select(*pairs.columns, F.when(same, F.lit(0.0)).otherwise(F.col("plain.d")).alias("dist_m"), F.when(same, F.array(p)).otherwise(F.array(p, q)).alias("path"))
-    rest = d.where("not free").select(*pairs.columns, "zones")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", " + PATH
+    Distance is that along the shortest way round all zones on their visibility graph; Infinity and no path where an end
+    lies inside a zone. Zones come to each process once; a visibility graph serves all pairs of a task, which are looked at
+    in whole arrays. Pairs are dealt to all tasks, unless they are already; those without an end's place are left out.
+    """
+    zones = pairs.sparkSession.sparkContext.broadcast(zone_rings(rings))
+    ends = ["ax", "ay", "bx", "by"]
+    rows = dealt(pairs, *ends) if deal else pairs
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
     def each(batches):
         known: Zones | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if known is None:
-                known = Zones([as_array(r) for r in pdf.zones.iloc[0]])
-            ends = zip(pdf.ax.tolist(), pdf.ay.tolist(), pdf.bx.tolist(), pdf.by.tolist(), strict=True)
-            found = [(0.0, [(a, b)]) if (a, b) == (c, e) else known.around((a, b), (c, e)) for a, b, c, e in ends]
-            out = pdf.drop(columns="zones")
-            out["dist_m"] = [f[0] for f in found]
-            out["path"] = [[{"x": x, "y": y} for x, y in f[1]] for f in found]
-            yield out
+        for b in batches:
+            known = known or Zones(zones.value)
+            at = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ends])
+            found = known.ways(at[:, :2], at[:, 2:])
+            made = [*b.columns, pa.array([f[0] for f in found], pa.float64())]
+            if path:
+                flat = np.array([p for f in found for p in f[1]], float).reshape(-1, 2)
+                points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(kind.value_type))
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[1]) for f in found)]), pa.int32()), points))
+            yield pa.RecordBatch.from_arrays(made, [*b.schema.names, *(["dist_m", "path"] if path else ["dist_m"])])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", " + (PATH if path else PATH.split(",")[0])
+    return rows.dropna(subset=ends).mapInArrow(each, shape)
+
 
-    return direct.unionByName(rest.mapInPandas(each, shape))
+#: Parts of a group of nodes, in each of which some nodes meet all of the group.
+PARTS = 64
 
 
 def all_pairs(nodes: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Pairs i < j within a group, by an equi join on the group's keys."""
-    a = nodes.select(*keys, F.col("node_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = nodes.select(*keys, F.col("node_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, list(keys)).where("i < j")
+    """Pairs i < j within a group, by an equi join on the group's keys and on one of its parts, so that several tasks
+    share a group."""
+    a = nodes.select(*keys, F.col("node_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).cast("int").alias("_part"))
+    b = nodes.select(*keys, F.col("node_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    return dealt(a, *keys, "_part").join(b, [*keys, "_part"]).where("i < j").drop("_part")
 
 
-def distance_matrix(nodes: DataFrame, rings: DataFrame | None = None, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Symmetric long matrix (keys, i, j, dist_m, path); paths stand on rows with i < j only."""
+def distance_matrix(nodes: DataFrame, rings: DataFrame | None = None, keys: tuple[str, ...] = ("run_id",), path: bool = True) -> DataFrame:
+    """Symmetric long matrix (keys, i, j, dist_m, path); paths, unless left out, stand on rows with i < j only."""
     p = all_pairs(nodes, keys)
-    d = feasible_paths(p, rings) if rings is not None else p.withColumn("dist_m", geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by")))
-    d = d.select(*keys, "i", "j", "dist_m", "path")
-    return d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "dist_m", F.lit(None).cast("array<struct<x: double, y: double>>").alias("path")))
+    if rings is not None:
+        d = feasible_paths(p, rings, path, deal=False)
+    else:
+        d = p.withColumn("dist_m", geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+        d = d.withColumn("path", F.array(geo.point("ax", "ay"), geo.point("bx", "by"))) if path else d
+    # Both directions come of one row, so that no way is sought twice.
+    row = lambda i, j, way: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "dist_m", *([way.alias("path")] if path else []))
+    return d.select(*keys, F.inline(F.array(row("i", "j", F.col("path")), row("j", "i", F.lit(None).cast("array<struct<x: double, y: double>>")))))
 
 
 def distances_from(origin: tuple[float, float], nodes: DataFrame, rings: DataFrame) -> DataFrame:
     """(node_id, dist_m) from one point to all nodes; Infinity where a node, or the origin, lies inside a zone."""
     p = nodes.select("node_id", F.lit(origin[0]).alias("ax"), F.lit(origin[1]).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return feasible_paths(p, rings).select("node_id", "dist_m")
+    return feasible_paths(p, rings, path=False).select("node_id", "dist_m")
 
 
 def visibility_edges(rings: DataFrame) -> DataFrame:
