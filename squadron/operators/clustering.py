@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from squadron.functions.session import dealt
 from squadron.kernel import cluster as k
 from squadron.operators.metrics import centroids
 from squadron.operators.paths import feasible_paths
@@ -32,7 +33,7 @@ def capped_kmeans(points: DataFrame, cap: int | str, seed: int = 0, k_spec: int
         _, label = np.unique(label, return_inverse=True)
         return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "restart": [pdf.restart.iloc[0]], "score": [round(k.score(x, label), 6)], "label": [[{"node_id": int(n), "cluster_id": int(c) + 1} for n, c in zip(pdf.node_id, label, strict=True)]]})
 
-    made = rows.groupBy("run_id", "restart").applyInPandas(once, "run_id bigint, restart int, score double, label array<struct<node_id: bigint, cluster_id: bigint>>")
+    made = dealt(rows, "run_id", "restart", per_core=8).groupBy("run_id", "restart").applyInPandas(once, "run_id bigint, restart int, score double, label array<struct<node_id: bigint, cluster_id: bigint>>")
     best = made.groupBy("run_id").agg(F.min_by("label", F.struct("score", "restart")).alias("label"))
     return best.select("run_id", F.inline("label"))
 
@@ -50,7 +51,7 @@ def cluster_problem(targets: DataFrame, rings: DataFrame, depot: tuple[float, fl
     Nodes that cannot be reached round the boats' zones are left out.
     """
     pairs = targets.select("run_id", "node_id", F.lit(depot[0]).alias("ax"), F.lit(depot[1]).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = feasible_paths(pairs, rings).where(F.col("dist_m") < float("inf"))
+    d = feasible_paths(pairs, rings, path=False).where(F.col("dist_m") < float("inf"))
     return cluster_reached(d.select("run_id", "node_id", F.col("bx").alias("x"), F.col("by").alias("y"), "dist_m"), cap, k_spec, dist_weighting, **options)
 
 
@@ -68,13 +69,10 @@ def hungarian(costs: DataFrame) -> DataFrame:
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="a", columns="b", values="cost").sort_index().sort_index(axis=1)
-        new = int(m.columns.max())
-        out = []
-        for row, col in zip(m.index, k.hungarian(m.to_numpy(float)), strict=True):
-            if col < 0:
-                new += 1
-            out.append((int(pdf.run_id.iloc[0]), int(row), int(m.columns[col]) if col >= 0 else new))
-        return pd.DataFrame(out, columns=["run_id", "a", "b"])
+        col = np.array(k.hungarian(m.to_numpy(float)), np.int64)
+        old = m.columns.to_numpy(np.int64)
+        b = np.where(col >= 0, old[col], old.max() + np.cumsum(col < 0))
+        return pd.DataFrame({"run_id": int(pdf.run_id.iloc[0]), "a": m.index.to_numpy(np.int64), "b": b})
 
     return costs.groupBy("run_id").applyInPandas(assign, "run_id bigint, a bigint, b bigint")
 

@@ -38,3 +38,23 @@ def test_the_matrix_of_one_group_is_shared_by_tasks(spark):
     m = paths.distance_matrix(fx.sites(spark, "/root/testdata/sf0.01").withColumn("run_id", F.lit(0)), fx.obstacles(spark, SF))
     assert tasks(m) > 1
     assert m.count() == 100 * 99 == m.select("i", "j").distinct().count()
+
+
+def test_ways_of_few_pairs_are_shared_by_tasks(spark):
+    from squadron.plans.queries import Inputs
+    from squadron.plans.zoned import rings_of
+
+    legs = Inputs(spark, SF).sortie_legs.drop("dist_m", "cluster_seq")
+    out = paths.feasible_paths(legs, rings_of(spark, SF), path=False)
+    assert tasks(out) > 1 and out.count() == legs.count() and "path" not in out.columns
+
+
+def test_assignment_of_many_rows_to_few_columns():
+    from squadron.kernel import cluster
+
+    rng = np.random.default_rng(2)
+    cost = rng.random((20_000, 2))
+    got = cluster.hungarian(cost)
+    best = [np.argsort(cost[:, b])[:2] for b in range(2)]
+    least = min(cost[i, 0] + cost[j, 1] for i in best[0] for j in best[1] if i != j)
+    assert sorted(b for b in got if b >= 0) == [0, 1] and np.isclose(cost[got.index(0), 0] + cost[got.index(1), 1], least)
