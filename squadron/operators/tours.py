@@ -40,7 +40,7 @@ def nearest_neighbour(centroids: DataFrame, fleet: DataFrame, rings: DataFrame |
     c = c.join(fleet.select("run_id", F.struct(F.lit(0).cast("bigint").alias("id"), F.col("depot_x").alias("x"), F.col("depot_y").alias("y")).alias("depot")), "run_id")
     if rings is not None:
         nodes = c.select("run_id", F.inline(F.concat("left", F.array("depot")))).select("run_id", F.col("id").alias("node_id"), "x", "y")
-        m = distance_matrix(nodes, rings).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "dist_m"))).alias("far"))
+        m = distance_matrix(nodes, rings, path=False).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "dist_m"))).alias("far"))
         c = c.join(m, "run_id")
     way = between if rings is None else (lambda a, p: F.element_at("far", F.struct(a["id"].alias("i"), p["id"].alias("j"))))
 
@@ -124,5 +124,5 @@ def rebuilt_ends(legs: DataFrame, ends: DataFrame, rings: DataFrame | None = Non
     d = d.select("run_id", "cluster_id", "sortie_id", "leg_idx", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), "dist_m", same.alias("_same"))
     kept, changed = d.where("_same").drop("_same"), d.where("not _same").drop("_same", "dist_m")
     if rings is not None:
-        return kept.unionByName(feasible_paths(changed, rings).drop("path"))
+        return kept.unionByName(feasible_paths(changed, rings, path=False))
     return kept.unionByName(changed.withColumn("dist_m", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))))

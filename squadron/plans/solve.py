@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squadron.functions.session import checkpointed
+from squadron.functions.session import checkpointed, dealt
 from squadron.kernel import solution as s
 from squadron.kernel.paths import Zones
 from squadron.operators.clustering import cluster_reached
@@ -96,7 +96,7 @@ def reached(problem: Problem) -> DataFrame:
         found = [(n, zones.path(depot, (n["x"], n["y"]))[0]) for n in r.nodes]
         return {"run_id": int(r.run_id), "cap": int(r.n_tenders) * int(r.t_cap), "nodes": [{"node_id": int(n["node_id"]), "x": float(n["x"]), "y": float(n["y"]), "dist_m": d} for n, d in found if d < float("inf")]}
 
-    made = t.join(fleets(problem), "run_id").mapInPandas(lambda b: rows_in(b, each), "run_id bigint, cap int, nodes array<struct<node_id: bigint, x: double, y: double, dist_m: double>>")
+    made = dealt(t.join(fleets(problem), "run_id"), "run_id").mapInPandas(lambda b: rows_in(b, each), "run_id bigint, cap int, nodes array<struct<node_id: bigint, x: double, y: double, dist_m: double>>")
     return made.select("run_id", "cap", F.inline("nodes"))
 
 
@@ -109,6 +109,7 @@ def clustered(problem: Problem, k: int, seed: int, restarts: int, iterations: in
 def initial_solution(problem: Problem, k: int = 1, seed: int = 0, restarts: int = 20, iterations: int = 1000, clusters: DataFrame | None = None) -> DataFrame:
     """One plan for each run: clusters, mothership tour (nearest neighbour, 2-opt), waypoints, sorties."""
     rows = (clusters if clusters is not None else clustered(problem, k, seed, restarts, iterations)).join(fleets(problem), "run_id")
+    rows = dealt(rows, "run_id")
 
     def each(r):
         fleet = fleet_of(r)
@@ -130,7 +131,8 @@ def improve_solution(plans: DataFrame, problem: Problem, low: int = 1, high: int
 
     A chain's generator is seeded by (seed, run, chain). An empty range gives the plan back.
     """
-    many = plans.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).join(fleets(problem), "run_id").repartition("run_id", "chain")
+    many = plans.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    many = dealt(many.join(fleets(problem), "run_id"), "run_id", "chain", per_core=8)
 
     def each(r):
         fleet, plan = fleet_of(r), plan_of(r)
@@ -143,7 +145,8 @@ def improve_solution(plans: DataFrame, problem: Problem, low: int = 1, high: int
 
 def optimise_waypoints(plans: DataFrame, problem: Problem, low: int = 1, chains: int = 2, seed: int = 0, particles: int = 5, generations: int = 20, reach: float = 0.05) -> DataFrame:
     """Particle swarms on the waypoints from place ``low``: ``chains`` swarms for each plan, the best kept."""
-    many = plans.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).join(fleets(problem), "run_id").repartition("run_id", "chain")
+    many = plans.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    many = dealt(many.join(fleets(problem), "run_id"), "run_id", "chain", per_core=8)
 
     def each(r):
         fleet, plan = fleet_of(r), plan_of(r)
@@ -156,7 +159,7 @@ def optimise_waypoints(plans: DataFrame, problem: Problem, low: int = 1, chains:
 def replan(plans: DataFrame, problem: Problem, d: int, event_idx: int, seed: int = 0) -> DataFrame:
     """The plans after an event at the d-th cluster, as version ``event_idx``."""
     values = problem.targets.disturbance
-    rows = plans.join(fleets(problem), "run_id")
+    rows = dealt(plans.join(fleets(problem), "run_id"), "run_id")
     if values is not None:
         v = values.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "disturbance_value"))).alias("values"))
         rows = rows.join(v, "run_id", "left")
