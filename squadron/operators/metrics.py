@@ -43,14 +43,14 @@ def closed_tour_length(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...
     return pairs.join(matrix, ["i", "j"]).groupBy(*keys).agg(F.sum("dist_m").alias("dist_m"))
 
 
-def sortie_tours(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...], order: str, node: str = "node_id", depot: int = 0) -> DataFrame:
-    """Length of each sortie as a tour from the depot's row of a long distance matrix (i, j, dist_m) and back."""
+def sortie_tours(stops: DataFrame, depots: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """Length of each sortie (x, y) as a tour from its run's depot (run_id, depot_x, depot_y) and back: of all pairs of
+    nodes only those that follow one another are measured."""
     w = W.partitionBy(*keys).orderBy(order)
-    at = F.lit(depot).cast("bigint")
-    d = stops.select(*keys, F.coalesce(F.lag(node).over(w), at).alias("before"), F.col(node).alias("here"), F.lead(node).over(w).alias("after"))
-    home = F.when(F.col("after").isNull(), F.struct(F.col("here").alias("i"), at.alias("j")))
-    hops = d.select(*keys, F.explode(F.array_compact(F.array(F.struct(F.col("before").alias("i"), F.col("here").alias("j")), home))).alias("h"))
-    return hops.select(*keys, "h.i", "h.j").join(matrix, ["i", "j"]).groupBy(*keys).agg(F.sum("dist_m").alias("dist_m"))
+    d = stops.join(F.broadcast(depots), "run_id").select(*keys, "x", "y", "depot_x", "depot_y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"), F.lead("x").over(w).alias("nx"))
+    out = haversine(F.coalesce("px", "depot_x"), F.coalesce("py", "depot_y"), F.col("x"), F.col("y"))
+    home = F.when(F.col("nx").isNull(), haversine(F.col("x"), F.col("y"), F.col("depot_x"), F.col("depot_y"))).otherwise(F.lit(0.0))
+    return d.groupBy(*keys).agg(F.sum(out + home).alias("dist_m"))
 
 
 def open_path_length(stops: DataFrame, matrix: DataFrame, keys: tuple[str, ...], order: str, node: str = "node_id") -> DataFrame:
