@@ -7,17 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from squadron.functions.session import dealt
 from squadron.kernel import tours as t
-from squadron.kernel.geometry import haversine
 from squadron.kernel.paths import Zones
 from squadron.operators.paths import zone_array
 from squadron.operators.regions import as_array
 
 
-def matrix(points: np.ndarray, zones) -> np.ndarray:
-    """Distances round the zones, or straight ones where there are none."""
+def path_order(points: np.ndarray, zones) -> list[int]:
+    """2-opt of an open path, or a closed one with its first point at both ends: on ways round the zones, or straight ones
+    where there are none."""
     rings = [as_array(r) for r in zones] if zones is not None else []
-    return Zones(rings).matrix([tuple(p) for p in points]) if rings else haversine(points[:, None], points[None])
+    return t.two_opt(list(range(len(points))), Zones(rings).matrix([tuple(p) for p in points])) if rings else t.two_opt_path(points)
 
 
 def with_zones(rows: DataFrame, rings: DataFrame | None) -> DataFrame:
@@ -32,7 +33,7 @@ def two_opt_tour(sequence: DataFrame, rings: DataFrame | None = None) -> DataFra
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq").reset_index(drop=True)
-        order = t.two_opt(list(range(len(pdf))), matrix(pdf[["lon", "lat"]].to_numpy(float), pdf.zones.iloc[0]))
+        order = path_order(pdf[["lon", "lat"]].to_numpy(float), pdf.zones.iloc[0])
         return pdf.iloc[order][["run_id", "cluster_id", "lon", "lat"]].assign(seq=range(1, len(pdf) + 1))[["run_id", "seq", "cluster_id", "lon", "lat"]]
 
     d = with_zones(sequence.select("run_id", "seq", "cluster_id", "lon", "lat"), rings)
@@ -48,11 +49,11 @@ def two_opt_sorties(stops: DataFrame, rings: DataFrame | None = None) -> DataFra
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stop_idx").reset_index(drop=True)
-        order = t.two_opt(list(range(len(pdf))), matrix(pdf[["x", "y"]].to_numpy(float), pdf.zones.iloc[0]))
+        order = path_order(pdf[["x", "y"]].to_numpy(float), pdf.zones.iloc[0])
         return pdf.iloc[order][[*keys, "x", "y"]].assign(stop_idx=pdf.stop_idx.to_numpy())[[*keys, "stop_idx", "x", "y"]]
 
     d = with_zones(stops.select(*keys, "stop_idx", "x", "y"), rings)
-    return d.groupBy(*keys).applyInPandas(each, "run_id bigint, cluster_id bigint, sortie_id int, stop_idx int, x double, y double")
+    return dealt(d, *keys).groupBy(*keys).applyInPandas(each, "run_id bigint, cluster_id bigint, sortie_id int, stop_idx int, x double, y double")
 
 
 def tender_sorties(nodes: DataFrame, ends: DataFrame, n_tenders: int, cap: int, rings: DataFrame | None = None) -> DataFrame:
@@ -66,9 +67,13 @@ def tender_sorties(nodes: DataFrame, ends: DataFrame, n_tenders: int, cap: int,
         pdf = pdf.sort_values("node_id").reset_index(drop=True)
         a = pdf.iloc[0]
         p = np.vstack([[a.ex, a.ey], pdf[["x", "y"]].to_numpy(float), [a.lx, a.ly]])
-        found = t.sorties(matrix(p, a.zones), 0, len(p) - 1, list(range(1, len(p) - 1)), n_tenders, cap)
+        rings = [as_array(r) for r in a.zones] if a.zones is not None else []
+        if rings:
+            found = t.sorties(Zones(rings).matrix([tuple(q) for q in p]), 0, len(p) - 1, list(range(1, len(p) - 1)), n_tenders, cap)
+        else:
+            found = t.sorties_on_points(p, n_tenders, cap)
         out = [(int(a.run_id), int(a.cluster_id), s, i, int(pdf.node_id[k - 1])) for s, stops in enumerate(found, 1) for i, k in enumerate(stops, 1)]
         return pd.DataFrame(out, columns=["run_id", "cluster_id", "sortie_id", "stop_idx", "node_id"])
 
     d = nodes.select("run_id", "cluster_id", "node_id", "x", "y").join(ends, ["run_id", "cluster_id"])
-    return with_zones(d, rings).groupBy("run_id", "cluster_id").applyInPandas(each, "run_id bigint, cluster_id bigint, sortie_id int, stop_idx int, node_id bigint")
+    return dealt(with_zones(d, rings), "run_id", "cluster_id").groupBy("run_id", "cluster_id").applyInPandas(each, "run_id bigint, cluster_id bigint, sortie_id int, stop_idx int, node_id bigint")

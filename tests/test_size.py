@@ -58,3 +58,43 @@ def test_assignment_of_many_rows_to_few_columns():
     best = [np.argsort(cost[:, b])[:2] for b in range(2)]
     least = min(cost[i, 0] + cost[j, 1] for i in best[0] for j in best[1] if i != j)
     assert sorted(b for b in got if b >= 0) == [0, 1] and np.isclose(cost[got.index(0), 0] + cost[got.index(1), 1], least)
+
+
+def test_sortie_tours_measure_only_their_own_ways(spark):
+    from squadron.operators import metrics
+
+    stops = spark.createDataFrame([(0, 1, 1, 146.2, -16.5), (0, 1, 2, 146.4, -16.1), (0, 2, 1, 146.9, -16.9)], "run_id bigint, sortie_id int, stop_idx int, x double, y double")
+    depots = spark.createDataFrame([(0, 146.0, -17.0)], "run_id bigint, depot_x double, depot_y double")
+    got = {r.sortie_id: r.dist_m for r in metrics.sortie_tours(stops, depots, ("run_id", "sortie_id"), "stop_idx").collect()}
+    way = lambda *p: float(geometry.haversine(np.array(p[:-1]), np.array(p[1:])).sum())
+    home, a, b, c = (146.0, -17.0), (146.2, -16.5), (146.4, -16.1), (146.9, -16.9)
+    assert np.isclose(got[1], way(home, a, b, home)) and np.isclose(got[2], way(home, c, home))
+
+
+def test_a_long_path_is_improved_without_a_matrix():
+    import tracemalloc
+
+    from squadron.kernel import tours
+
+    n = 2500
+    p = np.random.default_rng(3).random((n, 2)) + [146, -17]
+    tracemalloc.start()
+    order = np.array(tours.two_opt_path(p))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8 / 2 and sorted(order) == list(range(n)) and (order[0], order[-1]) == (0, n - 1)
+    q = p[order]
+    m = geometry.haversine(q[:, None], q[None])
+    legs = np.diag(m, 1)
+    gain = legs[:, None] + legs[None] - m[:-1, :-1] - m[1:, 1:]
+    np.fill_diagonal(gain, 0)
+    assert gain.max() < 1e-5
+
+
+def test_sorties_without_a_matrix_are_those_of_one():
+    from squadron.kernel import tours
+
+    p = np.random.default_rng(4).random((200, 2)) + [146, -17]
+    m = geometry.haversine(p[:, None], p[None])
+    for cap in (10, 66):
+        assert tours.sorties_on_points(p, 3, cap) == tours.sorties(m, 0, 199, list(range(1, 199)), 3, cap)
