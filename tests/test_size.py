@@ -98,3 +98,50 @@ def test_sorties_without_a_matrix_are_those_of_one():
     m = geometry.haversine(p[:, None], p[None])
     for cap in (10, 66):
         assert tours.sorties_on_points(p, 3, cap) == tours.sorties(m, 0, 199, list(range(1, 199)), 3, cap)
+
+
+def test_kmeans_takes_some_points_at_a_time():
+    import tracemalloc
+
+    from squadron.kernel import cluster
+
+    x = np.random.default_rng(5).random((3000, 3))
+    c = x[:900]
+    label, near = cluster.nearest(x, c)
+    d = ((x[:200, None] - c[None]) ** 2).sum(2)
+    assert label[:200].tolist() == d.argmin(1).tolist() and np.array_equal(near[:200], d.min(1))
+    tracemalloc.start()
+    assert len(np.unique(cluster.kmeans(x, 900, np.random.default_rng(0), max_iter=3))) == 900
+    assert tracemalloc.get_traced_memory()[1] < 3000 * 900 * 8
+    tracemalloc.stop()
+
+
+def test_kept_ways_are_bounded(monkeypatch):
+    from squadron.kernel import paths as k
+
+    monkeypatch.setattr(k, "KEPT_WAYS", 10)
+    z = Zones([SQUARE])
+    for i in range(40):
+        assert z.path((-1.0, 2.0), (5.0, float(i)))[0] >= float(geometry.haversine((-1.0, 2.0), (5.0, float(i)))) - 1e-9
+    assert len(z._paths) <= 11
+
+
+def test_waypoints_inside_zones_move_to_the_nearest_free_corner():
+    from squadron.kernel import solution as s
+
+    fleet = s.Fleet((-1.0, -1.0), 0.2, 0.075, 1, 1, z := Zones([SQUARE, L_SHAPE]), z)
+    assert s.adjusted([(1.0, 1.0), (5.0, 1.0), (4.0, 4.0)], fleet) == ((0.0, 0.0), (5.0, 1.0), (4.0, 4.0))
+
+
+def test_chains_are_shared_by_tasks(spark):
+    from squadron.functions.session import dealt
+
+    chains = spark.range(40).coalesce(1).select((F.col("id") % 10).alias("run_id"), F.floor(F.col("id") / 10).alias("chain"))
+    assert tasks(dealt(chains, "run_id", "chain", per_core=8)) > 8
+
+
+def test_letters_go_on_beyond_three(spark):
+    from squadron.functions import geo
+
+    got = spark.createDataFrame([(18278,), (18279,), (60000,)], "n long").select(geo.letter_id(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == ["ZZZ", "AAAA", "CJSR"]
