@@ -8,6 +8,7 @@ from squadron.llm import mixing, token_output
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
+LETTERS = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
 
 
 def plain(text, path=PATH, specials_as_text=False):
@@ -74,6 +75,31 @@ def test_store_is_bounded(monkeypatch):
         assert e.encode([t], 0)[0].tolist() == [*plain(t), 0] and len(e.store) <= 30
 
 
+def test_units_of_mixed_texts_encode_as_whole_texts():
+    """Marks, lines and digits end a unit; odd white space and characters beside them change no id, and the store stays small."""
+    import random
+
+    draw = random.Random(5)
+    some = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u180e", "a", "b", "s", "re", "'", "\u2019", "1", "23", ".", ",", "$$$", "é", "×", "ñ", "日", "\u2014", "\u0301", "½", "ж", "<|endoftext|>", "\x00", "the"]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randrange(14))) for _ in range(4000)]
+    got, off = token_output.Encoder(PATH).encode(texts, 0)
+    from tokenizers import Tokenizer
+
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [got[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*x, 0] for x in want]
+    e = token_output.Encoder(PATH)
+    e.encode(["It alpha, alpha. alpha\nBeta alpha$$$ alpha:\nAlpha alpha"], 0)
+    assert {" alpha", ",", "\n", "Alpha"} <= set(e.store) and not any("alpha" in u for u in set(e.store) - {" alpha"})
+
+
+def test_a_worker_keeps_few_units():
+    text = " ".join(f"{a}{b}{c}" for a in LETTERS for b in LETTERS for c in LETTERS)
+    e = token_output.Encoder(PATH)
+    got = e.encode([text], 0)[0]
+    assert len(got) == len(plain(text)) + 1 and got.tolist() == [*plain(text), 0]
+    assert 100_000 < len(e.store) <= 200_000 and len(e.size) == len(e.store)
+
+
 def test_files_round_trip(spark, docs, rows, scratch):
     got = sorted(token_output.token_output(docs, scratch, PATH).collect(), key=lambda r: r.start)
     want, at = [], 0
