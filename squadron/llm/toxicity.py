@@ -24,6 +24,8 @@ EVIDENCE = 5
 #: A list of more than the examples divided by so many is a long one; examples in a block.
 LONG, BLOCK = 12, 32
 MEMO = 20_000
+#: So many examples of the largest bounds set the threshold for the rest.
+FIRST = 192
 
 
 def crc(doc_id="doc_id"):
@@ -34,19 +36,41 @@ def held_out():
     return F.coalesce(crc() % 5 == 0, F.lit(False))
 
 
-def term_counts(values, terms: np.ndarray | None = None):
-    """For each piece: (first row, rows, distinct (row, term), times); a term is a word hash, or its place in ``terms``."""
+class Places:
+    """Gives the places of hashes in ``terms`` (ascending), -1 for others: first by the hashes' upper bits, then step by step."""
+
+    def __init__(self, terms: np.ndarray):
+        self.n, self.terms = len(terms), np.append(terms, np.uint64(0))
+        bits = max(1, min(22, self.n.bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(terms >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        head = (h >> self.shift).astype(np.int64)
+        out, at, end = np.full(len(h), -1, np.int64), self.begin[head], self.begin[head + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            own, want = self.terms[at[left]], h[left]
+            same = own == want
+            out[left[same]] = at[left[same]]
+            left = left[own < want]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def term_counts(values, places: Places | None = None):
+    """For each piece: (first row, rows, distinct (row, term), times); a term is a word hash, or its place, others left out."""
     drop_kept()
     for i, j, raw, off in pieces(values):
         w = Words(raw, off, MARKS, lower=True)
         row, h = w.row(), w.hash
-        if terms is not None:
-            if not len(terms):
-                row, h = row[:0], np.empty(0, np.int64)
-            else:
-                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                hit = terms[at] == h
-                row, h = row[hit], at[hit]
+        if places is not None:
+            at = places(h)
+            hit = np.flatnonzero(at >= 0)
+            both, n = np.unique(row[hit] * max(1, places.n) + at[hit], return_counts=True)
+            yield i, j - i, *np.divmod(both, max(1, places.n)), n
+            continue
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         new = np.ones(len(h), bool)
@@ -89,10 +113,10 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """In how many of all documents each term stands, and at the end the number of documents."""
 
     def each(batches):
-        n = np.zeros(len(terms) + 1, np.int64)
+        n, places = np.zeros(len(terms) + 1, np.int64), Places(terms)
         for b in batches:
             n[-1] += b.num_rows
-            for _, _, _, h, _ in term_counts(b.column("text"), terms):
+            for _, _, _, h, _ in term_counts(b.column("text"), places):
                 n[:-1] += np.bincount(h.astype(np.int64), minlength=len(terms))
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], ["term", "n"])
@@ -160,19 +184,26 @@ class Index:
             open_ += [some[half:], some[:half]]
         return rank
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the long lists by example, and their block maxima; made where they are first used."""
-        if not hasattr(self, "_rows"):
+    def tables(self) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Weights of the long lists by example in single precision, their block maxima, and the same weights in full as a
+        list for each example (begins, columns, weights); made where they are first used."""
+        if not hasattr(self, "_tops"):
             n, often = len(self.ids), int(self.long.max(initial=-1)) + 1
-            self._rows = np.zeros((-(-max(n, 1) // BLOCK) * BLOCK, often))
-            for t in np.flatnonzero(self.long >= 0).tolist():
-                at = slice(self.lists[t], self.lists[t + 1])
-                self._rows[self.examples[at], self.long[t]] = self.shares[at]
-            self._tops = np.ascontiguousarray(self._rows.reshape(-1, BLOCK, often).max(1).T) if often else np.zeros((0, len(self._rows) // BLOCK))
-        return self._rows, self._tops
+            term = np.repeat(np.arange(len(self.idf)), np.diff(self.lists))
+            at = np.flatnonzero(self.long[term] >= 0)
+            at = at[np.argsort(self.examples[at], kind="stable")]
+            row, column, share = self.examples[at], self.long[term[at]], self.shares[at]
+            blocks = -(-max(n, 1) // BLOCK)
+            tops = np.zeros((often, blocks))
+            np.maximum.at(tops, (column, row // BLOCK), share)
+            self._rows = np.zeros((blocks * BLOCK, often), np.float32)
+            self._rows[row, column] = share
+            self._full = np.append(0, np.cumsum(np.bincount(row, minlength=len(self._rows)))), column, share
+            self._tops = tops
+        return self._rows, self._tops, self._full
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_tops")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_tops", "_full")}
 
     def unit(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(tf)) * self.idf[t]
@@ -182,18 +213,22 @@ class Index:
     def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, places) of all examples with a cosine as large as the k-th largest, descending; exactly.
 
-        Postings of short lists are summed. The long lists are bounded by their block maxima; some examples of the
-        largest bounds set a threshold, and the exact sums are taken only where the bound reaches it.
+        Postings of short lists are summed. The long lists are bounded by their block maxima; the examples of the largest
+        bounds set a threshold, and sums in single precision, whose error is bounded, are taken only where the bound
+        reaches it. Sums in full are taken of those that these leave.
         """
-        rows, tops = self.tables()
+        rows, tops, (begins, column, share) = self.tables()
         n = len(self.ids)
         often = self.long[t]
         few = often < 0
         begin = self.lists[t[few]]
         size = self.lists[t[few] + 1] - begin
         end = np.cumsum(size)
-        at = np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
-        s = np.bincount(self.examples[at], weights=self.shares[at] * np.repeat(v[few], size), minlength=len(rows))
+        at = np.repeat(begin - (end - size), size)
+        at += np.arange(len(at))
+        part = np.repeat(v[few], size)
+        part *= self.shares.take(at)
+        s = np.bincount(self.examples.take(at), weights=part, minlength=len(rows))
         columns, x = often[~few], v[~few]
         full = (s.reshape(-1, BLOCK) + (x @ tops[columns])[:, None]).reshape(-1)
         full[n:] = -1.0
@@ -201,12 +236,22 @@ class Index:
             full[without] = -1.0
         q = np.zeros(tops.shape[0])
         q[columns] = x
-        first = np.argpartition(full, max(0, n - 4 * k))[-4 * k :] if n > 4 * k else np.arange(n)
-        own = s[first] + rows[first] @ q
-        own[full[first] < 0] = -1.0
-        least = max(1e-12, np.sort(own)[-k] - 1e-9 if len(own) >= k else 0.0)
+        single = q.astype(np.float32)
+        # Both vectors are of length 1 at most, so a sum of so many products is off by no more than this.
+        slack = (len(q) + 4) * 2.0**-23 + 1e-9
+        first = np.argpartition(full, n - FIRST)[-FIRST:] if n > FIRST else np.arange(n)
+        first = first[full[first] >= 0]
+        own = s[first] + rows.take(first, 0) @ single
+        least = max(1e-12, np.partition(own, len(own) - k)[len(own) - k] - slack if len(own) >= k else 0.0)
         some = np.flatnonzero(full >= least)
-        cosine = np.round(s[some] + rows[some] @ q, 12)
+        if len(some) > k:
+            near = s[some] + rows.take(some, 0) @ single
+            some = some[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * slack]
+        size = begins[some + 1] - begins[some]
+        end = np.cumsum(size)
+        at = np.repeat(begins[some] - (end - size), size)
+        at += np.arange(len(at))
+        cosine = np.round(s[some] + np.bincount(np.repeat(np.arange(len(some)), size), weights=share[at] * q[column[at]], minlength=len(some)), 12)
         if len(some) > k:
             keep = cosine >= np.partition(cosine, len(some) - k)[len(some) - k]
             some, cosine = some[keep], cosine[keep]
@@ -253,8 +298,9 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int):
     idf = (np.log((count[-1] + 1) / (count[:-1] + 1)) + 0.1) * force
 
     def vectors(batches):
+        places = Places(chosen)
         for b in batches:
-            for i, m, row, h, tf in term_counts(b.column("text"), chosen):
+            for i, m, row, h, tf in term_counts(b.column("text"), places):
                 cut = pa.array(np.searchsorted(row, np.arange(m + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (h, tf)]
                 yield pa.record_batch([b.column("doc_id").slice(i, m), b.column("toxic").slice(i, m), *lists], ["doc_id", "toxic", "terms", "times"])
@@ -302,8 +348,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
     def score(batches):
         chosen, index = model.value
         memo: dict[bytes, tuple[float, list]] = {}
+        places = Places(chosen)
         for b in batches:
-            for i, m, row, h, tf in term_counts(b.column("text"), chosen):
+            for i, m, row, h, tf in term_counts(b.column("text"), places):
                 cut = np.searchsorted(row, np.arange(m + 1)).tolist()
                 scores, shown = [], []
                 for a, z in zip(cut[:-1], cut[1:], strict=True):

@@ -140,6 +140,28 @@ def test_language_kernel_folds_exactly():
     assert np.mean([classes[c] == g for c, g in zip(f.argmax(1), langs, strict=True)]) > 0.9
 
 
+def test_places_of_hashes():
+    rng = np.random.default_rng(3)
+    for terms in (np.empty(0, np.uint64), np.array([0, 1, 2, 3, 1 << 40, (1 << 64) - 1], np.uint64), np.unique(rng.integers(0, 1 << 64, 5000, np.uint64))):
+        h = np.concatenate([terms, terms + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64)])
+        at = toxicity.Places(terms)(h)
+        known = {int(x): k for k, x in enumerate(terms.tolist())}
+        assert at.tolist() == [known.get(int(x), -1) for x in h.tolist()]
+
+
+def test_few_sums_in_full(monkeypatch):
+    """Bounds and single sums leave few examples for exact cosines; of many near alike all ties are still found."""
+    rng = np.random.default_rng(4)
+    n, terms = 3000, 120
+    base = [(np.sort(rng.choice(terms, 40, replace=False)), rng.integers(1, 6, 40).astype(float)) for _ in range(60)]
+    vectors = [base[k % 60] for k in range(n)]
+    index = toxicity.Index(list(range(n)), rng.integers(0, 2, n).astype(float), vectors, rng.random(terms) + 0.5, np.ones(n))
+    rows, _, (begins, _, _) = index.tables()
+    assert rows.dtype == np.float32 and begins[-1] < rows.size / 2
+    cosine, near = index.nearest(*index.unit(*base[7]), 15)
+    assert len(near) == n // 60 and (cosine == 1).all() and {index.ids[k] % 60 for k in near.tolist()} == {7}
+
+
 @pytest.mark.parametrize(("n", "terms"), [(700, 30), (700, 900), (40, 30)])
 def test_nearest_examples_are_exact(n, terms):
     rng = np.random.default_rng(4)
