@@ -145,3 +145,49 @@ def test_letters_go_on_beyond_three(spark):
 
     got = spark.createDataFrame([(18278,), (18279,), (60000,)], "n long").select(geo.letter_id(F.col("n")).alias("s")).collect()
     assert [r.s for r in got] == ["ZZZ", "AAAA", "CJSR"]
+
+
+def test_zones_of_many_sizes_are_looked_at_together(monkeypatch):
+    """Points and segments against rings of 3 to 40 corners: as one by one, on corners and edges too, in one look a size."""
+    rng = np.random.default_rng(5)
+    rings = []
+    for n in (3, 4, 4, 5, 9, 40, 4, 17):
+        turn = np.sort(rng.random(n)) * 2 * np.pi
+        rings.append(rng.random(2) * 4 + np.column_stack([np.cos(turn), np.sin(turn)]) * (0.3 + rng.random((n, 1))))
+    rings += [np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float), np.array([(1, 0), (2, 0), (2, 1), (1, 1)], float)]
+    zones = Zones(rings)
+    on = np.vstack([r[:-1] for r in zones.rings] + [(r[:-1] + r[1:]) / 2 for r in zones.rings])
+    p = np.vstack([rng.random((300, 2)) * 6 - 1, on, rng.integers(0, 5, (100, 2)) / 2])
+    assert zones.covered(p).tolist() == [any(bool(geometry.inside(x, r)[0]) for r in zones.rings) for x in p]
+    q = p[rng.permutation(len(p))]
+    assert zones.sight(p, q).tolist() == [not any(geometry.blocked(a, b, r) for r in zones.rings) for a, b in zip(p, q, strict=True)]
+    from squadron.kernel import paths
+
+    calls = []
+    monkeypatch.setattr(paths, "blocked_pairs", lambda *a: calls.append(1) or geometry.blocked_pairs(*a))
+    zones.sight(p, q)
+    assert len(calls) == len(zones.groups) < len(rings)
+
+
+def test_ways_of_sorties_are_summed_once(monkeypatch):
+    zones = Zones([[(0.4, -1.0), (0.6, -1.0), (0.6, 1.0), (0.4, 1.0)]])
+    way = ((0.0, 0.0), (1.0, 0.0), (1.0, 0.5))
+    want = sum(d for d, _ in zones.legs(way))
+    assert zones.length(way) == want
+    monkeypatch.setattr(zones, "legs", None)
+    assert zones.length(way) == want
+
+
+def test_an_event_leaves_the_plan_before_it():
+    """After it, searches with kept lengths give the score that a fresh set of zones gives."""
+    from squadron.kernel import solution
+
+    rng = np.random.default_rng(6)
+    ring = [(0.45, 0.2), (0.55, 0.2), (0.55, 0.8), (0.45, 0.8)]
+    nodes = {c: {10 * c + k: (c / 4 + float(rng.random()) / 9, float(rng.random())) for k in range(5)} for c in range(4)}
+    fleet = lambda: solution.Fleet((0.0, 0.0), 5.0, 2.0, 3, 2, z := Zones([ring]), z)
+    f = fleet()
+    plan, _ = solution.anneal(solution.first_plan(f, nodes), f, np.random.default_rng(1), min_iters=60)
+    after, _ = solution.anneal(solution.after_event(plan, f, 2, {}, np.random.default_rng(2)), f, np.random.default_rng(3), low=2, min_iters=60)
+    assert after.order[0] == plan.order[0] and after.points[:3] == plan.points[:3]
+    assert solution.score(after, f) == solution.score(after, fleet())
