@@ -187,8 +187,8 @@ def sorties_on_points(points: np.ndarray, n_tenders: int, cap: int) -> list[list
 
 def waypoints(depot, centroids: list, end=None) -> list[tuple[float, float]]:
     """Depot, an entry and an exit for each centroid a third of the way to its neighbours, and the depot."""
-    chain = [np.asarray(p, float) for p in (depot, *centroids, depot if end is None else end)]
-    out = [tuple(map(float, depot))]
+    chain = [tuple(map(float, p)) for p in (depot, *centroids, depot if end is None else end)]
+    out = [chain[0]]
     for before, c, after in zip(chain[:-2], chain[1:-1], chain[2:], strict=True):
-        out += [tuple(map(float, (2 * c + before) / 3)), tuple(map(float, (2 * c + after) / 3))]
-    return [*out, tuple(map(float, chain[-1]))]
+        out += [tuple((2 * v + w) / 3 for v, w in zip(c, near, strict=True)) for near in (before, after)]
+    return [*out, chain[-1]]

@@ -191,3 +191,44 @@ def test_an_event_leaves_the_plan_before_it():
     after, _ = solution.anneal(solution.after_event(plan, f, 2, {}, np.random.default_rng(2)), f, np.random.default_rng(3), low=2, min_iters=60)
     assert after.order[0] == plan.order[0] and after.points[:3] == plan.points[:3]
     assert solution.score(after, f) == solution.score(after, fleet())
+
+
+def test_a_step_of_the_search_looks_at_its_ways_together(monkeypatch):
+    """One look for all that a step asks for, and scores with kept lengths as a plan without any gives them."""
+    from dataclasses import replace
+
+    from squadron.kernel import solution
+
+    rng = np.random.default_rng(7)
+    nodes = {c: {10 * c + k: (c / 6 + float(rng.random()) / 9, float(rng.random())) for k in range(6)} for c in range(6)}
+    zones = Zones([[(0.45, 0.2), (0.55, 0.2), (0.55, 0.8), (0.45, 0.8)], [(0.1, 0.4), (0.2, 0.4), (0.2, 0.6), (0.1, 0.6)]])
+    f = solution.Fleet((-0.1, 0.0), 5.0, 2.0, 3, 2, zones, zones)
+    now = solution.first_plan(f, nodes)
+    solution.score(now, f)
+    looks, ways = [], zones.ways
+    monkeypatch.setattr(zones, "ways", lambda *a: looks.append(len(a[0])) or ways(*a))
+    across = 0
+    for step in range(60):
+        looks.clear()
+        kept = dict(now.known)
+        new = solution.perturbed_across(now, f, 1, 6, rng) if step % 2 else solution.perturbed_within(now, f, 1 + step % 6, rng)
+        got = solution.score(new, f)
+        assert len(looks) <= 1 and all(now.known[c] is kept[c] for c in kept)
+        across += step % 2 and new is not now
+        assert got == solution.score(replace(new, known={}, means={}), f)
+        fresh = Zones(zones.rings)
+        assert np.allclose(got, solution.score(replace(new, known={}, means={}), solution.Fleet(f.depot, 5.0, 2.0, 3, 2, fresh, fresh)), rtol=1e-12)
+        now = new if step % 3 else now
+    assert across > 10
+
+
+def test_ways_of_both_directions_asked_for_together(monkeypatch):
+    zones = Zones([SQUARE])
+    a, b = (-1.0, 2.0), (5.0, 1.0)
+    zones.learn([(a, b), (b, a), (a, a)])
+    (d, there), (e, back) = zones.path(a, b), zones.path(b, a)
+    assert d == e and there == back[::-1] and len(there) > 2 and zones.path(a, a) == (0.0, [a])
+    asked = [a, (1.0, 1.0), (0.0, 2.0)]
+    assert zones.hidden(asked) == zones.covered(asked).tolist() == [False, True, False]
+    monkeypatch.setattr(zones, "covered", None)
+    assert zones.hidden(asked) == [False, True, False]
