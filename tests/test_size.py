@@ -232,3 +232,25 @@ def test_ways_of_both_directions_asked_for_together(monkeypatch):
     assert zones.hidden(asked) == zones.covered(asked).tolist() == [False, True, False]
     monkeypatch.setattr(zones, "covered", None)
     assert zones.hidden(asked) == [False, True, False]
+
+
+def test_steps_after_an_event_look_once(monkeypatch):
+    from squadron.kernel import solution
+
+    rng = np.random.default_rng(8)
+    nodes = {c: {10 * c + k: (c / 6 + float(rng.random()) / 9, float(rng.random())) for k in range(6)} for c in range(6)}
+    zones = Zones([[(0.45, 0.2), (0.55, 0.2), (0.55, 0.8), (0.45, 0.8)]])
+    f = solution.Fleet((-0.1, 0.0), 5.0, 2.0, 3, 2, zones, zones)
+    first = solution.first_plan(f, nodes)
+    now = solution.after_event(first, f, 2, {}, rng)
+    solution.score(now, f)
+    looks, ways = [], zones.ways
+    monkeypatch.setattr(zones, "ways", lambda *a: looks.append(1) or ways(*a))
+    most = 0
+    for _ in range(30):
+        looks.clear()
+        new = solution.perturbed_across(now, f, 2, len(now.order), rng)
+        solution.score(new, f)
+        most = max(most, len(looks))
+        assert new.points[:3] == first.points[:3]
+    assert most == 1
