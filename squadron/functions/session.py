@@ -26,6 +26,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def dealt(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """``df`` dealt by ``keys`` to several tasks a core. Few rows can mean much work; a number that is given is not
+    """``df`` dealt by ``keys``, or evenly without any, to several tasks a core. Few rows can mean much work; a number that is given is not
     merged again at run time."""
     return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -32,16 +32,16 @@ def length(order: list[int], m: np.ndarray) -> float:
     return float(sum(m[a, b] for a, b in zip(order[:-1], order[1:], strict=True)))
 
 
-def two_opt(order: list[int], m: np.ndarray, fixed: int = 1) -> list[int]:
+def two_opt(order: list[int], m: np.ndarray | list[list[float]], fixed: int = 1) -> list[int]:
     """First-improvement 2-opt with the first ``fixed`` places and the last one fixed, to a local optimum."""
-    order = list(order)
+    order, m = list(order), m.tolist() if isinstance(m, np.ndarray) else m
     better = True
     while better:
         better = False
         for i in range(fixed, len(order) - 2):
             for j in range(i + 1, len(order) - 1):
                 a, b, c, d = order[i - 1], order[i], order[j], order[j + 1]
-                if m[a, c] + m[b, d] < m[a, b] + m[c, d] - 1e-9:
+                if m[a][c] + m[b][d] < m[a][b] + m[c][d] - 1e-9:
                     order[i : j + 1] = order[i : j + 1][::-1]
                     better = True
     return order
@@ -150,13 +150,14 @@ def sorties(m: np.ndarray, start: int, finish: int, nodes: list[int], n_tenders:
 
     Nodes out of reach from ``start`` are left out, and so are boats without a node.
     """
-    left = [k for k in nodes if np.isfinite(m[start, k]) and np.isfinite(m[k, finish])]
+    m = m.tolist()
+    left = [k for k in nodes if math.isfinite(m[start][k]) and math.isfinite(m[k][finish])]
     tours: list[list[int]] = [[] for _ in range(n_tenders)]
     for _ in range(cap):
         for t in tours:
             if left:
-                at = t[-1] if t else start
-                k = min(left, key=lambda j: (m[at, j], j))
+                way = m[t[-1] if t else start]
+                k = min(left, key=lambda j: (way[j], j))
                 left.remove(k)
                 t.append(k)
     return [two_opt([start, *t, finish], m)[1:-1] for t in tours if t]
@@ -190,5 +191,10 @@ def waypoints(depot, centroids: list, end=None) -> list[tuple[float, float]]:
     chain = [tuple(map(float, p)) for p in (depot, *centroids, depot if end is None else end)]
     out = [chain[0]]
     for before, c, after in zip(chain[:-2], chain[1:-1], chain[2:], strict=True):
-        out += [tuple((2 * v + w) / 3 for v, w in zip(c, near, strict=True)) for near in (before, after)]
+        out += between(c, before), between(c, after)
     return [*out, chain[-1]]
+
+
+def between(c: tuple[float, float], near: tuple[float, float]) -> tuple[float, float]:
+    """The point a third of the way from a centroid to a neighbour."""
+    return (2 * c[0] + near[0]) / 3, (2 * c[1] + near[1]) / 3

@@ -6,6 +6,7 @@ A plan travels as one row (order, nodes, points, sorties); ``tables`` spreads pl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ PT = "struct<x: double, y: double>"
 PLAN = f"`order` array<bigint>, nodes array<struct<cluster_id: bigint, node_id: bigint, x: double, y: double>>, points array<{PT}>, sorties array<struct<cluster_id: bigint, stops: array<bigint>>>"
 SCORE = "hours double, total double, trace array<struct<iter: int, best: double, current: double, proposed: double, temp: double>>"
 STATE = f"run_id bigint, chain int, event_idx int, {PLAN}, {SCORE}"
+#: Searches that a task runs side by side.
+SIDE_BY_SIDE = 64
 _cache: dict[bytes, Zones] = {}
 
 
@@ -86,6 +89,13 @@ def rows_in(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out)
 
 
+def some_rows(batches: Iterator[pd.DataFrame], n: int = SIDE_BY_SIDE) -> Iterator[list]:
+    """The rows of all batches, up to ``n`` at a time."""
+    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+    while some := list(islice(rows, n)):
+        yield some
+
+
 def reached(problem: Problem) -> DataFrame:
     """(run_id, node_id, x, y, dist_m, cap): each run's targets with the way from its depot round its boats' zones, and the
     nodes that a cluster of the run holds at most (boats times stops). Targets without a way are left out."""
@@ -93,7 +103,9 @@ def reached(problem: Problem) -> DataFrame:
 
     def each(r):
         zones, depot = zones_from(r.t_zones), (r.depot_x, r.depot_y)
-        found = [(n, zones.path(depot, (n["x"], n["y"]))[0]) for n in r.nodes]
+        at = [(float(n["x"]), float(n["y"])) for n in r.nodes]
+        zones.learn([(depot, p) for p in at])
+        found = [(n, zones.metres([depot, p])[0]) for n, p in zip(r.nodes, at, strict=True)]
         return {"run_id": int(r.run_id), "cap": int(r.n_tenders) * int(r.t_cap), "nodes": [{"node_id": int(n["node_id"]), "x": float(n["x"]), "y": float(n["y"]), "dist_m": d} for n, d in found if d < float("inf")]}
 
     made = dealt(t.join(fleets(problem), "run_id"), "run_id").mapInPandas(lambda b: rows_in(b, each), "run_id bigint, cap int, nodes array<struct<node_id: bigint, x: double, y: double, dist_m: double>>")
@@ -132,15 +144,19 @@ def improve_solution(plans: DataFrame, problem: Problem, low: int = 1, high: int
     A chain's generator is seeded by (seed, run, chain). An empty range gives the plan back.
     """
     many = plans.drop("chain").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    many = dealt(many.join(fleets(problem), "run_id"), "run_id", "chain", per_core=8)
-
-    def each(r):
-        fleet, plan = fleet_of(r), plan_of(r)
-        top = len(plan.order) if high is None else min(high, len(plan.order))
-        new, trace = s.anneal(plan, fleet, np.random.default_rng([seed, int(r.run_id), int(r.chain)]), low, top, temp, cooling, min_iters, static_limit, max_iters)
-        return row_of(r.run_id, r.chain, r.event_idx, new, fleet, trace)
-
-    return best(many.mapInPandas(lambda b: rows_in(b, each), STATE))
+    many = dealt(many.join(fleets(problem), "run_id"))
+
+    def each(batches):
+        for rows in some_rows(batches):
+            fleets, searches = [fleet_of(r) for r in rows], []
+            for r, fleet in zip(rows, fleets, strict=True):
+                plan = plan_of(r)
+                top = len(plan.order) if high is None else min(high, len(plan.order))
+                searches.append(s.annealing(plan, fleet, np.random.default_rng([seed, int(r.run_id), int(r.chain)]), low, top, temp, cooling, min_iters, static_limit, max_iters))
+            found = s.together(searches)
+            yield pd.DataFrame([row_of(r.run_id, r.chain, r.event_idx, new, fleet, trace) for r, fleet, (new, trace) in zip(rows, fleets, found, strict=True)])
+
+    return best(many.mapInPandas(each, STATE))
 
 
 def optimise_waypoints(plans: DataFrame, problem: Problem, low: int = 1, chains: int = 2, seed: int = 0, particles: int = 5, generations: int = 20, reach: float = 0.05) -> DataFrame:

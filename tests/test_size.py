@@ -254,3 +254,63 @@ def test_steps_after_an_event_look_once(monkeypatch):
         most = max(most, len(looks))
         assert new.points[:3] == first.points[:3]
     assert most == 1
+
+
+def test_chains_side_by_side_look_together_and_find_what_each_finds_alone(monkeypatch):
+    """With the two vessels' zones apart too: as many looks as the longest chain asks for, not as all of them."""
+    from squadron.kernel import solution
+
+    rng = np.random.default_rng(9)
+    nodes = {c: {10 * c + k: (c / 6 + float(rng.random()) / 9, float(rng.random())) for k in range(6)} for c in range(6)}
+    rings = [[(0.45, 0.2), (0.55, 0.2), (0.55, 0.8), (0.45, 0.8)], [(0.1, 0.4), (0.2, 0.4), (0.2, 0.6), (0.1, 0.6)]]
+
+    def fleet(two: bool):
+        z = Zones(rings)
+        return solution.Fleet((-0.1, 0.0), 5.0, 2.0, 3, 2, Zones(rings[:1]) if two else z, z)
+
+    for two in (False, True):
+        alone, most = [], 0
+        for seed in range(5):
+            f, looks = fleet(two), []
+            ways = f.tender.ways
+            monkeypatch.setattr(f.tender, "ways", lambda *a, ways=ways, looks=looks: looks.append(1) or ways(*a))
+            alone.append(solution.anneal(solution.first_plan(f, nodes), f, np.random.default_rng(seed), min_iters=80))
+            most += len(looks)
+        f, looks = fleet(two), []
+        ways = f.tender.ways
+        first = solution.first_plan(f, nodes)
+        monkeypatch.setattr(f.tender, "ways", lambda *a, ways=ways, looks=looks: looks.append(1) or ways(*a))
+        found = solution.together([solution.annealing(first, f, np.random.default_rng(seed), 1, None, 0.25, 0.9, 80, 1, 1 << 31) for seed in range(5)])
+        assert [t for _, t in found] == [t for _, t in alone]
+        assert all(a.sorties == b.sorties and a.points == b.points and a.nodes == b.nodes for (a, _), (b, _) in zip(found, alone, strict=True))
+        assert len(looks) * 2 < most
+
+
+def test_metres_do_not_depend_on_what_was_asked_for_before():
+    """Either direction, alone or among others, by whole arrays or one by one: the same to the last bit."""
+    from squadron.kernel import paths
+
+    rng = np.random.default_rng(10)
+    rings = [np.array([(x, y), (x + 0.6, y), (x + 0.6, y + 0.5), (x, y + 0.5)]) for x in range(3) for y in range(3)]
+    at = [tuple(p) for p in (rng.random((24, 2)) * 4 - 0.5).tolist()]
+    pairs = [(a, b) for a in at for b in at if a != b]
+    whole = Zones(rings)
+    whole.learn(pairs)
+    assert any(len(whole.path(*w)[1]) > 2 for w in pairs)
+    for a, b in pairs[::7]:
+        fresh, few = Zones(rings), Zones(rings)
+        d, way = fresh.path(a, b)
+        assert whole.metres([a, b]) == whole.metres([b, a]) == few.metres((b, a)) == [d]
+        assert way == whole.path(b, a)[1][::-1] and (d == np.inf or abs(sum(map(float, geometry.haversine(np.array(way[:-1]), np.array(way[1:])))) - d) < 1e-6)
+        want = fresh.around(min(a, b), max(a, b)) if len(way) > 2 else (d, way)
+        assert want[0] == d and paths.DENSE > len(fresh.points)
+    free = [not any(geometry.blocked(a, b, r) for r in whole.rings) for a, b in pairs]
+    assert whole.sight(*(np.array(e) for e in zip(*pairs, strict=True))).tolist() == free
+
+
+def test_chains_are_dealt_evenly(spark):
+    from squadron.functions.session import dealt
+
+    chains = spark.range(96).coalesce(1).select((F.col("id") * 7).alias("run_id"))
+    sizes = [r["count"] for r in dealt(chains).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and 4 <= min(sizes) and max(sizes) <= 8  # each of four inputs gives a task one or two
