@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from squadron.functions import geo
 from squadron.functions.session import dealt
@@ -122,8 +123,51 @@ def all_pairs(nodes: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFram
     return dealt(a, *keys, "_part").join(b, [*keys, "_part"]).where("i < j").drop("_part")
 
 
-def distance_matrix(nodes: DataFrame, rings: DataFrame | None = None, keys: tuple[str, ...] = ("run_id",), path: bool = True) -> DataFrame:
-    """Symmetric long matrix (keys, i, j, dist_m, path); paths, unless left out, stand on rows with i < j only."""
+#: Nodes of a block at most, and at least where a group is so large; blocks that a group is cut into, if they are so large.
+BLOCK, LEAST, BLOCKS = 2000, 16, 8
+
+
+def met_blocks(nodes: DataFrame, rings: DataFrame, keys: tuple[str, ...], digits: int | None) -> DataFrame:
+    """(keys, i, j, dist_m) both ways, round the zones. A group is cut into blocks in the order of node_id, and each two of
+    them are one row; pairs are made, looked at and written out in whole arrays, some of them at a time."""
+    zones = nodes.sparkSession.sparkContext.broadcast(zone_rings(rings))
+    rows, w = nodes.select(*keys, "node_id", "x", "y").dropna(), W.partitionBy(*keys)
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST), F.ceil(F.count("*").over(w) / BLOCKS)))
+    rows = rows.withColumn("_n", F.ceil(F.count("*").over(w) / size)).withColumn("_to", F.floor((F.row_number().over(w.orderBy("node_id")) - 1) / size))
+    b = rows.groupBy(*keys, "_n", "_to").agg(F.sort_array(F.collect_list(F.struct("node_id", "x", "y"))).alias("_b"))
+    a = b.select(*keys, F.explode(F.sequence("_to", F.col("_n") - 1)).alias("_to"), F.col("_b").alias("_a"))
+    parts = [F.col(f"{s}.{c}").alias(s + c) for s in ("_a", "_b") for c in ("node_id", "x", "y")]
+    two = dealt(a.join(b.drop("_n"), [*keys, "_to"]).select(*keys, *parts), per_core=8)
+
+    def each(batches):
+        known = Zones(zones.value)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                of = lambda c, r=r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
+                (i, p), (j, q) = ((of(f"{s}node_id"), np.column_stack([of(f"{s}x"), of(f"{s}y")])) for s in ("_a", "_b"))
+                apart, kind = i[-1] < j[0], batch.schema.field("_anode_id").type.value_type
+                for at, far in known.meshes(p, q):
+                    some = i[at : at + len(far)]
+                    one, other, d = np.repeat(some, len(j)), np.tile(j, len(some)), far.ravel()
+                    if not apart:
+                        less = one < other
+                        one, other, d = one[less], other[less], d[less]
+                    if digits is not None:
+                        d = np.floor(d * 10.0**digits + 0.5) / 10.0**digits
+                    made = [np.concatenate(c) for c in ((one, other), (other, one), (d, d))]
+                    group = pa.array(np.full(len(made[0]), r))
+                    columns = [batch.column(k).take(group) for k in keys] + [pa.array(made[0], kind), pa.array(made[1], kind), pa.array(made[2])]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, "i", "j", "dist_m"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    return two.mapInArrow(each, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} {kinds['node_id']}" for c in "ij"), "dist_m double"]))
+
+
+def distance_matrix(nodes: DataFrame, rings: DataFrame | None = None, keys: tuple[str, ...] = ("run_id",), path: bool = True, digits: int | None = None) -> DataFrame:
+    """Symmetric long matrix (keys, i, j, dist_m, path); paths, unless left out, stand on rows with i < j only. Metres round
+    the zones without paths are rounded to ``digits``, if given, half up."""
+    if rings is not None and not path:
+        return met_blocks(nodes, rings, keys, digits)
     p = all_pairs(nodes, keys)
     if rings is not None:
         d = feasible_paths(p, rings, path, deal=False)

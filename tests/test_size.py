@@ -314,3 +314,38 @@ def test_chains_are_dealt_evenly(spark):
     chains = spark.range(96).coalesce(1).select((F.col("id") * 7).alias("run_id"))
     sizes = [r["count"] for r in dealt(chains).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 16 and 4 <= min(sizes) and max(sizes) <= 8  # each of four inputs gives a task one or two
+
+
+def test_each_point_with_each_other_is_as_pair_by_pair(monkeypatch):
+    """Metres to the last bit, on edges, corners and equal points too, round convex and other rings, with few corners or many."""
+    from squadron.kernel import paths
+
+    rng = np.random.default_rng(11)
+    hexagon = [(9 + 1.5 * np.cos(a), 9 + 1.5 * np.sin(a)) for a in np.arange(6) * np.pi / 3]
+    rings = [SQUARE, L_SHAPE, hexagon, [(0, 8), (4, 8), (4, 12), (0, 12)], [(4, 8), (5, 8), (5, 9), (4, 9)]]
+    p, q = (np.vstack([rng.integers(-2, 14, (60, 2)) / 1.0, rng.uniform(-2, 13, (60, 2)), np.array(SQUARE[:4], float)]) for _ in range(2))
+    q[:9] = p[:9]
+    assert [paths.sides(r) is None for r in Zones(rings).rings] == [False, True, False, False, False]
+    monkeypatch.setattr(paths, "MESH", 1000)
+    for dense in (128, 0):
+        monkeypatch.setattr(paths, "DENSE", dense)
+        one, other = np.repeat(p, len(q), 0), np.tile(q, (len(p), 1))
+        z = Zones(rings)
+        assert np.array_equal(z.sights(p, q).ravel(), z.sight(one, other))
+        parts = list(z.meshes(p, q))
+        assert len(parts) > 1 and np.array_equal(np.vstack([far for _, far in parts]).ravel(), z.ways(one, other, points=False))
+
+
+def test_a_matrix_comes_of_blocks_not_of_pairs(spark, monkeypatch):
+    """Several runs, equal ids and missing places: the rows of the pairs one by one, with no row for a pair on the way."""
+    rows = [(r, n, 146 + (n * 7919 + r) % 10007 / 10007, -17 + n * 104729 % 10009 / 10009) for r, most in ((0, 70), (1, 9), (2, 1)) for n in range(most)]
+    nodes = spark.createDataFrame([*rows, (0, 16, 146.5, -16.5), (0, 500, None, -16.5), (1, None, 146.5, -16.5)], "run_id int, node_id bigint, x double, y double")
+    zones = fx.obstacles(spark, SF)
+    monkeypatch.setattr(paths, "BLOCK", 17)
+    m = paths.distance_matrix(nodes, zones, path=False)
+    assert "_part" not in m._jdf.queryExecution().toString() and tasks(m) > 1
+    one = paths.feasible_paths(paths.all_pairs(nodes), zones, path=False)
+    want = one.select("run_id", "i", "j", "dist_m").union(one.select("run_id", "j", "i", "dist_m"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(m) == key(want) and m.dtypes == want.dtypes
+    assert key(paths.distance_matrix(nodes, zones, path=False, digits=4)) == key(want.withColumn("dist_m", F.round("dist_m", 4)))
