@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +23,25 @@ def capped_kmeans(points: DataFrame, cap: int | str, seed: int = 0, k_spec: int
     """
     cols = ["x", "y"] + ([extra] if extra else [])
     of = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
+    # A run is one row of arrays, which its restarts share; so many rows as points would be dealt once for each.
     rows = points.select("run_id", "node_id", *cols, of(cap).cast("long").alias("_cap"), of(k_spec).cast("long").alias("_k"))
-    rows = rows.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(n_restarts - 1))))
-
-    def once(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        rng = np.random.default_rng([seed, int(pdf.run_id.iloc[0]), int(pdf.restart.iloc[0])])
-        x = pdf[cols].to_numpy(float)
-        label = k.capped_kmeans(x, int(pdf._cap.iloc[0]), rng, int(pdf._k.iloc[0]), min_k, max_split, max_iter, tol)
-        _, label = np.unique(label, return_inverse=True)
-        return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "restart": [pdf.restart.iloc[0]], "score": [round(k.score(x, label), 6)], "label": [[{"node_id": int(n), "cluster_id": int(c) + 1} for n, c in zip(pdf.node_id, label, strict=True)]]})
-
-    made = dealt(rows, "run_id", "restart", per_core=8).groupBy("run_id", "restart").applyInPandas(once, "run_id bigint, restart int, score double, label array<struct<node_id: bigint, cluster_id: bigint>>")
-    best = made.groupBy("run_id").agg(F.min_by("label", F.struct("score", "restart")).alias("label"))
-    return best.select("run_id", F.inline("label"))
+    runs = rows.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("node_id", *cols))).alias("_p"), F.first("_cap").alias("_cap"), F.first("_k").alias("_k"))
+    runs = runs.select("run_id", *(F.col(f"_p.{c}").alias(c) for c in ("node_id", *cols)), "_cap", "_k")
+    runs = runs.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(n_restarts - 1))))
+
+    def each(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                run, restart, most, least = (b.column(c)[r].as_py() for c in ("run_id", "restart", "_cap", "_k"))
+                x = np.column_stack([b.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float) for c in cols])
+                label = k.capped_kmeans(x, most, np.random.default_rng([seed, run, restart]), least, min_k, max_split, max_iter, tol)
+                _, label = np.unique(label, return_inverse=True)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), v) for v in (b.column("node_id")[r].values, pa.array(label + 1, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([restart], pa.int32()), pa.array([round(k.score(x, label), 6)]), *lists], ["run_id", "restart", "score", "node_id", "cluster_id"])
+
+    made = dealt(runs, per_core=16).mapInArrow(each, "run_id bigint, restart int, score double, node_id array<bigint>, cluster_id array<bigint>")
+    best = made.groupBy("run_id").agg(F.min_by(F.struct("node_id", "cluster_id"), F.struct("score", "restart")).alias("_b"))
+    return best.select("run_id", F.inline(F.arrays_zip("_b.node_id", "_b.cluster_id"))).toDF("run_id", "node_id", "cluster_id")
 
 
 def cluster_reached(reached: DataFrame, cap: int | str, k_spec: int = 0, dist_weighting: float = 5e-6, **options) -> DataFrame:

@@ -349,3 +349,67 @@ def test_a_matrix_comes_of_blocks_not_of_pairs(spark, monkeypatch):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(m) == key(want) and m.dtypes == want.dtypes
     assert key(paths.distance_matrix(nodes, zones, path=False, digits=4)) == key(want.withColumn("dist_m", F.round("dist_m", 4)))
+
+
+def plain_kmeans(x, k, rng, tol=0.01):
+    """Every point with every seed and every centre, one cluster after the other."""
+    seeds, d = [x[rng.integers(len(x))]], None
+    while len(seeds) < k:
+        last = ((x - seeds[-1]) ** 2).sum(1)
+        d = last if d is None else np.minimum(d, last)
+        seeds.append(x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x)))])
+    c, before = np.array(seeds), np.inf
+    while True:
+        m = ((x[:, None] - c) ** 2).sum(2)
+        label, near = m.argmin(1), m.min(1)
+        cost = float(near.sum())
+        for j in range(k):
+            if (label == j).any():
+                c[j] = x[label == j].mean(0)
+            else:
+                far = int(near.argmax())
+                near[far] = ((x[far] - c[j]) ** 2).sum()
+                c[j], label[far] = x[far], j
+        if before - cost <= tol * max(cost, 1e-300) and np.isfinite(before):
+            return label
+        before = cost
+
+
+def test_many_clusters_are_the_plain_ones_without_all_distances(monkeypatch):
+    """Also with equal points, more clusters than places, far outliers, and points on a line."""
+    from squadron.kernel import cluster
+
+    rng = np.random.default_rng(12)
+    spread, lattice = rng.random((1500, 3)), rng.integers(0, 20, (1200, 2)) / 1.0
+    sets = [(spread, 500), (lattice, 300), (lattice, 500), (rng.normal(size=(1200, 3)) ** 5, 400), (spread * [1, 0, 0], 400), (spread[:90], 7)]
+    seen, whole = [], cluster.nearest_of_all
+    monkeypatch.setattr(cluster, "nearest_of_all", lambda x, c: seen.append(len(x) * len(c)) or whole(x, c))
+    for x, k in sets:
+        assert cluster.kmeans(x, k, np.random.default_rng(k)).tolist() == plain_kmeans(x, k, np.random.default_rng(k)).tolist()
+        c = x[rng.choice(len(x), k)]
+        want = whole(x, c)
+        for way in (cluster.nearest, cluster.nearest_by_halves):
+            assert all(np.array_equal(a, b) for a, b in zip(way(x, c), want, strict=True))
+    seen.clear()
+    many = rng.random((20_000, 3))
+    cluster.nearest(many, many[:4000])
+    assert sum(seen) < 20_000 * 4000 / 20
+
+
+def test_restarts_share_one_row_of_a_run(spark):
+    """The plan deals a row a restart, not a row a point and restart, and the best restart is that of the kernel."""
+    from squadron.kernel import cluster
+    from squadron.operators import clustering
+
+    at = [(r, n, float((n * 37 + r) % 101), float(n * 53 % 97)) for r in (3, 8) for n in range(60 + r)]
+    points = spark.createDataFrame(at, "run_id bigint, node_id bigint, x double, y double").repartition(3)
+    made = clustering.capped_kmeans(points, 9, seed=5, n_restarts=4)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got = sorted(map(tuple, made.collect()))
+    want = []
+    for run in (3, 8):
+        x = np.array([p[2:] for p in at if p[0] == run])
+        tries = [np.unique(cluster.capped_kmeans(x, 9, np.random.default_rng([5, run, k])), return_inverse=True)[1] for k in range(4)]
+        best = min(range(4), key=lambda k: (round(cluster.score(x, tries[k]), 6), k))
+        want += [(run, n, int(c) + 1) for n, c in enumerate(tries[best])]
+    assert got == want
